@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from waylake.llm import simhash
+from waylake.llm import packing, quality, simhash
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_simhash": simhash.op8_simhash,
 }
 
