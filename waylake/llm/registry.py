@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from waylake.llm import packing, quality, simhash
+from waylake.llm import langid, packing, quality, rollup, simhash, token_files
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_token_files": token_files.op2_token_files,
     "op3_packing": packing.op3_packing,
+    "op4_token_counts": rollup.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_token_counts": rollup.OP4_SQL,
+}
