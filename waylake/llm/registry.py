@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waylake.llm import langid, packing, quality, rollup, simhash, token_files
+from waylake.llm import langid, packing, pieces, quality, rollup, simhash, token_files
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": rollup.op4_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_simhash": simhash.op8_simhash,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
