@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waylake.llm import langid, packing, pieces, quality, rollup, simhash, token_files
+from waylake.llm import langid, mpeg_audio, packing, pieces, quality, rollup, simhash, token_files
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
 }
 
 ORACLES: dict[str, str] = {
