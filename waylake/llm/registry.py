@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from waylake.llm import langid, mpeg_audio, packing, pieces, quality, rollup, simhash, token_files
+from waylake.llm import langid, line_dedup, mpeg_audio, packing, pieces, pii, quality, rollup, simhash, token_files
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_files": token_files.op2_token_files,
     "op3_packing": packing.op3_packing,
     "op4_token_counts": rollup.op4_token_counts,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
