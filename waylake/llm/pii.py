@@ -6,8 +6,9 @@ tells which terms give a found value away: for a value e and a term t near it,
     disclosure(t, e) = PMI(t; e) / IC(e) = ln(n(t,e) N / (n(t) n(e))) / ln(N / n(e))
 
 with counts of distinct texts. It is 1 when t occurs only with e. Terms seen with e in at least
-``support`` different contexts are removed from texts with e when their disclosure reaches
-``remove_at``, and generalised when it reaches ``generalise_at``.
+``support`` independent contexts, and in mostly independent ones, are removed from texts with e when
+their disclosure reaches ``remove_at``, and generalised when it reaches ``generalise_at``. Contexts
+with the same two min-hashes, as near copies have, are one.
 
 Positions come from cutting a text at the matches: the pieces between and the matches alternate, so
 sums of their lengths are code point offsets.
@@ -132,10 +133,12 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, genera
     mentions = spans.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"))
     mentions = mentions.select("th", _entity(F.col("s.kind"), F.col("s.value")).alias("entity"), F.col("s.context").alias("context"))
     per_entity = mentions.groupBy("entity").agg(F.count_distinct("th").alias("n_e"))
-    contexts = mentions.withColumn("c", F.xxhash64(F.regexp_replace(F.lower("context"), r"[^\p{L}\p{N}]+", " ")))
-    near = contexts.select("th", "entity", "c", F.explode(_terms(F.col("context"))).alias("term"))
+    # contexts of near copies have equal smallest hashes of their terms and count as one
+    least = lambda seed: F.array_min(F.transform("terms", lambda w: F.xxhash64(w, F.lit(seed))))
+    contexts = mentions.withColumn("terms", _terms(F.col("context"))).withColumn("c", F.xxhash64(least(1), least(2)))
+    near = contexts.select("th", "entity", "c", F.explode("terms").alias("term"))
     together = near.groupBy("entity", "term").agg(F.count_distinct("c").alias("n_c"), F.count_distinct("th").alias("n_te"))
-    candidates = materialise(together.where(F.col("n_c") >= support), "pii-candidates")
+    candidates = materialise(together.where((F.col("n_c") >= support) & (2 * F.col("n_c") >= F.col("n_te"))), "pii-candidates")
     empty = docs.sparkSession.createDataFrame([], "entity string, term string, action string")
     if candidates.isEmpty():
         return empty
