@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from waylake.plans import delta
+from waylake.plans import delta, relational, versioning
 
-QUERIES = dict(delta.QUERIES)
-ORACLES = dict(delta.ORACLES)
+QUERIES = {}
+ORACLES = {}
+for _part in (delta, relational, versioning):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
