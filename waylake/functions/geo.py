@@ -18,7 +18,7 @@ LINE = "array<struct<x:double,y:double>>"
 def haversine_km(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Great-circle distance."""
     a = F.pow(F.sin(F.radians(y2 - y1) / 2), 2) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
-    return 2 * RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * RADIUS_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # null for a missing point
 
 
 def chord_km(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -72,7 +72,7 @@ def project(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column
     dx, dy = x2 - x1, y2 - y1
     square = dx * dx + dy * dy
     t = F.when(square > 0, ((x - x1) * dx + (y - y1) * dy) / square).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    return F.when(t < 0, 0.0).when(t > 1, 1.0).otherwise(t)
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
