@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -92,11 +93,9 @@ class Roads:
 
     def __init__(self, edges: list[tuple[int, int, int, float, bool, bool]]):
         self.km: dict[tuple[int, int], float] = {}
-        self.way: dict[tuple[int, int], int] = {}
         self.out: dict[int, list[tuple[int, float]]] = {}
-        for way, a, b, km, forward, backward in edges:
+        for _, a, b, km, forward, backward in edges:
             for u, v, allowed in ((a, b, forward), (b, a, backward)):
-                self.way.setdefault((u, v), way)
                 if allowed:
                     self.km[u, v] = km
                     self.out.setdefault(u, []).append((v, km))
@@ -250,27 +249,23 @@ SCHEMA = "line_id string, nodes array<long>, ways array<long>, cost double, offs
 FAILED = "Failed to find path"
 
 
-def _match(states: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    if not len(states):  # edges of no line
-        return pd.DataFrame({c.split(" ")[0]: [] for c in SCHEMA.split(", ")})
-    line = str(states["line_id"].iloc[0])
-    failed = pd.DataFrame([(line, None, None, None, None, None, FAILED)], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
-    n = int(states["n_steps"].iloc[0])
+def _match(line_id: str, n: int, states: list, edges: list) -> tuple:
+    failed = (line_id, None, None, None, None, None, FAILED)
     steps: list[list[dict]] = [[] for _ in range(n)]
-    for s in states.dropna(subset=["way_id"]).astype({"step": "int64", "n1": "int64", "n2": "int64"}).sort_values(["step", "way_id"]).to_dict("records"):
+    for s in states:
         steps[s["step"] - 1].append(s)
     if n < 2 or not all(steps):
         return failed
-    roads = Roads(list(edges.sort_values(["way_id", "n1", "n2"])[["way_id", "n1", "n2", "km", "forward", "backward"]].itertuples(index=False, name=None)))
-    found = best_path(steps, roads)
+    found = best_path(steps, Roads([(e["way_id"], e["n1"], e["n2"], e["km"], e["forward"], e["backward"]) for e in edges]))
     if found is None or len(found[2]) < 2:
         return failed
     total, chosen, nodes = found
-    ways = without_repeats([roads.way[e] for e in zip(nodes, nodes[1:]) if e in roads.way])
+    way = {(a, b): e["way_id"] for e in reversed(edges) for a, b in ((e["n1"], e["n2"]), (e["n2"], e["n1"]))}
+    ways = without_repeats([way[e] for e in zip(nodes, nodes[1:]) if e in way])
     start, end = chosen[0], chosen[-1]
     offset_start = 1 - start["pos"] if start["n2"] == nodes[0] else start["pos"]
     offset_end = 1 - end["pos"] if end["n2"] == nodes[-1] else end["pos"]
-    return pd.DataFrame([(line, nodes, ways, round(total, 3), offset_start, offset_end, None)], columns=failed.columns)
+    return line_id, nodes, ways, round(total, 3), offset_start, offset_end, None
 
 
 def match_lines(lines: DataFrame, ways: DataFrame, nodes: DataFrame, radius_km: float = 0.02, size: float = 0.02) -> DataFrame:
@@ -278,7 +273,18 @@ def match_lines(lines: DataFrame, ways: DataFrame, nodes: DataFrame, radius_km:
     points = vertices(lines)
     segs = segments(ways, nodes)
     count = points.groupBy("line_id").agg(F.count("*").alias("n_steps"))
-    # every line has a row on the left side, with or without states
-    s = count.join(states(points, segs, radius_km, size), "line_id", "left").withColumn("line_id", F.col("line_id").cast("string"))
-    e = surroundings(points, segs, size).withColumn("line_id", F.col("line_id").cast("string"))
-    return s.groupBy("line_id").cogroup(e.groupBy("line_id")).applyInPandas(_match, SCHEMA)
+    per_line = lambda df, cols, name: df.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    s = per_line(states(points, segs, radius_km, size), ["step", "way_id", "x", "y", "n1", "n2", "pos", "km"], "states")
+    e = per_line(surroundings(points, segs, size), ["way_id", "n1", "n2", "km", "forward", "backward"], "edges")
+    whole = count.join(s, "line_id", "left").join(e, "line_id", "left").withColumn("line_id", F.col("line_id").cast("string"))
+    names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                _match(line, int(n), found if found is not None else [], roads if roads is not None else [])
+                for line, n, found, roads in batch[["line_id", "n_steps", "states", "edges"]].itertuples(index=False, name=None)
+            ]
+            yield pd.DataFrame(rows, columns=names)
+
+    return whole.mapInPandas(run, SCHEMA)

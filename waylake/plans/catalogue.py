@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from waylake.plans import delta, relational, versioning
+from waylake.plans import delta, network, relational, spatial, versioning
 
 QUERIES = {}
 ORACLES = {}
-for _part in (delta, relational, versioning):
+for _part in (delta, relational, versioning, spatial, network):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
