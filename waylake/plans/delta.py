@@ -20,9 +20,9 @@ def latest_orders(spark, sf_dir: str) -> DataFrame:
 
 def incoming_orders(spark, sf_dir: str) -> DataFrame:
     """The next snapshot: every 10th id is gone, every 7th price is one cent up, every 13th id also comes anew."""
-    base = latest_orders(spark, sf_dir).where("id % 10 != 0")
-    changed = base.withColumn("cents", F.col("cents") + F.when(F.col("id") % 7 == 0, 1).otherwise(0))
-    return changed.unionByName(changed.where("id % 13 = 0").withColumn("id", F.col("id") + 10_000_000))
+    base = latest_orders(spark, sf_dir)
+    changed = base.where("id % 10 != 0").withColumn("cents", F.col("cents") + F.when(F.col("id") % 7 == 0, 1).otherwise(0))
+    return changed.unionByName(base.where("id % 13 = 0").withColumn("id", F.col("id") + 10_000_000))
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ LATEST_SQL = """
 latest AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
                   o_orderpriority AS priority FROM orders),
 base AS (SELECT id, status, cents + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS cents, priority FROM latest WHERE id % 10 != 0),
-incoming AS (SELECT * FROM base UNION ALL SELECT id + 10000000, status, cents, priority FROM base WHERE id % 13 = 0),
+incoming AS (SELECT * FROM base UNION ALL SELECT id + 10000000, status, cents, priority FROM latest WHERE id % 13 = 0),
 old AS (SELECT *, md5(concat(id, status, cents)) AS k FROM latest),
 new AS (SELECT *, md5(concat(id, status, cents)) AS k FROM incoming)
 """
