@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from waylake.llm.common import materialise
 
@@ -101,8 +101,8 @@ def with_stats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and one struct column ``_q`` with the base counts and statistics."""
     at = docs.columns.index("text")
     fields = [*BASE, *(f"x{i}" for i in range(DIM))]
-    schema = docs.schema.simpleString()[len("struct<") : -1]
     names = docs.columns
+    counts = T.StructType([T.StructField(f, T.LongType()) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,8 +111,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
             q = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in values], fields)
             yield pa.RecordBatch.from_arrays([*b.columns, q], [*names, "_q"])
 
-    out = docs.mapInArrow(run, f"{schema},_q:struct<{','.join(f'{f}:bigint' for f in fields)}>")
-    return out
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_q", counts)]))
 
 
 def base_failed(q: str = "_q") -> Column:
