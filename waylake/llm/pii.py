@@ -137,8 +137,16 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, genera
     least = lambda seed: F.array_min(F.transform("terms", lambda w: F.xxhash64(w, F.lit(seed))))
     contexts = mentions.withColumn("terms", _terms(F.col("context"))).withColumn("c", F.xxhash64(least(1), least(2)))
     near = contexts.select("th", "entity", "c", F.explode("terms").alias("term"))
+    near = materialise(near, "pii-near")
     together = near.groupBy("entity", "term").agg(F.count_distinct("c").alias("n_c"), F.count_distinct("th").alias("n_te"))
-    candidates = materialise(together.where((F.col("n_c") >= support) & (2 * F.col("n_c") >= F.col("n_te"))), "pii-candidates")
+    n = materialise(docs.select(text_key().alias("th")).distinct().agg(F.count("*").alias("n")), "pii-n")
+    supported = together.where((F.col("n_c") >= support) & (2 * F.col("n_c") >= F.col("n_te")))
+    # a term occurs in the corpus at least as often as near any value: that bounds its score from above, so
+    # common words go before their occurrences are counted
+    anywhere = near.groupBy("term").agg(F.count_distinct("th").alias("m_t"))
+    most = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - generalise_at))
+    bounded = supported.join(per_entity, "entity").join(anywhere, "term").crossJoin(F.broadcast(n))  # n is one row
+    candidates = materialise(bounded.where(F.col("m_t") <= most + 1e-6).drop("m_t"), "pii-candidates")
     empty = docs.sparkSession.createDataFrame([], "entity string, term string, action string")
     if candidates.isEmpty():
         return empty
@@ -147,8 +155,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, genera
     everywhere = docs.select(text_key().alias("th"), F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
     held = everywhere.join(F.broadcast(terms) if small else terms, "term", "left_semi")
     n_t = held.groupBy("term").agg(F.count_distinct("th").alias("n_t"))
-    n = docs.select(text_key().alias("th")).distinct().agg(F.count("*").alias("n"))
-    scored = candidates.join(per_entity, "entity").join(n_t, "term").crossJoin(F.broadcast(n))  # n is one row
+    scored = candidates.join(n_t, "term")
     pmi = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     ic = F.log(F.col("n") / F.col("n_e"))
     ratio = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))  # a value in every text gives nothing away
