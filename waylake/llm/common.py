@@ -1,100 +1,32 @@
-"""Shared helpers: the shared folder, written intermediates, connected components."""
+"""Shared helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: ASCII white space that separates words; everything else is part of a word.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (local mode)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        set_by_code = spark.sparkContext.getCheckpointDir()
-        folder = set_by_code.rsplit("/", 1)[0] if set_by_code else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="waylake-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/waylake/{tag}-{uuid.uuid4().hex}"
+from pyspark.sql import DataFrame, SparkSession
 
+from waylake.functions.storage import fresh_path, materialise, shared_dir
+from waylake.operators.graph import connected_components
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "connected_components", "drop_written", "fresh_path", "materialise", "release_shuffles", "shared_dir"]
 
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that is no longer needed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Label the nodes of an undirected graph with the smallest node of their component.
-
-    Every round hooks each node to its smallest smaller neighbour, follows the hooks to their
-    roots by pointer jumping, and contracts the graph to the roots, so the edges shrink from
-    round to round; nothing is collected. Null ends and loops are ignored.
-    Returns (node, component) for nodes that have an edge.
-    """
-    e = materialise(_ordered(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))), "cc-edges")
-    labels = None
-    while not e.isEmpty():
-        hook = _flattened(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
-        if labels is None:
-            nodes = e.select(F.col("lo").alias("node")).union(e.select(F.col("hi").alias("node"))).distinct()
-            labels = nodes.withColumn("component", F.col("node"))
-        labels = materialise(
-            labels.join(hook.select(F.col("node").alias("component"), "parent"), "component", "left").select(
-                "node", F.coalesce("parent", "component").alias("component")
-            ),
-            "cc-labels",
-        )
-        lo = hook.select(F.col("node").alias("lo"), F.col("parent").alias("plo"))
-        hi = hook.select(F.col("node").alias("hi"), F.col("parent").alias("phi"))
-        contracted = (
-            e.join(lo, "lo", "left")
-            .join(hi, "hi", "left")
-            .select(F.coalesce("plo", "lo").alias("x"), F.coalesce("phi", "hi").alias("y"))
-        )
-        e = materialise(_ordered(contracted), "cc-edges")
-    if labels is None:
-        return e.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
-    return labels
+#: ASCII white space separates words; everything else is part of a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct (lo, hi) without loops and nulls, from (x, y)."""
-    return pairs.where("x != y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files behind materialised tables that are no longer needed."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _flattened(hook: DataFrame) -> DataFrame:
-    """(node, root) from (node, parent), by pointer jumping until no parent is hooked itself."""
-    while True:
-        up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = materialise(
-            hook.join(up, "parent", "left").select(
-                "node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")
-            ),
-            "cc-hook",
-        )
-        hook = jumped.select("node", "parent")
-        if jumped.where("moved").isEmpty():
-            return hook
+def release_shuffles(spark: SparkSession) -> None:
+    """Free the disk of finished jobs: Spark deletes shuffle files once the driver's garbage collector has met
+    their plans, which may be long after the results were written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
