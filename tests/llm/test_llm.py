@@ -291,6 +291,65 @@ def test_lines(spark, docs, local):
             assert r["text"] == "\n".join(kept)
 
 
+def brute_edits(rows):
+    """Dropped lines of (doc_id, text) rows, by the edit similarity of all pairs of lines alone."""
+    lines = {}
+    for i, text in sorted(rows):
+        for no, line in enumerate((text or "").split("\n")):
+            norm = " ".join(re.findall(r"[^\W_]+", line.lower()))
+            if norm.count(" ") >= 2:
+                lines.setdefault(norm, []).append((i, no))
+    names = [n.split() for n in lines]
+    counts = [collections.Counter(n) for n in names]
+    links = []
+    for k, a in enumerate(names):
+        for j in range(k + 1, len(names)):
+            b = names[j]
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            # words of one line that the other lacks each take an edit
+            if abs(len(a) - len(b)) <= most and (counts[k] - counts[j]).total() <= most and _levenshtein(a, b) <= most:
+                links.append((k, j))
+    groups = collections.defaultdict(list)
+    for root, places in zip(_components(len(names), links), lines.values()):
+        groups[root] += places
+    return {o for g in groups.values() for o in sorted(g)[1:]}
+
+
+def changed_lines():
+    """Lines of 1 to 40 words, also with repeated words, with up to one edit in five words."""
+    rnd = np.random.default_rng(5)
+    rows = []
+    for n in [1, 2, 3, 4, 5, 6, 9, 10, 14, 15, 19, 20, 25, 40]:
+        for few in (2, 400):
+            line = [f"w{x}" for x in rnd.integers(0, few, n)]
+            for edits in (0, max(1, n // 5), n // 5 + 1):
+                new = list(line)
+                for _ in range(edits):
+                    at, what = rnd.integers(0, len(new) + 1), rnd.integers(0, 3)
+                    new[at : at + (what > 0)] = ["new"] if what < 2 else []
+                rows.append(" ".join(new))
+    return [(i, f"{x}\n\nown line {i} {'y' * i}") for i, x in enumerate(rows)]
+
+
+def test_lines_by_edits(spark, local):
+    for rows in (list(zip(local.doc_id.tolist(), local.text)), near_copies(30), changed_lines()):
+        want = brute_edits(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        found = line_dedup.deduplicate(df, by_edits=True).collect()
+        assert {(r["doc_id"], int(no)) for r in found for no in (r["_gone"] or [])} == want
+        texts = dict(rows)
+        for r in found:
+            assert r["text"] == "\n".join(x for no, x in enumerate(texts[r["doc_id"]].split("\n")) if (r["doc_id"], no) not in want)
+
+
+def test_line_query_searches_by_edits(spark, tmp_path):
+    rows = changed_lines()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
+    want = collections.Counter(i for i, _ in brute_edits(rows))
+    assert found == {i: want[i] for i, _ in rows}
+
+
 # 6 quality
 
 
