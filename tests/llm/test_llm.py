@@ -296,8 +296,7 @@ def brute_edits(rows):
     lines = {}
     for i, text in sorted(rows):
         for no, line in enumerate((text or "").split("\n")):
-            norm = " ".join(re.findall(r"[^\W_]+", line.lower()))
-            if norm.count(" ") >= 2:
+            if norm := " ".join(re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W_\u3040-\u30ff\u4e00-\u9fff]+", line.lower())):
                 lines.setdefault(norm, []).append((i, no))
     names = [n.split() for n in lines]
     counts = [collections.Counter(n) for n in names]
@@ -316,7 +315,7 @@ def brute_edits(rows):
 
 
 def changed_lines():
-    """Lines of 1 to 40 words, also with repeated words, with up to one edit in five words."""
+    """Lines of 1 to 40 words, also with repeated words, with up to one edit in five words, and lines without spaces."""
     rnd = np.random.default_rng(5)
     rows = []
     for n in [1, 2, 3, 4, 5, 6, 9, 10, 14, 15, 19, 20, 25, 40]:
@@ -328,6 +327,7 @@ def changed_lines():
                     at, what = rnd.integers(0, len(new) + 1), rnd.integers(0, 3)
                     new[at : at + (what > 0)] = ["new"] if what < 2 else []
                 rows.append(" ".join(new))
+    rows += ["短い文章が何度も出てくる", "短い文章が何度も出てきた", "全く別の行", "全く別の行", "Yes.", "yes", ""]
     return [(i, f"{x}\n\nown line {i} {'y' * i}") for i, x in enumerate(rows)]
 
 
@@ -340,6 +340,7 @@ def test_lines_by_edits(spark, local):
         texts = dict(rows)
         for r in found:
             assert r["text"] == "\n".join(x for no, x in enumerate(texts[r["doc_id"]].split("\n")) if (r["doc_id"], no) not in want)
+    assert {(84 + k, 0) for k in (1, 3, 5)} <= want
 
 
 def test_line_query_searches_by_edits(spark, tmp_path):
