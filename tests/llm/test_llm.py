@@ -111,6 +111,14 @@ def test_language(docs, local):
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
 
 
+def test_language_with_long_texts_only(spark):
+    rows = [(i, f"short words {i}", "en") for i in range(20)] + [(20 + i, "1 2 " * 2000 + "langes Wort " * 2000, "de") for i in range(20)]
+    df = spark.createDataFrame([*rows, (40, "1234", "xx")], "doc_id long, text string, lang string")
+    texts = langid.training_texts(df)
+    assert set(texts) == {"en", "de"} and all(t.startswith("langes") and len(t) == 3750 for t in texts["de"])
+    assert [r["lang_pred"] for r in langid.predict(df).orderBy("doc_id").collect()] == ["en"] * 20 + ["de"] * 20 + ["und"]
+
+
 def test_cross_parse_is_the_longest_match_parse(local):
     parser = langid.CrossParser(json.dumps({"en": list(local.text[local.lang == "en"][:8]), "fr": list(local.text[local.lang == "fr"][:8])}))
     references = {k: " ".join(map(langid.normalised, local.text[local.lang == k][:8])) for k in ("en", "fr")}

@@ -9,8 +9,9 @@ A restart after each phrase turns the automaton into a finite machine over chara
 moves that start a new phrase. Texts are cut into blocks of ``block`` characters, each of which starts
 a phrase, and all blocks of a batch walk the machine side by side, one array step per character.
 
-The model learns from a bounded sample: per language, the ``sample_rows`` rows first by hash, whole
-texts, up to ``train_chars`` characters. It is a few hundred kB of text, sent to the workers, which
+The model learns from a bounded sample: per language, the ``sample_rows`` rows first by hash among those
+with a letter, of each text the first ``train_chars // 8`` characters from its first letter on, up to
+``train_chars`` characters in all. So every language with a letter in a row not held out is learned. It is a few hundred kB of text, sent to the workers, which
 build the automata themselves. Prediction covers every whole text.
 
 Cases: null text, or one without a letter, is ``und`` with score 0; a null language is not learned
@@ -39,10 +40,9 @@ def held_out() -> Column:
 
 
 def training_texts(docs: DataFrame, sample_rows: int = 200, train_chars: int = 30_000) -> dict[str, list[str]]:
-    """Whole texts per language, at most ``train_chars`` characters in all, from rows not held out."""
-    labelled = docs.select(F.col("doc_id"), "lang", F.length("text").alias("n")).where(
-        ~held_out() & F.col("lang").isNotNull() & F.col("n").between(1, train_chars // 8)
-    )
+    """Texts per language, each cut to an eighth of ``train_chars`` characters, that many in all, from rows not held out."""
+    part = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, train_chars // 8)
+    labelled = docs.select(F.col("doc_id"), "lang", F.length(part).alias("n")).where(~held_out() & F.col("lang").isNotNull() & (F.col("n") > 0))
     first = W.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
         labelled.withColumn("_h", F.xxhash64("doc_id"))
@@ -55,8 +55,8 @@ def training_texts(docs: DataFrame, sample_rows: int = 200, train_chars: int = 3
     within = chosen.withColumn("_sum", F.sum("n").over(room)).where(F.col("_sum") <= train_chars).select("doc_id", "lang", "_r", "n")
     texts = (
         docs.select("doc_id", "lang", "text")
-        .where(F.length("text") <= train_chars // 8)
         .join(F.broadcast(within), ["doc_id", "lang"])  # at most sample_rows rows per language
+        .select("lang", "_r", "n", part.alias("text"))
         .where(F.length("text") == F.col("n"))
         .select("lang", "_r", "text")
         .orderBy("lang", "_r", "text")
