@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F
 
 from waylake.functions.storage import fresh_path, materialise, shared_dir
 from waylake.operators.graph import connected_components
 
-__all__ = ["WORD", "connected_components", "drop_written", "fresh_path", "materialise", "release_shuffles", "shared_dir"]
+__all__ = ["WORD", "connected_components", "free_names", "fresh_path", "materialise", "packed", "shared_dir"]
 
 #: ASCII white space separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def drop_written(*tables: DataFrame) -> None:
-    """Delete the files behind materialised tables that are no longer needed."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one struct column ``row``, so that an operator's own columns clash with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Free the disk of finished jobs: Spark deletes shuffle files once the driver's garbage collector has met
-    their plans, which may be long after the results were written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it needs to differ from those taken (letter case aside)."""
+    used = {t.lower() for t in taken}
+    found = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
