@@ -29,5 +29,5 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
