@@ -2,12 +2,13 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from waylake.functions import geo
-from waylake.operators import congestion, graph, matching, polygons, resolve, splitting, versions
+from waylake.operators import congestion, graph, matching, polygons, resolve, spatial, splitting, versions
 from waylake.sources import readers
 from waylake.streaming import windows
 
@@ -224,6 +225,39 @@ def test_trailing_stream(spark, tmp_path):
     assert {(r["key"], r["ts"].second): (r["n"], r["total"]) for r in batch} == got
 
 
+def test_trailing_stream_with_late_events(spark, tmp_path):
+    """An event behind the newest one, but not behind the watermark, looks back from its own time."""
+    schema = "key string, ts timestamp, value double"
+    for k, seconds in enumerate(([0, 10, 20, 30, 40, 50], [25])):
+        rows = spark.createDataFrame([("a", f"2024-01-01 00:00:{s:02d}", float(s)) for s in seconds], "key string, t string, value double")
+        rows.select("key", F.to_timestamp("t").alias("ts"), "value").coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    stream = windows.file_stream(spark, str(tmp_path / "in" / "part=*"), schema)
+    got = {r["ts"].second: (r["n"], r["total"]) for r in windows.run_available(windows.trailing_stream(stream, 20)).collect()}
+    assert got[25] == (3, 55.0) and got[50] == (3, 120.0)
+
+
+def test_within_km_anywhere(spark):
+    """Against all pairs, near the poles and across 180 degrees."""
+    rnd = random.Random(4)
+    points = [(i, rnd.uniform(-180, 180) if i % 2 else rnd.choice([-179.99, 179.99]), rnd.choice([-89.5, -70.0, 0.0, 70.0, 85.0])) for i in range(60)]
+    segments = [(i, 0, x, y + rnd.uniform(-0.4, 0.4), x + rnd.uniform(-0.2, 0.2), y) for i, (_, x, y) in enumerate(points)]
+    p = spark.createDataFrame(points, "point_id long, x double, y double")
+    s = spark.createDataFrame(segments, "way_id long, seg int, x1 double, y1 double, x2 double, y2 double")
+    turns = s.withColumn("t", F.explode(F.array(*map(F.lit, (-360.0, 0.0, 360.0))))).withColumns({"x1": F.col("x1") + F.col("t"), "x2": F.col("x2") + F.col("t")})
+    c = F.col
+    pos = geo.project(c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
+    km = geo.haversine_km(geo.lerp(c("x1"), c("x2"), c("pos")), geo.lerp(c("y1"), c("y2"), c("pos")), c("x"), c("y"))
+    want = {(r[0], r[1]) for r in p.crossJoin(turns).withColumn("pos", pos).where(km <= 60).select("point_id", "way_id").collect()}
+    got = {(r[0], r[1]) for r in spatial.within_km(p, s, 60.0, 1.0).select("point_id", "way_id").collect()}
+    assert got == want and len(want) > 60
+
+
+def test_min_cost(spark):
+    rows = [(1, 1, 10, 5), (1, 1, 20, 1), (1, 2, 11, 0), (1, 3, 40, 2), (1, 3, 12, 9), (2, 1, 7, 3)]
+    got = dict(matching.min_cost(spark.createDataFrame(rows, "id long, step long, way long, q long")).collect())
+    assert got == {1: 5 + 1 + 0 + 1 + 9, 2: 3}
+
+
 def test_simplify(spark):
     df = spark.createDataFrame([([(0.0, 0.0), (0.1, 0.0), (1.0, 0.0), (1.05, 0.0)],)], f"line {geo.LINE}")
     assert [p["x"] for p in df.select(polygons.simplify(F.col("line"), 0.5).alias("l")).first()["l"]] == [0.0, 1.0, 1.05]

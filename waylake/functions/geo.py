@@ -134,9 +134,13 @@ def cell(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
 
 
-def degrees_of_km(km: float, lat: float) -> float:
-    """Degrees of longitude that span a distance at a latitude (the larger of the two axes)."""
-    return math.degrees(km / RADIUS_KM) / max(0.01, math.cos(math.radians(lat)))
+def reach_of_km(km: float, lat: Column) -> tuple[Column, Column]:
+    """Degrees of longitude and of latitude that hold everything within a distance of positions up to a latitude."""
+    up = math.degrees(km / RADIUS_KM)
+    farthest = F.least(F.abs(lat) + up, F.lit(90.0))
+    # beyond a pole all longitudes are within reach
+    across = F.when(farthest < 89.9, F.least(F.lit(up) / F.cos(F.radians(farthest)), F.lit(180.0))).otherwise(180.0)
+    return across, F.lit(up)
 
 
 def square_cell_id(x: Column, y: Column, resolution: int) -> Column:

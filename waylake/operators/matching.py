@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -153,41 +153,56 @@ class Roads:
         return found[0], nodes if goals[found[1]][0] == 0 and len(nodes) > 1 else [*nodes, tail]
 
 
+# Rules over one character per element: what the pattern finds shrinks to its first group.
+_REPEAT, _REPEATED_PAIR, _DETOUR = (re.compile(x, re.S) for x in (r"(.)\1+", r"(..)\1+", r"(.)(?:.\1)+"))
+
+
+def _shrunk(path: list, rules: list[re.Pattern], long_rules: list[re.Pattern] | None = None, forever: bool = False) -> list:
+    elements = list(dict.fromkeys(path))
+    code = {x: chr(0x10000 + i) for i, x in enumerate(elements)}
+    before, now = None, "".join(map(code.get, path))
+    while now != before:
+        before = now
+        for rule in [*(long_rules or []), *rules] if len(now) > 3 else rules:
+            now = rule.sub(r"\1", now)
+        if not forever:
+            break
+    return [elements[ord(c) - 0x10000] for c in now]
+
+
 def without_repeats(path: list) -> list:
-    return [k for k, _ in groupby(path)]
+    return _shrunk(path, [_REPEAT])
 
 
 def without_repeated_pairs(path: list) -> list:
     """A pair that repeats the two elements before it goes."""
-    kept, i = path[:2], 2
-    while i < len(path):
-        if i + 1 < len(path) and path[i : i + 2] == path[i - 2 : i]:
-            i += 2
-        else:
-            kept.append(path[i])
-            i += 1
-    return kept
+    return _shrunk(path, [_REPEATED_PAIR])
 
 
 def without_detours(path: list) -> list:
     """A step aside and back again goes: A B A is A."""
-    kept, i = path[:1], 1
-    while i < len(path):
-        if i + 1 < len(path) and path[i - 1] == path[i + 1]:
-            i += 2
-        else:
-            kept.append(path[i])
-            i += 1
-    return kept
+    return _shrunk(path, [_DETOUR])
 
 
 def tidy(path: list) -> list:
-    """All three rules until nothing changes."""
-    while True:
-        after = without_repeats(without_detours(without_repeated_pairs(path)) if len(path) > 3 else path)
-        if after == path:
-            return path
-        path = after
+    """All three rules until nothing changes; of up to three elements only repeats go."""
+    return _shrunk(path, [_REPEAT], [_REPEATED_PAIR, _DETOUR], forever=True)
+
+
+def min_cost(states: DataFrame) -> DataFrame:
+    """(id, cost): the smallest cost of a path through all steps of each line; states: id, step (1, 2, ...), way, q.
+
+    A state costs q, a move the difference of the ways. The states of one line are folded step by step."""
+    steps = states.groupBy("id", "step").agg(F.collect_list(F.struct("way", "q")).alias("states"))
+    lines = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "states"))).alias("steps"))
+    first = F.transform(F.element_at("steps", 1)["states"], lambda s: F.struct(s["way"].alias("way"), s["q"].alias("cost")))
+
+    def fold(best: Column, step: Column) -> Column:
+        reach = lambda s: F.array_min(F.transform(best, lambda b: b["cost"] + F.abs(b["way"] - s["way"])))
+        return F.transform(step["states"], lambda s: F.struct(s["way"].alias("way"), (reach(s) + s["q"]).alias("cost")))
+
+    rest = F.slice("steps", F.lit(2), F.size("steps"))
+    return lines.select("id", F.array_min(F.transform(F.aggregate(rest, first, fold), lambda b: b["cost"])).alias("cost"))
 
 
 def _chord(a: dict, b: dict) -> float:

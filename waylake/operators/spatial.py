@@ -17,17 +17,25 @@ def _cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size:
     return df.withColumn("_cx", F.explode(F.sequence(cx1, cx2))).withColumn("_cy", F.explode(F.sequence(cy1, cy2)))
 
 
+def _around_the_world(df: DataFrame, x1: Column, x2: Column) -> DataFrame:
+    """One row per turn (``_turn``: -360, 0 or 360 degrees) by which a range of longitudes meets the map."""
+    turns = F.filter(F.array(*[F.lit(float(t)) for t in (-360, 0, 360)]), lambda t: (t == 0) | ((x2 + t >= -180) & (x1 + t <= 180)))
+    return df.withColumn("_turn", F.explode(turns))
+
+
 def within_km(points: DataFrame, segments: DataFrame, km: float, size: float, salts: int = 1) -> DataFrame:
     """Points with every segment whose nearest position is within ``km``.
 
-    points: point_id, x, y; segments: way_id, seg, x1, y1, x2, y2. ``size`` is the cell size in degrees.
+    points: point_id, x, y; segments: way_id, seg, x1, y1, x2, y2, at any latitude and across 180 degrees. ``size`` is the cell size in degrees.
     Returns point_id, way_id, seg, pos, km.
     """
-    pad = geo.degrees_of_km(km, 60.0)
     own = F.pmod(F.xxhash64("point_id"), F.lit(salts))
     p = points.withColumn("_cx", geo.cell(F.col("x"), F.col("y"), size)[0]).withColumn("_cy", geo.cell(F.col("x"), F.col("y"), size)[1]).withColumn("_s", own)
+    across, up = geo.reach_of_km(km, F.greatest(F.abs(F.col("y1")), F.abs(F.col("y2"))))
+    s = _around_the_world(segments, F.least("x1", "x2") - across, F.greatest("x1", "x2") + across)
+    s = s.withColumns({x: F.col(x) + F.col("_turn") for x in ("x1", "x2")}).drop("_turn")
     s = _cells(
-        segments, F.least("x1", "x2") - pad, F.least("y1", "y2") - pad, F.greatest("x1", "x2") + pad, F.greatest("y1", "y2") + pad, size
+        s, F.least("x1", "x2") - across, F.least("y1", "y2") - up, F.greatest("x1", "x2") + across, F.greatest("y1", "y2") + up, size
     ).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     c = F.col
     pos = geo.project(c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
@@ -44,9 +52,11 @@ def nearest_on_way(hits: DataFrame) -> DataFrame:
 
 def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, km: float) -> DataFrame:
     """The k nearest places (place_id, px, py) within ``km`` of every point."""
-    pad = geo.degrees_of_km(km, 60.0)
+    across, up = geo.reach_of_km(km, F.col("y"))
     (cx, cy) = geo.cell(F.col("px"), F.col("py"), size)
-    p = _cells(points, F.col("x") - pad, F.col("y") - pad, F.col("x") + pad, F.col("y") + pad, size)
+    p = _around_the_world(points, F.col("x") - across, F.col("x") + across)
+    at = F.col("x") + F.col("_turn")
+    p = _cells(p, at - across, F.col("y") - up, at + across, F.col("y") + up, size)
     q = places.withColumn("_cx", cx).withColumn("_cy", cy)
     d = geo.haversine_km(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
     rank = W.partitionBy("point_id").orderBy("km", "place_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from waylake.functions import geo
 from waylake.operators import export, graph, matching, polygons, resolve, splitting
@@ -24,14 +24,14 @@ def query(sql: str | None = None):
     return add
 
 
-# the road graph: each supplier is a way over three of 97 nodes
+# the road graph: each supplier is a way over three nodes; there are about half as many nodes as suppliers
 
 
 def ways(spark, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, d, "supplier").select(
-        k.alias("id"), F.array(k % 97, (k * 3 + 1) % 97, (k * 5 + 2) % 97).alias("nodes"), (k % 4 == 0).alias("oneway"), (k % 12 == 0).alias("reverseway"),
-        F.concat(F.lit("road "), (k % 10).cast("string")).alias("name"),
+        k.alias("id"), F.array(F.expr("s_suppkey div 2"), F.expr("s_suppkey div 3"), F.expr("s_suppkey div 2 + 1 + s_suppkey % 3")).alias("nodes"), (k % 4 == 0).alias("oneway"), (k % 12 == 0).alias("reverseway"),
+        F.concat(F.lit("road "), F.expr("s_suppkey div 3").cast("string")).alias("name"),
     )
 
 
@@ -39,8 +39,8 @@ def edges(spark, d: str) -> DataFrame:
     return graph.road_edges(ways(spark, d))
 
 
-EDGES = """seg AS (SELECT s_suppkey AS way_id, 0 AS seq, s_suppkey % 97 AS a, (s_suppkey * 3 + 1) % 97 AS b FROM supplier
-  UNION ALL SELECT s_suppkey, 1, (s_suppkey * 3 + 1) % 97, (s_suppkey * 5 + 2) % 97 FROM supplier),
+EDGES = """seg AS (SELECT s_suppkey AS way_id, 0 AS seq, s_suppkey // 2 AS a, s_suppkey // 3 AS b FROM supplier
+  UNION ALL SELECT s_suppkey, 1, s_suppkey // 3, s_suppkey // 2 + 1 + s_suppkey % 3 FROM supplier),
 e AS (SELECT a AS src, b AS dst, way_id, seq FROM seg WHERE way_id % 12 != 0
   UNION ALL SELECT b, a, way_id, seq FROM seg WHERE way_id % 12 = 0 OR way_id % 4 != 0)"""
 
@@ -50,13 +50,13 @@ def road_edges(spark, d: str) -> DataFrame:
     return edges(spark, d)
 
 
-@query(f"""WITH {EDGES}, h0 AS (SELECT DISTINCT src AS start, src AS node FROM e WHERE src % 10 = 0),
+@query(f"""WITH {EDGES}, h0 AS (SELECT DISTINCT src AS start, src AS node FROM e),
 h1 AS (SELECT DISTINCT start, dst AS node FROM h0 JOIN e ON e.src = h0.node), h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN e ON e.src = h1.node),
 a AS (SELECT *, 0 AS hops FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2)
 SELECT start, node, CAST(min(hops) AS INTEGER) AS hops FROM a GROUP BY 1, 2""")
 def khop_neighbours(spark, d: str) -> DataFrame:
     e = edges(spark, d)
-    return graph.within_hops(e, e.where("src % 10 = 0").select(F.col("src").alias("node")), 2)
+    return graph.within_hops(e, e.select(F.col("src").alias("node")), 2)
 
 
 @query("""WITH RECURSIVE l AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 5 != 0),
@@ -74,8 +74,8 @@ def intersection_nodes(spark, d: str) -> DataFrame:
 
 
 @query(f"""WITH {EDGES}, x AS (SELECT src AS node, dst AS other, way_id FROM e UNION ALL SELECT dst, src, way_id FROM e),
-n AS (SELECT node, concat('road ', way_id % 10) AS name, other, count(*) AS c FROM x GROUP BY 1, 2, 3),
-w AS (SELECT node, concat('road ', way_id % 10) AS name, count(DISTINCT way_id) AS ways FROM x GROUP BY 1, 2)
+n AS (SELECT node, concat('road ', way_id // 3) AS name, other, count(*) AS c FROM x GROUP BY 1, 2, 3),
+w AS (SELECT node, concat('road ', way_id // 3) AS name, count(DISTINCT way_id) AS ways FROM x GROUP BY 1, 2)
 SELECT n.node, n.name FROM n JOIN w USING (node, name) GROUP BY n.node, n.name, w.ways
 HAVING w.ways = 3 AND count(*) = 3 AND count(*) FILTER (c = 2) = 1 AND count(*) FILTER (c = 1) = 2""")
 def carriageway_change(spark, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def signal_reallocate(spark, d: str) -> DataFrame:
     return graph.allocate_signals(customer_points(spark, d), supplier_places(spark, d), 60.0, 1.0)
 
 
-@query(f"""WITH {EDGES}, p AS (SELECT s_suppkey AS path_id, s_suppkey % 97 AS a, (s_suppkey * 3 + 1) % 97 AS b, (s_suppkey * 5 + 2) % 97 AS c FROM supplier WHERE s_suppkey % 3 = 0),
+@query(f"""WITH {EDGES}, p AS (SELECT s_suppkey AS path_id, s_suppkey // 2 AS a, s_suppkey // 3 AS b, s_suppkey // 2 + 1 + s_suppkey % 3 AS c FROM supplier),
 s AS (SELECT path_id, 0 AS seq, a AS src, b AS dst FROM p UNION ALL SELECT path_id, 1, b, c FROM p)
 SELECT s.path_id, s.seq, s.src, s.dst, e.way_id, CAST(round((40 + e.way_id % 7 * 10) / 3.6 * 10000) AS BIGINT) AS speed_e4,
  CAST(CASE WHEN e.way_id % 4 = 0 THEN e.way_id % 5 + 1 ELSE greatest(1, floor((e.way_id % 5 + 1) / 2)) END AS INTEGER) AS lanes FROM s JOIN e ON e.src = s.src AND e.dst = s.dst""")
@@ -106,7 +106,7 @@ def path_edges(spark, d: str) -> DataFrame:
     e = edges(spark, d).drop("seq").join(w.select(F.col("id").alias("way_id"), "oneway"), "way_id").withColumns(
         {"km": F.lit(1.0), "maxspeed": 40 + k % 7 * 10, "lanes": (k % 5 + 1).cast("int")}
     )
-    paths = w.where("id % 3 = 0").select(F.col("id").alias("path_id"), "nodes")
+    paths = w.select(F.col("id").alias("path_id"), "nodes")
     return graph.path_edges(paths, e).select("path_id", "seq", "src", "dst", "way_id", F.round(F.col("speed_ms") * 10000).cast("long").alias("speed_e4"), "lanes")
 
 
@@ -116,9 +116,13 @@ def path_to_point_min(spark, d: str) -> DataFrame:
     return graph.path_to_point(points).select("path_id", "seq")
 
 
-@query()
+@query("""WITH p AS (SELECT s_suppkey AS path_id, 0 AS seq, s_suppkey AS way_id FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey - 1 FROM supplier),
+n AS (SELECT path_id, seq, way_id, [way_id // 2, way_id // 3, way_id // 2 + 1 + way_id % 3] AS nodes FROM p WHERE way_id IN (SELECT s_suppkey FROM supplier)),
+a AS (SELECT *, lead(nodes) OVER w AS nxt, lag(nodes) OVER w AS prv FROM n WINDOW w AS (PARTITION BY path_id ORDER BY seq))
+SELECT path_id, CAST(seq AS INTEGER) AS seq, way_id, CASE WHEN list_contains(nxt, nodes[3]) THEN 'A' WHEN list_contains(nxt, nodes[1]) THEN 'B'
+ WHEN list_contains(prv, nodes[1]) THEN 'A' WHEN list_contains(prv, nodes[3]) THEN 'B' ELSE 'O' END AS tag FROM a""")
 def direction_tags(spark, d: str) -> DataFrame:
-    paths = table(spark, d, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("path_id"), F.array(F.col("s_suppkey"), F.col("s_suppkey") - 1).alias("ways"))
+    paths = table(spark, d, "supplier").select(F.col("s_suppkey").alias("path_id"), F.array(F.col("s_suppkey"), F.col("s_suppkey") - 1).alias("ways"))
     return graph.direction_tags(paths, ways(spark, d))
 
 
@@ -133,13 +137,15 @@ def emission_cost(spark, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(matching.cost(matching.emission(F.col("l_quantity"))) * 1000).cast("long").alias("cost_e3"))
 
 
-#: Line items are states: line numbers 1 to 3 of an order are the steps, parts the ways.
-_STATES = "s AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS step, l_partkey AS way, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_linenumber <= 3)"
+#: Line items are states: the different line numbers of an order are its steps, parts the ways.
+_STATES = """s AS (SELECT DISTINCT l_orderkey AS id, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS step, l_partkey AS way,
+ CAST(l_quantity AS BIGINT) AS q FROM lineitem)"""
 
 
 def trellis_states(spark, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_linenumber <= 3").select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step"), F.col("l_partkey").alias("way"), F.col("l_quantity").cast("long").alias("q")
+    step = F.dense_rank().over(W.partitionBy("l_orderkey").orderBy("l_linenumber")).cast("long")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), step.alias("step"), F.col("l_partkey").alias("way"), F.col("l_quantity").cast("long").alias("q")
     ).distinct()
 
 
@@ -150,18 +156,11 @@ def trellis_edges(spark, d: str) -> DataFrame:
     return s.join(b, ["id", "step"]).select("id", "step", F.col("way").alias("u"), "v", (F.col("q") * 1000 + F.abs(F.col("way") - F.col("v"))).alias("cost"))
 
 
-@query(f"""WITH {_STATES}, c1 AS (SELECT id, way, q AS cost FROM s WHERE step = 1),
-c2 AS (SELECT s.id, s.way, min(c1.cost + abs(c1.way - s.way) + s.q) AS cost FROM s JOIN c1 ON c1.id = s.id WHERE step = 2 GROUP BY 1, 2),
-c3 AS (SELECT s.id, s.way, min(c2.cost + abs(c2.way - s.way) + s.q) AS cost FROM s JOIN c2 ON c2.id = s.id WHERE step = 3 GROUP BY 1, 2)
-SELECT id, min(cost) AS cost FROM c3 GROUP BY id""")
+@query(f"""WITH RECURSIVE {_STATES}, n AS (SELECT id, max(step) AS last FROM s GROUP BY 1), c AS (SELECT id, step, way, q AS cost FROM s WHERE step = 1
+ UNION ALL SELECT s.id, s.step, s.way, min(c.cost + abs(c.way - s.way) + s.q) FROM s JOIN c ON c.id = s.id AND s.step = c.step + 1 GROUP BY 1, 2, 3)
+SELECT c.id, min(c.cost) AS cost FROM c JOIN n ON n.id = c.id AND n.last = c.step GROUP BY 1""")
 def hmm_min_cost(spark, d: str) -> DataFrame:
-    s = trellis_states(spark, d)
-    best = s.where("step = 1").select("id", F.col("way").alias("u"), F.col("q").alias("cost"))
-    for step in (2, 3):
-        nxt = s.where(F.col("step") == step).select("id", "way", "q").join(best, "id")
-        total = F.col("cost") + F.abs(F.col("u") - F.col("way")) + F.col("q")
-        best = nxt.groupBy("id", F.col("way").alias("u")).agg(F.min(total).alias("cost"))
-    return best.groupBy("id").agg(F.min("cost").alias("cost"))
+    return matching.min_cost(trellis_states(spark, d))
 
 
 def street_grid(spark, d: str) -> tuple[DataFrame, DataFrame]:

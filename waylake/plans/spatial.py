@@ -194,6 +194,38 @@ def radius_topk(spark, d: str) -> DataFrame:
     return spatial.nearest_k(customer_points(spark, d), supplier_places(spark, d), 5, 1.0, 100.0).select("point_id", "place_id", "r")
 
 
+# the same places 110 degrees farther north and 36 farther east, where they lie on both sides of 180 degrees; the SQL
+# counts longitudes on beyond 180, so that it needs no turn
+
+_NORTH_POINTS = "npts AS (SELECT point_id, x + 36 AS x, y + 110 AS y FROM pts)"
+_NORTH_BRUTE = f"""nnear AS (SELECT point_id, way_id, {_hav('(x1 + (x2 - x1) * pos)', '(y1 + (y2 - y1) * pos)', 'x', 'y')} AS km
+ FROM (SELECT *, {_project('x1', 'y1', 'x2', 'y2', 'x', 'y')} AS pos FROM npts, nsegs))"""
+
+
+def _turned(x: str) -> Column:
+    return F.pmod(F.col(x) + 216, F.lit(360.0)) - 180
+
+
+def north_points(spark, d: str) -> DataFrame:
+    return customer_points(spark, d).withColumns({"x": _turned("x"), "y": F.col("y") + 110})
+
+
+@query(f"""WITH {_POINTS}, {_SEGS}, {_NORTH_POINTS}, nsegs AS (SELECT way_id, x1 + 36 AS x1, y1 + 110 AS y1, x2 + 36 AS x2, y2 + 110 AS y2 FROM segs), {_NORTH_BRUTE}
+SELECT point_id, way_id, CAST(round(km * 100) AS BIGINT) AS km_e2 FROM nnear WHERE km <= {NEAR_KM}""")
+def grid_spatial_join_north(spark, d: str) -> DataFrame:
+    s = supplier_segments(spark, d).withColumns({"x1": _turned("x1"), "y1": F.col("y1") + 110, "y2": F.col("y2") + 110})
+    hits = spatial.within_km(north_points(spark, d), s.withColumn("x2", F.col("x1") + 0.1), NEAR_KM, 0.5)
+    return hits.select("point_id", "way_id", F.round(F.col("km") * 100).cast("long").alias("km_e2"))
+
+
+@query(f"""WITH {_POINTS}, {_PLACES}, {_NORTH_POINTS}, nranked AS (SELECT point_id, place_id, row_number() OVER (PARTITION BY point_id ORDER BY km, place_id) AS r FROM (
+ SELECT point_id, place_id, {_hav('x', 'y', '(px + 36)', '(py + 110)')} AS km FROM npts, places) WHERE km <= 100)
+SELECT point_id, place_id, CAST(r AS INTEGER) AS r FROM nranked WHERE r <= 5""")
+def radius_topk_north(spark, d: str) -> DataFrame:
+    places = supplier_places(spark, d).withColumns({"px": _turned("px"), "py": F.col("py") + 110})
+    return spatial.nearest_k(north_points(spark, d), places, 5, 1.0, 100.0).select("point_id", "place_id", "r")
+
+
 @query(f"""WITH {_POINTS}, {_PLACES}, {_RANKED}, top AS (SELECT * FROM ranked WHERE r <= 10), edges AS (
  SELECT a.s_nationkey AS way_id, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
 m AS (SELECT p.point_id, e.way_id, avg((p.km + q.km) / 2) AS km FROM edges e JOIN top p ON p.place_id = e.a JOIN top q ON q.place_id = e.b AND q.point_id = p.point_id GROUP BY 1, 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,7 +43,7 @@ def trailing(events: DataFrame, seconds: int, by: list[str]) -> DataFrame:
 
 
 def trailing_stream(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
-    """The same over a stream, per key: each group's values younger than its newest event less ``seconds`` are
+    """The same over a stream, per key: each group's values younger than the watermark less ``seconds`` are
     kept as state. Events later than the watermark are dropped; others count from their own time on.
 
     events: key string, ts timestamp, value double. Returns key, ts, n, total, mean.
@@ -55,10 +56,12 @@ def trailing_stream(events: DataFrame, seconds: int, late: str = "1 hour") -> Da
         held = [*zip(old_ts, old_v), *zip(new_ts, new["value"].tolist())]
         held.sort()
         out = []
+        times, span = [u for u, _ in held], seconds * 1_000_000
         for t in new_ts:
-            inside = [v for u, v in held if t - seconds * 1_000_000 <= u <= t]
+            inside = [v for _, v in held[bisect_left(times, t - span) : bisect_right(times, t)]]
             out.append((key[0], pd.Timestamp(t, unit="us"), len(inside), sum(inside), sum(inside) / len(inside)))
-        cutoff = held[-1][0] - seconds * 1_000_000
+        # an event as old as the watermark may still come and looks back from its own time
+        cutoff = min(times[-1], state.getCurrentWatermarkMs() * 1000) - span
         kept = [(u, v) for u, v in held if u >= cutoff]
         state.update(([u for u, _ in kept], [v for _, v in kept]))
         yield pd.DataFrame(out, columns=["key", "ts", "n", "total", "mean"])
