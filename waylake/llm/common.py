@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 from waylake.functions.storage import fresh_path, materialise, shared_dir
 from waylake.operators.graph import connected_components
 
-__all__ = ["WORD", "connected_components", "free_names", "fresh_path", "materialise", "packed", "shared_dir"]
+__all__ = ["WORD", "connected_components", "drop_written", "free_names", "fresh_path", "materialise", "packed", "shared_dir"]
 
 #: ASCII white space separates words; everything else is part of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def drop_written(*tables: DataFrame) -> None:
+    """Delete the files behind materialised tables from which everything needed has been written."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns in one struct column ``row``, so that an operator's own columns clash with none of them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
