@@ -6,13 +6,16 @@ of the automaton's text length, the closer the text is to the language (Ziv-Merh
 The language with the lowest normalised count wins, the first by name on a tie.
 
 A restart after each phrase turns the automaton into a finite machine over characters, with a flag on
-moves that start a new phrase. Texts are cut into blocks of ``block`` characters, each of which starts
-a phrase, and all blocks of a batch walk the machine side by side, one array step per character.
+moves that start a new phrase. Long texts are cut into blocks, which walk the machine side by side, one array step
+per character, each as if a phrase began with it. Then every block that continues a text is walked again from the state
+in which the block before it ended, until its states are those of the first walk, most often after a few phrases. So
+the phrases are those of one parse of the whole text. The machine has a table for the letters a language uses most and
+sorted lists for the others.
 
 The model learns from a bounded sample: per language, the ``sample_rows`` rows first by hash among those
 with a letter, of each text the first ``train_chars // 8`` characters from its first letter on, up to
-``train_chars`` characters in all. So every language with a letter in a row not held out is learned. It is a few hundred kB of text, sent to the workers, which
-build the automata themselves. Prediction covers every whole text.
+``train_chars`` characters in all. So every language with a letter in a row not held out is learned. It is a few hundred
+kB of text, sent to the workers, which build the automata themselves. Prediction covers every whole text.
 
 Cases: null text, or one without a letter, is ``und`` with score 0; a null language is not learned
 from; with nothing to learn from everything is ``und``; a null doc_id counts as the empty text for
@@ -21,6 +24,7 @@ the held-out split; repeated rows are predicted alike; other columns are ignored
 
 from __future__ import annotations
 
+import collections
 import json
 import math
 from collections.abc import Iterator, Sequence
@@ -33,6 +37,7 @@ from waylake.llm.tokens import groups_by_size, loaded
 
 BLOCK = 1024
 FLAG = np.int32(1 << 30)
+DENSE = 64  # codes of a language that have a column in its table
 
 
 def held_out() -> Column:
@@ -59,6 +64,7 @@ def training_texts(docs: DataFrame, sample_rows: int = 200, train_chars: int = 3
         .select("lang", "_r", "n", part.alias("text"))
         .where(F.length("text") == F.col("n"))
         .select("lang", "_r", "text")
+        .distinct()  # repeated rows of a document
         .orderBy("lang", "_r", "text")
     )
     found: dict[str, list[str]] = {}
@@ -105,6 +111,46 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+class Machine:
+    """The finite machine of one language. States are multiples of DENSE; the flag marks a move that starts a phrase."""
+
+    def __init__(self, text: list[int], size: int):
+        moves = suffix_automaton(text)
+        common = [c for c, _ in collections.Counter(text).most_common()]
+        self.local = np.zeros(size, np.int32)  # 0: a letter that the language lacks, a phrase of its own
+        self.local[common] = np.arange(1, len(common) + 1)
+        local = {c: i for i, c in enumerate(common, 1)}
+        first = np.full(len(common) + 1, FLAG, np.int32)
+        for c, to in moves[0].items():
+            first[local[c]] = to * DENSE | FLAG
+        self.first = first
+        table = np.tile(first[:DENSE] if len(first) >= DENSE else np.pad(first, (0, DENSE - len(first))), (len(moves), 1))
+        rare: list[tuple[int, int]] = []
+        for s, m in enumerate(moves[1:], 1):
+            for c, to in m.items():
+                if local[c] < DENSE:
+                    table[s, local[c]] = to * DENSE
+                else:
+                    rare.append((s * len(first) + local[c], to * DENSE))
+        self.table = table.ravel()
+        self.has_rare = len(first) > DENSE
+        rare.sort()
+        self.keys = np.array([k for k, _ in rare] + [1 << 62], np.int64)
+        self.next = np.array([to for _, to in rare] + [0], np.int32)
+
+    def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        if not self.has_rare:
+            return self.table[states + codes]
+        often = codes < DENSE
+        out = self.table[states + np.where(often, codes, 0)]
+        if not often.all():
+            at = np.flatnonzero(~often)
+            keys = (states[at] // DENSE).astype(np.int64) * len(self.first) + codes[at]
+            place = np.searchsorted(self.keys, keys)
+            out[at] = np.where(self.keys[place] == keys, self.next[place], self.first[codes[at]])
+        return out
+
+
 class CrossParser:
     """Automata of all languages over one alphabet; made from a JSON object of texts by language."""
 
@@ -127,42 +173,63 @@ class CrossParser:
             elif len(low) == 1:
                 self.plain[o] = self.code.get(low, 0)
         self.is_space = np.array([not chr(o).isalpha() for o in range(0x3000)])
-        self.machines = [self._machine(suffix_automaton([self.code[c] for c in texts[k]])) for k in self.langs]
+        self.machines = [Machine([self.code[c] for c in texts[k]], self.size) for k in self.langs]
         self.weight = np.array([math.log2(max(2, len(texts[k]))) for k in self.langs])
 
-    def _machine(self, moves: list[dict[int, int]]) -> np.ndarray:
-        """Next state by state * size + code; the flag marks a move that starts a new phrase."""
-        table = np.full((len(moves), self.size), -1, np.int32)
-        for s, m in enumerate(moves):
-            table[s, list(m)] = list(m.values())
-        root = np.where(table[0] < 0, 0, table[0]) | FLAG  # an unknown letter is a phrase of its own
-        table = np.where(table < 0, root[None, :], table)
-        table[0] = root
-        return (table & ~FLAG) * self.size | (table & FLAG)
-
-    def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each block under each language."""
+    def phrases(self, blocks: list[np.ndarray], continues: Sequence[bool] | None = None) -> np.ndarray:
+        """Phrases of each block under each language; a block may continue the one before it."""
         order = np.argsort([-len(b) for b in blocks], kind="stable")
+        lane_of = np.empty(len(blocks), np.int64)
+        lane_of[order] = np.arange(len(blocks))
         width = max((len(b) for b in blocks), default=0)
-        lanes = np.zeros((width, len(blocks)), np.int32)
+        raw = np.zeros((width, len(blocks)), np.int32)
         for lane, i in enumerate(order.tolist()):
-            lanes[: len(blocks[i]), lane] = blocks[i]
+            raw[: len(blocks[i]), lane] = blocks[i]
         lens = np.array([len(blocks[i]) for i in order])
         alive = np.searchsorted(-lens, -np.arange(width), side="left")  # lanes with a character at each step
-        counts = np.zeros((len(self.langs), len(blocks)), np.int64)
+        before = np.full(len(blocks), -1, np.int64)  # the lane that a lane continues
+        for i in np.flatnonzero(continues if continues is not None else np.zeros(len(blocks), bool)):
+            before[lane_of[i]] = lane_of[i - 1]
+        after = np.full(len(blocks), -1, np.int64)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        out = np.empty((len(blocks), len(self.langs)), np.int64)
         for k, machine in enumerate(self.machines):
-            flat = machine.ravel()
-            state = np.zeros(len(blocks), np.int32)
-            count = np.zeros(len(blocks), np.int32)
+            lanes = machine.local[raw]
+            walk = np.zeros_like(lanes)
+            end = np.zeros(len(blocks), np.int32)
+            count = np.zeros(len(blocks), np.int64)
             for t, n in enumerate(alive.tolist()):
-                s = flat[state[:n] + lanes[t, :n]]
+                s = machine.step(end[:n], lanes[t, :n])
+                walk[t, :n] = s
                 count[:n] += s >> 30
-                state[:n] = s & ~FLAG
-            counts[k] = count
-        out = np.empty((len(blocks), len(self.langs)), np.int64)
-        out[order] = counts.T
+                end[:n] = s & ~FLAG
+            todo = np.flatnonzero(before >= 0)
+            while len(todo):
+                todo = self._again(machine, lanes, lens, walk, end, count, todo, end[before[todo]], after)
+            out[order, k] = count
         return out
 
+    @staticmethod
+    def _again(machine: Machine, lanes, lens, walk, end, count, todo, state, after) -> np.ndarray:
+        """Walk the lanes from other first states; the lanes that continue one whose last state changes."""
+        changed = []
+        for t in range(len(lanes)):
+            s, old = machine.step(state, lanes[t, todo]), walk[t, todo]
+            count[todo] += (s >> 30) - (old >> 30)
+            walk[t, todo] = s
+            state = s & ~FLAG
+            apart = state != old & ~FLAG
+            last = apart & (lens[todo] == t + 1)
+            if last.any():
+                end[todo[last]] = state[last]
+                changed.append(after[todo[last]])
+            on = apart & ~last
+            todo, state = todo[on], state[on]
+            if not len(todo):
+                break
+        following = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+        return following[following >= 0]
+
     def codes(self, text: str) -> tuple[np.ndarray, int]:
         """Codes with one space for runs of others, and the number of letters."""
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -186,13 +253,14 @@ class CrossParser:
         coded = [self.codes(t) if t else (np.zeros(0, np.int32), 0) for t in texts]
         live = [i for i, (c, n) in enumerate(coded) if n]
         for s, e in groups_by_size([len(coded[i][0]) for i in live], 1 << 22):
-            blocks, owner = [], []
+            blocks, owner, continues = [], [], []
             for i in live[s:e]:
                 c = coded[i][0]
                 parts = [c[a : a + block] for a in range(0, len(c), block)]
                 blocks += parts
                 owner += [i] * len(parts)
-            found = self.phrases(blocks)
+                continues += [False] + [True] * (len(parts) - 1)
+            found = self.phrases(blocks, continues)
             where = np.array(owner)
             for_doc, at = np.unique(where, return_inverse=True)
             sums = np.zeros((len(for_doc), len(self.langs)), np.int64)
