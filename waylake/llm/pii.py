@@ -1,14 +1,17 @@
 """Operator 7: personal data by patterns and by information-theoretic disclosure, with DataFrame functions only.
 
 Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and phone numbers. Then the corpus
-tells which terms give a found value away: for a value e and a term t near it,
+tells which terms give a found value away. A protected entity e is a value, and also its class (the domain of an
+address, the network of an IP address, the issuer of a card, the area of a phone number), as most values are rare. For
+an entity e and a term t within ``context`` code points of it,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = ln(n(t,e) N / (n(t) n(e))) / ln(N / n(e))
 
-with counts of distinct texts. It is 1 when t occurs only with e. Terms seen with e in at least
-``support`` independent contexts, and in mostly independent ones, are removed from texts with e when
-their disclosure reaches ``remove_at``, and generalised when it reaches ``generalise_at``. Contexts
-with the same two min-hashes, as near copies have, are one.
+with counts of distinct texts. It is 1 when t occurs only with e. Terms (runs of at least ``min_chars`` letters and
+digits) seen with e in at least ``support`` independent contexts, and in mostly independent ones, are removed from texts
+with e when their disclosure reaches ``remove_at``, and generalised when it reaches ``generalise_at``: of a number the
+first digit stays and zeros take the place of the others, a name becomes the mark of its class (CODE with a digit, NAME
+with a capital, else TERM). Contexts with the same two min-hashes, as near copies have, are one.
 
 Positions come from cutting a text at the matches: the pieces between and the matches alternate, so
 sums of their lengths are code point offsets.
@@ -18,14 +21,14 @@ of characters twice: a match that fails at the start of a run fails inside it to
 
 Cases: null text counts as empty; texts of any length are searched whole; exact copies count once in
 the statistics, and contexts that are equal count once; repeated rows get equal spans; an empty table
-gives an empty result; other columns are carried along where texts are rewritten.
+gives an empty result; other columns are carried along where texts are rewritten, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waylake.llm.common import materialise
+from waylake.llm.common import materialise, packed
 
 #: Patterns by kind, in the order of the output.
 PATTERNS = {
@@ -41,7 +44,6 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-CONTEXT = 120  # code points on each side of a match that its terms are taken from
 MOST_BROADCAST = 100_000
 
 
@@ -99,43 +101,50 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(t, F.length(t))
 
 
-def _terms(part: Column) -> Column:
-    """Distinct terms of a text: lower-case runs of letters and digits, with a letter, of three characters or more."""
-    words = F.regexp_extract_all(F.lower(part), F.lit(TERM), F.lit(0))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike(r"\p{L}")))
+def _terms(part: Column, min_chars: int) -> Column:
+    """Distinct terms of a text: lower-case runs of so many letters and digits or more."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(part), F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= min_chars))
 
 
-def _entity(kind: Column, value: Column) -> Column:
-    """A value in the form that makes equal ones equal."""
-    return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
+def _entities(kind: Column, value: Column) -> Column:
+    """A value in the form that makes equal ones equal, and its class."""
+    digits = _digits(value)
+    own = F.when(kind.isin("card", "phone"), digits).otherwise(F.lower(value))
+    wide = (
+        F.when(kind == "email", F.regexp_extract(F.lower(value), "@.*", 0))
+        .when(kind == "ip", F.regexp_extract(value, r"^[0-9]+\.[0-9]+", 0))
+        .when(kind == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat(kind, F.lit(":"), own), F.concat(kind, F.lit(" of "), wide))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, context: int = 120) -> DataFrame:
     """(doc_id, th, spans) for every row, each span with the text around it; written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select("doc_id", text.alias("text"), text_key().alias("th"))
 
     def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        first = F.greatest(s["start"] - context, F.lit(0))
         before = F.substring(F.col("text"), first + 1, s["start"] - first)
-        after = F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT))
+        after = F.substring(F.col("text"), s["end"] + 1, F.lit(context))
         # terms cut off at the far ends go
         before = F.when(first > 0, F.regexp_replace(before, rf"^{TERM}", "")).otherwise(before)
-        after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, rf"{TERM}$", "")).otherwise(after)
+        after = F.when(F.length(after) == context, F.regexp_replace(after, rf"{TERM}$", "")).otherwise(after)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.concat(before, F.lit("\n"), after).alias("context"))
 
     found = with_base(slim).select("doc_id", "th", F.transform("_pii", around).alias("spans"))
     return materialise(found, "pii")
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, generalise_at: float = 0.75, remove_at: float = 0.9) -> DataFrame:
+def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, generalise_at: float = 0.75, remove_at: float = 0.9, min_chars: int = 2) -> DataFrame:
     """(entity, term, action): terms that give a protected value away, 'remove' or 'generalise'."""
     mentions = spans.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"))
-    mentions = mentions.select("th", _entity(F.col("s.kind"), F.col("s.value")).alias("entity"), F.col("s.context").alias("context"))
+    mentions = mentions.select("th", F.explode(_entities(F.col("s.kind"), F.col("s.value"))).alias("entity"), F.col("s.context").alias("context"))
     per_entity = mentions.groupBy("entity").agg(F.count_distinct("th").alias("n_e"))
     # contexts of near copies have equal smallest hashes of their terms and count as one
     least = lambda seed: F.array_min(F.transform("terms", lambda w: F.xxhash64(w, F.lit(seed))))
-    contexts = mentions.withColumn("terms", _terms(F.col("context"))).withColumn("c", F.xxhash64(least(1), least(2)))
+    contexts = mentions.withColumn("terms", _terms(F.col("context"), min_chars)).withColumn("c", F.xxhash64(least(1), least(2)))
     near = contexts.select("th", "entity", "c", F.explode("terms").alias("term"))
     near = materialise(near, "pii-near")
     together = near.groupBy("entity", "term").agg(F.count_distinct("c").alias("n_c"), F.count_distinct("th").alias("n_te"))
@@ -152,7 +161,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, genera
         return empty
     terms = candidates.select("term").distinct()
     small = terms.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    everywhere = docs.select(text_key().alias("th"), F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
+    everywhere = docs.select(text_key().alias("th"), F.explode(_terms(F.coalesce(F.col("text").cast("string"), F.lit("")), min_chars)).alias("term"))
     held = everywhere.join(F.broadcast(terms) if small else terms, "term", "left_semi")
     n_t = held.groupBy("term").agg(F.count_distinct("th").alias("n_t"))
     scored = candidates.join(n_t, "term")
@@ -166,7 +175,7 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, genera
 def term_spans(docs: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
     """(th, term_spans) for every text that holds both a protected value and a term that gives it away."""
     held = spans.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"))
-    held = held.select("th", _entity(F.col("s.kind"), F.col("s.value")).alias("entity")).distinct()
+    held = held.select("th", F.explode(_entities(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct()
     # a term may give several values away; removal is the stronger action
     strongest = held.join(terms, "entity").groupBy("th", "term").agg(F.max("action").alias("action"))
     wanted = strongest.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("acts"))
@@ -195,9 +204,9 @@ def _n(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def find(docs: DataFrame, **thresholds) -> DataFrame:
+def find(docs: DataFrame, context: int = 120, **thresholds) -> DataFrame:
     """(doc_id, counts by kind, base_sha256, spans) for every row of ``docs``."""
-    spans = scanned(docs)
+    spans = scanned(docs, context)
     terms = disclosing_terms(docs, spans, **thresholds)
     if terms.isEmpty():
         rows = spans.withColumn("term_spans", F.array().cast(SPAN))
@@ -214,7 +223,11 @@ def _rewritten(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        mark = F.when((s["kind"] == "term") & (s["value"] == "remove"), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        own = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        wider = F.when(own.rlike("^[0-9]+$"), F.rpad(F.substring(own, 1, 1), F.length(own), F.lit("0")))
+        wider = wider.when(own.rlike(r"\p{N}"), "[CODE]").when(own.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+        term = F.when(s["value"] == "remove", F.lit("")).otherwise(wider)
+        mark = F.when(s["kind"] == "term", term).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         fresh = s["start"] >= acc["at"]
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
@@ -222,19 +235,21 @@ def _rewritten(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
-    """``docs`` with marks like [EMAIL] for personal data, [TERM] for generalised terms, and removed terms gone."""
-    spans = scanned(docs)
-    terms = disclosing_terms(docs, spans, **thresholds)
-    rows = with_base(docs)
+def sanitise(docs: DataFrame, context: int = 120, **thresholds) -> DataFrame:
+    """``docs`` with marks like [EMAIL] for personal data, wider forms of generalised terms, and removed terms gone."""
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    spans = scanned(slim, context)
+    terms = disclosing_terms(slim, spans, **thresholds)
+    rows = packed(docs).select("row", F.col("row.text").cast("string").alias("text"))
+    rows = with_base(rows).withColumn("key", text_key())
     if terms.isEmpty():
-        rows = rows.withColumn("_terms", F.array().cast(SPAN))
+        rows = rows.withColumn("terms", F.array().cast(SPAN))
     else:
-        found = term_spans(docs, spans, terms).select(F.col("th").alias("_th"), F.col("term_spans").alias("_terms"))
-        rows = rows.join(found, text_key() == F.col("_th"), "left").withColumn("_terms", F.coalesce("_terms", F.array().cast(SPAN)))
-    every = F.concat("_pii", "_terms")
+        found = term_spans(slim, spans, terms).select(F.col("th").alias("key"), F.col("term_spans").alias("terms"))
+        rows = rows.join(found, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    every = F.concat("_pii", "terms")
     text = F.when(F.size(every) > 0, _rewritten(F.col("text"), every)).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
