@@ -19,7 +19,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators give to their own columns.
-CLASH = ["fingerprint", "component_id", "n_words", "kept", "base_failed", "length", "start", "spans", "th", "norm", "_src", "n", "lo", "rank", "part", "score"]
+CLASH = ["_q", "_g", "_lang", "_failed", "_kept", "_mcd_m", "_salt", "_pii", "_terms", "_th", "_doc_id", "_gone", "_n_lines", "_keep_id", "row", "key", "terms", "k", "gone", "k_doc", "repeats", "fingerprint", "component_id", "n_words", "kept", "base_failed", "length", "start", "spans", "th", "norm", "_src", "n", "lo", "rank", "part", "score"]
 LONG = "word " * 30_000 + "x" * 50_000
 HARD = [
     (1, "", "en", "a", 0), (2, None, None, None, None), (3, "same text of a few words here", "en", "a", 1), (4, "same text of a few words here", None, "a", 1),
@@ -85,6 +85,28 @@ def test_hard_rows(name, hard):
         assert len(found) == len(HARD)
 
 
+@pytest.mark.parametrize("name", ["lines", "filter", "sanitise", "keep one"])
+def test_columns_with_clashing_names_survive(name, hard):
+    found = OPERATORS[name](hard)
+    assert found.columns[: len(hard.columns)] == hard.columns
+    for r in found.collect():
+        assert all(r[c] == "clash" for c in CLASH) and (r["doc_id"] is not None or r["lang"] == "fr")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_take_hard_rows(spark, hard, sf, k):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    found = stage(spark, hard, sf)
+    rows = found.collect()
+    assert rows and {r["doc_id"] for r in rows} <= {r[0] for r in HARD}
+    if k < 4:
+        assert found.columns == corpus_pipeline.COLUMNS
+    if k in (1, 3):
+        assert len(rows) == len(HARD)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(name, hard):
     assert OPERATORS[name](hard.limit(0)).collect() == []
@@ -140,12 +162,49 @@ def test_cross_parse_is_the_longest_match_parse(local):
         assert len(codes) == len(plain) and letters == len(plain) - plain.count(" ")
         got = parser.phrases([codes[a : a + 1024] for a in range(0, len(codes), 1024)]).sum(axis=0)
         assert got.tolist() == [phrases(plain, references[k]) for k in parser.langs]
+        # blocks that continue a text don't begin a phrase
+        for size in (1, 7, 64):
+            cut = [codes[a : a + size] for a in range(0, len(codes), size)]
+            got = parser.phrases(cut, [k > 0 for k in range(len(cut))]).sum(axis=0)
+            assert got.tolist() == [phrases(plain, references[k], 1 << 40) for k in parser.langs]
     assert parser.predict(["123 ...", None, ""]) == [("und", 0.0)] * 3
 
 
+def test_language_with_many_letters():
+    """Letters beyond the table's, with the memory that the table takes."""
+    rnd = np.random.default_rng(2)
+    text = "".join(chr(0x4E00 + int(x)) for x in rnd.integers(0, 3000, 8000))
+    parser = langid.CrossParser(json.dumps({"zz": [text], "en": ["some plain words of a language " * 20]}))
+    machine = parser.machines[parser.langs.index("zz")]
+    assert sum(a.nbytes for a in (machine.table, machine.keys, machine.next, machine.first)) < 10_000_000
+    probe = text[50:90] + text[7000:7003] + "x" + text[:30]
+    n, i = 0, 0
+    while i < len(probe):
+        k = 1
+        while i + k <= len(probe) and probe[i : i + k] in text:
+            k += 1
+        i, n = i + max(1, k - 1), n + 1
+    codes, _ = parser.codes(probe)
+    assert parser.phrases([codes])[0][parser.langs.index("zz")] == n
+    assert parser.predict([text[300:500]])[0][0] == "zz"
+
+
 # 2 and 3 tokens
 
 
+def test_token_files_of_repeated_ids(spark, tmp_path, bpe):
+    """Positions follow the order in which ids are stored, also for rows with one doc_id."""
+    rows = [(1, "a b c d e f g h"), (1, "b"), (1, None), (2, "x y"), (2, "a")]
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, WORD_BPE)
+    stored = [r for r in token_files.read_token_files(spark, path).orderBy("doc_id", "row").collect()]
+    index = {r["start"]: (r["doc_id"], r["ids_crc32"]) for r in token_files.token_index(spark, path).collect()}
+    at = 0
+    for r in stored:
+        assert index[at] == (r["doc_id"], zlib.crc32(np.array(r["ids"], "<u4").tobytes()))
+        at += r["n_tokens"]
+
+
 def test_fast_encoding_is_the_library(bpe, local):
     texts = [*local.text[:150], "it's 'll DON'T", "<|endoftext|> a", "ÀÖ×÷ ßÿ", "a\x0bb", "١٢ İ Σς", "<| x |>", "", "==a1b2=="]
     assert [x.tolist() for x in bpe.encode(texts)] == [e.ids for e in bpe.library.encode_batch(texts, add_special_tokens=False)]
@@ -216,6 +275,31 @@ def test_rollup(spark, sf, tmp_path):
     assert sum(x["n_docs"] for x in r.totals().collect()) == 4
 
 
+def test_compact_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("s", "en", "v", 5, 1)], "source string, lang string, tokenizer_version string, n_tokens long, sign int")
+    r = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    r.commit(7, rows)
+    r.compact()
+    r.commit(3, rows)  # an id below those of the base
+    want = [("s", "en", "v", 2, 10)]
+    assert [tuple(x) for x in r.totals().collect()] == want
+    real = rollup.TokenRollup._sum
+
+    def fails(self, folders):
+        real(self, folders).collect()
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(rollup.TokenRollup, "_sum", fails)
+    with pytest.raises(RuntimeError):
+        r.compact()
+    monkeypatch.setattr(rollup.TokenRollup, "_sum", real)
+    assert [tuple(x) for x in r.totals().collect()] == want
+    for _ in range(2):
+        r.compact()
+        r.commit(3, rows)
+        assert [tuple(x) for x in r.totals().collect()] == want
+
+
 # 5 lines
 
 
@@ -467,9 +551,63 @@ def test_disclosure(spark):
     assert pii.disclosing_terms(copies, pii.scanned(copies)).count() == 0  # near copies have one context
 
 
+def brute_disclosure(texts, context=120, support=3, generalise_at=0.75, remove_at=0.9):
+    """(entity, term, action) of (doc_id, text) rows with e-mail addresses only, by the definition; no copies among the texts."""
+    near, contexts, holders = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    term = re.compile(r"[^\W_]+")
+    for i, t in texts:
+        for m in re.finditer(PLAIN["email"], t):
+            around = t[max(0, m.start() - context) : m.start()] + "\n" + t[m.end() : m.end() + context]
+            for e in ("email:" + m.group().lower(), "email of @" + m.group().lower().split("@")[1]):
+                holders[e].add(i)
+                for w in set(term.findall(around.lower())):
+                    if len(w) >= 2:
+                        near[e, w].add(i)
+                        contexts[e, w].add(around)
+    words = {i: set(term.findall(t.lower())) for i, t in texts}
+    found = set()
+    for (e, w), docs in near.items():
+        n_c, n_te, n_e, n = len(contexts[e, w]), len(docs), len(holders[e]), len(texts)
+        if n_c >= support and 2 * n_c >= n_te and n > n_e:
+            n_t = sum(w in x for x in words.values())
+            ratio = np.log(n_te * n / (n_t * n_e)) / np.log(n / n_e)
+            if ratio >= generalise_at - 1e-9:
+                found.add((e, w, "remove" if ratio >= remove_at - 1e-9 else "generalise"))
+    return found
+
+
+def test_disclosure_by_definition(spark):
+    """Planted names and numbers near addresses of three domains, against the definition."""
+    rnd = np.random.default_rng(9)
+    word = lambda: f"w{rnd.integers(0, 150)}"
+    rows = []
+    for i in range(160):
+        words = [word() for _ in range(12)]
+        if i < 40:
+            k = i % 4
+            words[6:6] = [f"Name{k}", f"p{i}@{'abc'[k % 3]}.org", str(4000 + k % 3)]
+        elif i < 50:
+            words[3] = f"Name{i % 4}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["entity"], r["term"], r["action"]) for r in pii.disclosing_terms(df, pii.scanned(df)).collect()}
+    want = brute_disclosure(rows)
+    assert got == want and {a for _, _, a in want} == {"remove", "generalise"}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert not any("4000" in clean[i] for i in range(40)) and any("[CODE]" in clean[i] for i in range(40))
+    assert all(clean[i] == t for i, t in rows[50:])
+
+
 # 8 SimHash
 
 
+def test_keep_one_by_row(spark):
+    a, b = "one text of some words here", "quite another text with no word in common at all"
+    rows = [(2, a), (5, a), (5, b), (5, b), (None, a), (None, b), (7, "a third one that is all alone"), (7, "a third one that is all alone")]
+    kept = sorted(tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [(2, a), (5, b), rows[6]]
+
+
 @pytest.mark.parametrize("tile", [8192, 16])
 def test_simhash(spark, docs, local, tile):
     rows = [*zip(local.doc_id.tolist(), local.text), *[(10**6 + i, t) for i, t in near_copies(120)], (10**7, ""), (10**7 + 1, None)]

@@ -12,7 +12,8 @@ more than others. Groups under ``min_group`` documents are pooled by language, a
 it are pooled together; a pool still under it gives no verdict, and its documents stay.
 
 Cases: null text has no words and fails the base rules; null language or source is a group value of
-its own; repeated rows are judged alike; a null doc_id stays; an empty table gives an empty result.
+its own; repeated rows are judged alike; a null doc_id stays; an empty table gives an empty result; other
+columns are ignored by judge() and carried along by filter_documents(), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from waylake.llm.common import materialise
+from waylake.llm.common import materialise, packed
 
 UNIT = 1024  # statistics are kept as whole numbers of 1/UNIT
-#: Smallest standard deviation of each statistic: log words, log word length, root of symbols per
+#: Added to the spread of each statistic, as a standard deviation of its own: log words, log word length, root of symbols per
 #: word, share of repeated lines, share of words in repeated passages, share of capital letters.
 FLOORS = (0.5, 0.1, 0.08, 0.1, 0.08, 0.06)
 DIM = len(FLOORS)
@@ -223,11 +224,14 @@ def fit(stats: DataFrame, share: float = 0.75, steps: int = 5, min_group: int =
 
     for _ in range(steps):
         binned = small_join(vectors, params, "_g", "inner").withColumn("bin", F.floor(F.log2(1 + _d2()) * 16))
-        sums = binned.groupBy("_g", "bin").agg(
+        # whole numbers of one partition fit in a long, those of all of them may not
+        each = binned.withColumn("part", F.spark_partition_id()).groupBy("_g", "bin", "part").agg(
             F.count("*").alias("n"),
             *[F.sum(f"_q.x{i}").alias(f"s{i}") for i in range(DIM)],
             *[F.sum(F.col(f"_q.x{i}") * F.col(f"_q.x{j}")).alias(f"p{k}") for k, (i, j) in enumerate(PAIRS)],
         )
+        names = [*[f"s{i}" for i in range(DIM)], *[f"p{k}" for k in range(len(PAIRS))]]
+        sums = each.groupBy("_g", "bin").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in names])
         # a group has at most a few hundred bins, however many documents it has
         params = materialise(sums.groupBy("_g").applyInPandas(step, "_g string, _mcd_m array<double>, _mcd_inv array<double>"), "mcd-step")
     return groups, params
@@ -262,7 +266,9 @@ def filter_documents(docs: DataFrame, tail: float = 1e-6, **options) -> DataFram
     slim = docs.select("doc_id", F.col("text").cast("string"), "lang", "source")
     stats = materialise(with_stats(slim).select("lang", "source", "_q"), "quality")
     groups, params = fit(stats.where(~base_failed()), **options)
-    return _verdict(with_stats(docs), groups, params, cutoff_of(tail)).where("_kept").select(*docs.columns)
+    rows = packed(docs).select("row", F.col("row.text").cast("string").alias("text"), "row.lang", "row.source")
+    kept = _verdict(with_stats(rows).drop("text"), groups, params, cutoff_of(tail)).where("_kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ nothing; groups whose documents and tokens are all taken back disappear from the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waylake.llm.common import WORD, fresh_path
@@ -45,26 +47,27 @@ class TokenRollup:
         return self._sum(self._folders())
 
     def compact(self) -> None:
-        """Fold all batches into a new base; readers of the old files are not disturbed until they are deleted."""
+        """Fold all batches into a new base of the next generation. It becomes visible by one rename, with the ids that
+        it holds; only then are the folders that it replaces deleted, so a crash at any point loses nothing."""
         folders = self._folders()
+        bases = [int(f.rsplit("=", 1)[1]) for f in folders if "/base=" in f]
         ids = sorted(self._compacted() | {int(f.rsplit("=", 1)[1]) for f in folders if "/batch=" in f})
         if not ids:
             return
-        base = f"{self.path}/base-upto={max(ids)}"
-        staging = f"{self.path}/_staging-{max(ids)}"
-        self._sum(folders).write.mode("overwrite").parquet(f"{staging}/sums")
-        self.spark.createDataFrame([(i,) for i in ids], "id long").write.mode("overwrite").parquet(f"{staging}/ids")
+        generation = max(bases, default=0) + 1
+        staging, base = f"{self.path}/_staging-{uuid.uuid4().hex}", f"{self.path}/base={generation}"
+        self._sum(folders).write.parquet(f"{staging}/sums")
+        self.spark.createDataFrame([(i,) for i in ids], "id long").write.parquet(f"{staging}/ids")
         fs, path = self._fs()
-        old = [f for f in folders if f != base]
-        fs.delete(path(base), True)
-        fs.rename(path(staging), path(base))  # one rename makes the base visible with its ids
-        for f in old:
+        if fs.exists(path(base)) or not fs.rename(path(staging), path(base)):
+            raise RuntimeError(f"another writer made {base}")
+        for f in folders:
             fs.delete(path(f), True)
 
     def _sum(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        files = [f"{f}/sums" if "/base-upto=" in f else f for f in folders]
+        files = [f"{f}/sums" if "/base=" in f else f for f in folders]
         read = self.spark.read.schema(SCHEMA).parquet(*files)
         return read.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
@@ -79,7 +82,7 @@ class TokenRollup:
         if not fs.exists(path(self.path)):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        bases = sorted((int(n.split("=")[1]), n) for n in names if n.startswith("base-upto="))
+        bases = sorted((int(n.split("=")[1]), n) for n in names if n.startswith("base="))
         held = self._held(bases[-1][1]) if bases else set()
         batches = [n for n in names if n.startswith("batch=") and int(n.split("=")[1]) not in held and fs.exists(path(f"{self.path}/{n}/_SUCCESS"))]
         return [f"{self.path}/{n}" for n in sorted(batches) + ([bases[-1][1]] if bases else [])]
@@ -90,7 +93,7 @@ class TokenRollup:
     def _compacted(self) -> set[int]:
         held: set[int] = set()
         for f in self._folders():
-            if "/base-upto=" in f:
+            if "/base=" in f:
                 held |= self._held(f.rsplit("/", 1)[1])
         return held
 

@@ -10,7 +10,8 @@ than a tile are split into pairs of tiles, so no task holds an unbounded group.
 
 Cases: null text counts as empty; a text with no word has fingerprint zero and is linked like any
 other; repeated rows stay and share a component; a null doc_id stays and takes the component of its
-fingerprint; an empty table gives an empty result; other columns are ignored.
+fingerprint; an empty table gives an empty result; other columns are
+ignored, and carried along by keep_one().
 """
 
 from __future__ import annotations
@@ -22,15 +23,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from waylake.llm.common import connected_components, materialise
+from waylake.llm.common import connected_components, materialise, packed
 
 BITS = 64
 SEED = 42
 _UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def text_key(text: str = "text") -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of a text as an unsigned 64-bit number."""
     # bytes.split() splits at exactly the six ASCII white space characters
@@ -48,15 +53,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row, fp as a signed long."""
+    """(doc_id, th, fp): one row per input row, fp as a signed long; th names the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", text_key())
+    return slim.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 class BitPlanes:
@@ -187,14 +192,17 @@ def _batch_links(b: pd.DataFrame, group: list[str], radius: int, last: bool = Fa
     return pd.DataFrame({"a": np.array(a_out, np.int64), "b": np.array(b_out, np.int64)}), keep
 
 
+def _labelled(distinct: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+    """``distinct`` (one row per fp) with the component of its fingerprint."""
+    parts = connected_components(links(distinct.select("fp"), radius, blocks, tile)).withColumnRenamed("node", "fp")
+    return distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 5, tile: int = 8192) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialise(fingerprints(docs, shingle), "simhash")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
-    parts = connected_components(links(distinct.select("fp"), radius, blocks, tile))
-    labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_doc", F.coalesce("component", "fp").alias("component")
-    )
+    labelled = _labelled(distinct, radius, blocks, tile)
     smallest = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     by_fp = labelled.join(smallest, "component").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
@@ -202,15 +210,24 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks:
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that come first in their group: by doc_id, then by text, one of each.
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, blocks: int = 5, tile: int = 8192) -> DataFrame:
+    """One row of ``docs`` per group, the first by doc_id (nulls last), then by a hash of the text.
 
-    Rows that share the smallest doc_id (repeated rows) count as one document.
-    """
-    groups = near_duplicates(docs.select("doc_id", "text"), **options)
-    keepers = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keepers.withColumnRenamed("doc_id", "_keep_id"), F.expr("doc_id <=> _keep_id"), "left_semi")
-    return kept
+    Of rows that repeat both doc_id and text one stays, the first by a hash of the other columns."""
+    fps = materialise(fingerprints(docs, shingle), "simhash")
+    place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "th")
+    distinct = materialise(fps.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
+    keepers = _labelled(distinct, radius, blocks, tile).groupBy("component").agg(F.min("first").alias("k"))
+    repeated = fps.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").toDF("r_doc", "r_th", "n")
+    same = F.col("k_doc").eqNullSafe(F.col("r_doc")) & F.col("k_th").eqNullSafe(F.col("r_th"))
+    chosen = keepers.select(F.col("k.doc_id").alias("k_doc"), F.col("k.th").alias("k_th")).join(repeated, same, "left")
+    chosen = materialise(chosen.select("k_doc", "k_th", F.col("n").isNotNull().alias("repeats")), "simhash-kept")
+    rows = packed(docs)
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text")).withColumn("th", text_key())
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("k_doc")) & F.col("th").eqNullSafe(F.col("k_th")))
+    single = rows.where("not repeats").select("row")
+    once = rows.where("repeats").groupBy("k_doc", "k_th").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return single.union(once).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ maximum and Bloom filter. Positions across the whole corpus come from per-file t
 file) and a running sum inside each file.
 
 Cases: null or empty text is a document that holds just the end id; null doc_ids come first; rows
-with the same doc_id are put in order by their text; an empty table gives an empty file set; other
+with the same doc_id are put in order by their text, and ``row`` keeps the order of a file; an empty table gives an empty file set; other
 columns are ignored.
 """
 
@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from waylake.llm.common import fresh_path
 from waylake.llm.tokens import WordBpe, loaded, read_model
 
-SCHEMA = "doc_id long, n_tokens long, ids array<int>"
+SCHEMA = "doc_id long, n_tokens long, ids array<int>, row long"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """(doc_id, n_tokens, ids) with the end id appended; keeps the order of rows in a partition."""
+    """(doc_id, n_tokens, ids, row) with the end id appended; row counts the rows of a partition, in its order."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(tokenizer).decode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(WordBpe, model.value)
+        row = 0
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 b = big.slice(at, 1000)
@@ -43,7 +44,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFr
                 for x, s in zip(found, bounds[:-1].tolist()):
                     flat[s : s + len(x)] = x
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens), ids], ["doc_id", "n_tokens", "ids"])
+                rows = pa.array(np.arange(row, row + len(found), dtype=np.int64))
+                row += len(found)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens), ids, rows], ["doc_id", "n_tokens", "ids", "row"])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -68,7 +71,7 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids); given documents only if listed, by metadata pruning."""
+    """(doc_id, n_tokens, ids, row); given documents only if listed, by metadata pruning."""
     df = spark.read.schema(SCHEMA).orc(path)
     return df if doc_ids is None else df.where(F.col("doc_id").isin(doc_ids))
 
@@ -83,10 +86,10 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             cuts = (lists.offsets.to_numpy() * 4).tolist()
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
             n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_tokens", "ids_crc32", "file"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(crc, pa.int64()), b.column(2), b.column(3)], ["doc_id", "n_tokens", "ids_crc32", "row", "file"])
 
-    stored = read_token_files(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-    rows = stored.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string")
+    stored = read_token_files(spark, path).select("doc_id", "ids", "row", F.col("_metadata.file_name").alias("file"))
+    rows = stored.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, row long, file string")
     # totals come from the n_tokens column alone: ids are not read for them
     files = (
         read_token_files(spark, path)
@@ -95,7 +98,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     )
     in_order = W.orderBy(F.col("first").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("total").over(in_order), F.lit(0)).alias("base"))
-    in_file = W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
+    in_file = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     return (
         rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(in_file), F.lit(0)))
         .join(bases, "file")
