@@ -210,6 +210,14 @@ def test_fast_encoding_is_the_library(bpe, local):
     assert [x.tolist() for x in bpe.encode(texts)] == [e.ids for e in bpe.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_built_to_collide(bpe):
+    """Thue-Morse strings have equal polynomial hashes modulo 2^64, whatever the base."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    assert [x.tolist() for x in bpe.encode([a, b])] == [e.ids for e in bpe.library.encode_batch([a, b], add_special_tokens=False)]
+
+
 def test_token_files(spark, docs, local, tmp_path, bpe):
     path = str(tmp_path / "ids")
     token_files.write_token_files(docs.repartition(5), path, WORD_BPE, row_index_stride=1000)

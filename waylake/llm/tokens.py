@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -31,7 +32,7 @@ _PLAIN = bytes(_LETTERS + _SPACE + _DIGITS + _OTHER)
 class Pool:
     """Id sequences of segments by 64-bit key, in one growing array; ``extra`` runs in parallel."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self.clear()
 
@@ -68,7 +69,9 @@ class Pool:
 
 
 class SegmentHash:
-    """64-bit hashes of byte ranges of a buffer, from prefix sums."""
+    """64-bit hashes of byte ranges of a buffer, from prefix sums; of long ranges, which can be built to collide, by xxHash."""
+
+    LONG = 256
 
     def __init__(self, seed: int = 1):
         self.table = np.random.default_rng(seed).integers(1, _MASK, 256, np.uint64, endpoint=True)
@@ -82,7 +85,10 @@ class SegmentHash:
         sums = np.empty(len(buf) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.table[buf] * self.pow[: len(buf)], out=sums[1:])
-        return (sums[ends] - sums[starts]) * self.inv[starts]
+        found = (sums[ends] - sums[starts]) * self.inv[starts]
+        for i in np.flatnonzero(ends - starts > self.LONG).tolist():
+            found[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+        return found
 
 
 def groups_by_size(sizes: Sequence[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
