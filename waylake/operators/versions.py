@@ -130,14 +130,14 @@ def reject(features: DataFrame, ids: DataFrame, key: str = "id", rejected: bool
 
 
 def edit_attributes(attributes: DataFrame, edits: DataFrame, options: DataFrame, changeset: int) -> DataFrame:
-    """Apply a batch of edits (feature_id, s_name, s_value) to attributes.
+    """What each edit (feature_id, s_name, s_value) does to the attributes.
 
     An edit is INVALID if the name's options exclude the value, UPDATE if the row is already part of the
     changeset, NEW if the attribute never existed, NEW_VERSION if an older version holds it, and NONE if
     the value is the current one.
     """
     keys = ["feature_id", "s_name"]
-    mine = attributes.where(F.col("changeset_id") == changeset).select(*keys, F.lit(True).alias("_mine"))
+    mine = attributes.where(F.col("changeset_id") == changeset).select(*keys, F.lit(True).alias("_mine")).distinct()
     current = attributes.where(is_latest()).select(*keys, F.col("s_value").alias("old_value"), F.lit(True).alias("_old"))
     allowed = options.select("s_name", "options")
     wide = edits.join(mine, keys, "left").join(current, keys, "left").join(allowed, "s_name", "left")
@@ -152,6 +152,20 @@ def edit_attributes(attributes: DataFrame, edits: DataFrame, options: DataFrame,
     return wide.select(*keys, "s_value", "old_value", action.alias("action"))
 
 
+def apply_edits(rows: DataFrame, decided: DataFrame, keys: Sequence[str], values: Sequence[str], changeset: int) -> DataFrame:
+    """The table after a batch of decided edits (V10, V11); decided: keys, values, action; one edit per key.
+
+    UPDATE changes the values of the changeset's own rows; NEW and NEW_VERSION add a pending row each,
+    whose other columns are null; INVALID and NONE change nothing.
+    """
+    new = F.struct(*values).alias("_new")
+    updates = decided.where("action = 'UPDATE'").select(*keys, F.lit(changeset).alias("changeset_id"), new)
+    joined = rows.join(updates, [*keys, "changeset_id"], "left")
+    changed = joined.withColumns({v: F.when(F.col("_new").isNotNull(), F.col("_new")[v]).otherwise(F.col(v)) for v in values}).select(*rows.columns)
+    added = decided.where("action in ('NEW', 'NEW_VERSION')").select(*keys, *values, F.lit(changeset).cast(rows.schema["changeset_id"].dataType).alias("changeset_id"))
+    return changed.unionByName(added, allowMissingColumns=True)
+
+
 def inherit(relationships: DataFrame, attributes: DataFrame, matched: str = "matched", names: Sequence[str] | None = None) -> DataFrame:
     """Attributes of input features on every way that they matched: (feature_id, s_name, s_value)."""
     exploded = relationships.select("input_id", F.explode(matched).alias("feature_id"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from waylake.plans import delta, network, relational, spatial, versioning
+from waylake.plans import delta, fetching, network, relational, spatial, versioning
 
 QUERIES = {}
 ORACLES = {}
-for _part in (delta, relational, versioning, spatial, network):
+for _part in (delta, relational, versioning, spatial, network, fetching):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
