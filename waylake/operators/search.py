@@ -124,35 +124,37 @@ def along(line: Column, interval: Column | float | None = None, parts: int | Non
     the line is added where ``end`` is set; equal parts without ``least`` end there anyway. A line of one
     point gives that point, once.
     """
-    total = geo.length_km(line)
     exact = parts is not None and least is None
-    gap = F.lit(interval) if parts is None else total / parts
-    if least is not None:
-        gap = F.greatest(gap, F.lit(least))
-    count = F.lit(parts) if exact else F.floor(total / gap).cast("int")
-    reach = F.aggregate(
-        geo.steps(line),
-        F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>,at:double,km:double>>"),
-        lambda t, s: F.concat(
-            t,
-            F.array(
-                F.struct(
-                    s["a"].alias("a"), s["b"].alias("b"),
-                    F.coalesce(F.try_element_at(t, F.lit(-1))["at"] + F.try_element_at(t, F.lit(-1))["km"], F.lit(0.0)).alias("at"),
-                    geo.haversine_km(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]).alias("km"),
-                )
-            ),
-        ),
-    )
-
-    def place(i: Column) -> Column:
-        d = i * gap
-        s = F.element_at(F.filter(reach, lambda r: (r["at"] <= d) & (r["km"] > 0)), -1)
-        t = F.least((d - s["at"]) / s["km"], F.lit(1.0))
-        return F.struct(geo.lerp(s["a"]["x"], s["b"]["x"], t).alias("x"), geo.lerp(s["a"]["y"], s["b"]["y"], t).alias("y"))
-
-    inner = F.when((total > 0) & (count > 0), F.transform(F.sequence(F.lit(1), count), place))
-    found = F.concat(F.slice(line, 1, 1), F.coalesce(inner, F.array().cast(geo.LINE)))
-    if end and not exact:
-        found = F.concat(found, F.when(F.size(line) > 1, F.slice(line, -1, 1)).otherwise(F.array().cast(geo.LINE)))
+    km = lambda s: geo.haversine_km(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
+    measured = F.filter(F.transform(geo.steps(line), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), km(s).alias("km"))), lambda s: s["km"] > 0)
+    none = F.array().cast(geo.LINE)
+
+    def spread(steps: Column, gap: Column) -> Column:
+        """Each step adds the multiples of the gap that it reaches."""
+
+        def add(t: Column, s: Column) -> Column:
+            low, high = F.floor(t["at"] / gap), F.floor((t["at"] + s["km"]) / gap)
+
+            def place(i: Column) -> Column:
+                part = F.least((i * gap - t["at"]) / s["km"], F.lit(1.0))
+                return F.struct(geo.lerp(s["a"]["x"], s["b"]["x"], part).alias("x"), geo.lerp(s["a"]["y"], s["b"]["y"], part).alias("y"))
+
+            new = F.when(high > low, F.transform(F.sequence(low + 1, high), place)).otherwise(none)
+            return F.struct((t["at"] + s["km"]).alias("at"), F.concat(t["points"], new).alias("points"))
+
+        return F.aggregate(steps, F.struct(F.lit(0.0).alias("at"), none.alias("points")), add)["points"]
+
+    def width(steps: Column) -> Column:
+        if parts is None:
+            return F.lit(interval) if not isinstance(interval, Column) else interval
+        equal = F.aggregate(steps, F.lit(0.0), lambda t, s: t + s["km"]) / parts
+        return equal if least is None else F.greatest(equal, F.lit(least))
+
+    # a list of one binds a value to a name, so that it is computed once per line
+    inner = F.get(F.transform(F.array(measured), lambda steps: F.get(F.transform(F.array(width(steps)), lambda gap: spread(steps, gap)), 0)), 0)
+    tail = F.when(F.size(line) > 1, F.slice(line, -1, 1)).otherwise(none)
+    if exact:  # the last of the parts ends at the line's end, whatever the rounding
+        found = F.concat(F.slice(line, 1, 1), F.when(F.size(measured) > 0, F.concat(F.slice(inner, 1, parts - 1), tail)).otherwise(none))
+    else:
+        found = F.concat(F.slice(line, 1, 1), inner, tail if end else none)
     return F.when(F.size(line) > 0, found)
