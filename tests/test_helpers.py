@@ -66,3 +66,12 @@ def test_surrogate_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
     got = {r["k"]: r["n"] for r in eav.surrogate_ids(df, ["k"], "n", after=10).collect()}
     assert got == {k: k + 11 for k in range(1000)}
+
+
+def test_publish_document(spark, tmp_path):
+    base = str(tmp_path / "out")
+    for day, ids in (("2024/01/01", ["a"]), ("2024/01/02", ["b", "c"])):
+        export.publish_document(spark.createDataFrame([(i,) for i in ids], "element string"), base, day, day)
+    read = lambda at: {r[0] for r in spark.read.text(f"{base}/{at}").collect()}
+    assert read("latest/elements") == read("2024/01/02/elements") == {"b", "c"}
+    assert read("latest/header") == {"2024/01/02"} and read("2024/01/01/elements") == {"a"}

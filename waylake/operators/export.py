@@ -36,6 +36,13 @@ def write_document(elements: DataFrame, path: str, head: str) -> None:
     elements.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
+def publish_document(elements: DataFrame, base: str, date: str, head: str) -> None:
+    """The document under its date, and the same under ``latest``, copied from what was written."""
+    write_document(elements, f"{base}/{date}", head)
+    written = elements.sparkSession.read.text(f"{base}/{date}/elements").withColumnRenamed("value", "element")
+    write_document(written, f"{base}/latest", head)
+
+
 def point_feature(key: Column, x: Column, y: Column, properties: Column) -> Column:
     """A GeoJSON feature of a point."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array(x.cast(DEGREES), y.cast(DEGREES)).alias("coordinates"))
