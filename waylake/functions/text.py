@@ -1,8 +1,11 @@
-"""Text, encoding and calendar helpers."""
+"""Text, encoding and calendar helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def snake_case(name: Column) -> Column:
@@ -51,6 +54,28 @@ def day_schedule(every_s: int) -> Column:
     return F.sequence(F.lit(0), F.lit(86400 - every_s), F.lit(every_s))
 
 
+def epoch_now() -> Column:
+    """Seconds since 1970 at the start of the query."""
+    return F.unix_timestamp(F.current_timestamp())
+
+
+def clock_time(epoch: Column, zone: str = "UTC") -> Column:
+    """What the clocks of a zone show at an epoch, whatever the session's zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), start + F.make_dt_interval(secs=epoch))
+
+
+@contextmanager
+def session_zone(spark: SparkSession, zone: str) -> Iterator[None]:
+    """The session's time zone for a block of code, put back afterwards."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def dated_path(day: Column) -> Column:
     """'2024/03/07' for the folder of a day's export."""
     return F.date_format(day, "yyyy/MM/dd")

@@ -10,6 +10,14 @@ from waylake.operators import versions
 from waylake.operators.fetch import ORIGINAL, has_prefix
 from waylake.operators.versions import is_latest
 
+# fixed values: names of declared-road attributes, which deltas of a source leave alone
+PROTECTED_NAMES = (
+    "DEC_NAME", "DEC_TYPE", "RD_NUM", "RD_SECTION", "CLASSN", "ARTERIAL", "PROFILE", "COMPLEX", "RTE_NO", "CWAY", "SERVICE_RD", "RAMP",
+    "CBR", "R_RTE_NO", "R_CWAY", "R_RAMP", "RNDB_EDIT", "SRNS1", "SRNS2", "SRNS3", "MEL30_ART", "RMANUM", "RMACLASS", "RAMP_NUM",
+    "RAMP_NAME", "DEC_STATUS", "PREV_RMA", "AUSLINK", "RMC", "MAINT_ORG", "LGA_NAME", "LGA_ABB_NAME", "REGION_NAME",
+    "RESPONSIBLE_REGION_NAME", "declared_road",
+)
+
 Filter = tuple[str, str, object] | str
 
 _COMPARE = {
@@ -53,6 +61,11 @@ def load(
     return versions.upsert(target, incoming, keys, update=conflict != "nothing")
 
 
+def unprotected(attributes: DataFrame) -> DataFrame:
+    """Current attributes that a source's delta may touch: not edited by a user and not of a protected name."""
+    return attributes.where(is_latest() & F.col("user_edit").isNull() & ~F.col("s_name").isin(*PROTECTED_NAMES))
+
+
 def reload_layer(target: DataFrame, incoming: DataFrame, layer: str) -> DataFrame:
     """The layer's earlier rows go, the incoming ones take their place."""
     return target.where(~F.col("layer_id").eqNullSafe(layer)).unionByName(incoming)
