@@ -732,6 +732,77 @@ def test_damaged_streams():
     assert mpeg_audio.parse_header(b"\xff\xfb\xf0\x00") is None
 
 
+def _bits(text):
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big") if text else b""
+
+
+def _slow_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ (0x8005 if crc >> 15 ^ int(b) else 0)) & 0xFFFF
+    return crc
+
+
+@pytest.mark.parametrize(
+    "head, allocation, selection",
+    [
+        (b"\xff\xfe\x94\x00", "01" * 128, ""),  # layer I, stereo: 64 allocations of 4 bits
+        (b"\xff\xfe\x94\xc0", "1001" * 32, ""),  # mono
+        (b"\xff\xfe\x94\x50", "0001" * (16 + 24), ""),  # joint stereo, one allocation for both from subband 8 on
+        (b"\xff\xfc\xa4\x00", "0001" * 22 + "000" * 24 + "01" * 8, "10" * 30),  # layer II, 192 kbit/s at 48 kHz: 27 subbands
+        (b"\xff\xfc\xa0\x00", "0000" * 22 + "001" * 24 + "00" * 14, "11" * 24),  # at 44.1 kHz: 30 subbands
+        (b"\xff\xfc\x24\xc0", "0010" * 2 + "100" * 6, "01" * 8),  # 48 kbit/s, mono: 8 subbands
+        (b"\xff\xfc\x28\xc0", "0010" * 2 + "100" * 10, "01" * 12),  # at 32 kHz: 12
+        (b"\xff\xf4\x80\xc0", "0010" * 4 + "000" * 7 + "10" * 19, "01" * 23),  # version 2
+        (b"\xff\xfc\xa4\x40", "0001" * (8 + 7) + "001" * 12 + "00" * 4, "10" * (8 + 14 + 24)),  # joint stereo from subband 4 on
+    ],
+)
+def test_checksums_of_layers(head, allocation, selection):
+    header = mpeg_audio.parse_header(head)
+    covered = allocation + selection
+    sums = _slow_crc("".join(f"{b:08b}" for b in head[2:]) + covered)
+    frame = (head + sums.to_bytes(2, "big") + _bits(covered)).ljust(header.length, b"\x55")
+    assert mpeg_audio.protected_bits(frame, header) == len(covered)
+    got = mpeg_audio.read_stream(frame * 3)
+    assert (got.crc_ok, got.crc_bad, len(got.offsets)) == (3, 0, 3)
+    broken = bytearray(frame * 3)
+    broken[header.length + 6] ^= 0x10
+    got = mpeg_audio.read_stream(bytes(broken))
+    assert (got.crc_ok, got.crc_bad) == (2, 1)
+
+
+def test_tags_and_tables():
+    payload, n = mpeg_audio.padded("word " * 1000)
+    data = mpeg_audio.write_stream(payload, n)
+    audio = data[data.index(b"\xff\xfa") :]
+    seven = lambda k: bytes(k >> s & 127 for s in (21, 14, 7, 0))
+
+    def tags(version, flags, body, after=b""):
+        got = mpeg_audio.read_stream(b"ID3" + bytes([version, 0, flags]) + seven(len(body)) + body + after + audio)
+        assert got.skipped == 0 and got.payload[: len(payload)] == payload
+        return got.tags
+
+    v3 = lambda name, text: name + len(text).to_bytes(4, "big") + b"\0\0" + text
+    assert tags(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + v3(b"TIT2", b"\0abc")) == {"TIT2": "abc"}  # extended header
+    latin = v3(b"TIT2", b"\0a\xff\xe0b") + bytes(20)
+    assert tags(3, 0x80, latin.replace(b"\xff", b"\xff\0")) == {"TIT2": "a\xff\xe0b"}  # unsynchronised
+    assert tags(3, 0, v3(b"TPE1", b"\1" + "é\u4e2d".encode("utf-16"))) == {"TPE1": "é\u4e2d"}
+    assert tags(3, 0, v3(b"TXXX", b"\1" + "k\0".encode("utf-16") + "v".encode("utf-16"))) == {"k": "v"}
+    assert tags(3, 0, b"TIT2" + (4).to_bytes(4, "big") + b"\0\x80" + b"\0abc" + v3(b"TPE1", b"\0x")) == {"TPE1": "x"}  # compressed
+    v4 = lambda name, text, form=0: name + seven(len(text)) + bytes([0, form]) + text
+    assert tags(4, 0x50, seven(6) + b"\1\0" + v4(b"TIT2", b"\3" + "é".encode()), b"3DI\4\0\x50" + seven(0)) == {"TIT2": "é"}  # footer
+    assert tags(4, 0, v4(b"TIT2", seven(4) + b"\0a\xff\0\xe0", 3) + v4(b"TPE1", b"\0y")) == {"TIT2": "a\xff\xe0", "TPE1": "y"}
+    assert tags(2, 0, b"TT2\0\0\4\0abcTXX\0\0\4\0k\0v") == {"TT2": "abc", "k": "v"}
+    assert tags(3, 0, b"TIT2\x7f\xff\xff\xff\0\0\0cut") == {"TIT2": "cut"} and tags(3, 0, b"") == {}
+    # a table of three entries, two frames each
+    size = len(mpeg_audio.FRAME_HEADS[9]) + mpeg_audio.ROOM[9]
+    first = (b"\xff\xfb" + mpeg_audio.FRAME_HEADS[9][2:4] + bytes(32) + b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (6).to_bytes(4, "big") + b"".join(k.to_bytes(2, "big") for k in (3, 10, 2, 2, 100, 110, 120))).ljust(size, b"\0")
+    got = mpeg_audio.read_stream(first + audio[len(first) :])
+    assert (got.table_frames, got.table_bytes, got.seek_points) == (6, 5000, [0, 1000, 2100])
+    whole = mpeg_audio.read_stream(data)
+    assert len(whole.seek_points) == 100 and all(0 <= a <= b < whole.table_bytes for a, b in zip(whole.seek_points, whole.seek_points[1:]))
+
+
 # the pipeline
 
 

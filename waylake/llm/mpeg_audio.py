@@ -3,9 +3,9 @@
 Payload bytes are stored losslessly in MPEG-1 layer III streams: an ID3v2 tag, a frame with a
 variable-bitrate table (Xing: frames, bytes, 100 seek points), and frames that carry a checksum, empty
 side information and payload as ancillary data, so they play as silence. The reader does not rely on
-the writer: it skips tags, looks for frame headers and resynchronises after foreign bytes, checks
-every frame's CRC-16, reads the variable-bitrate table, and gives exact durations (samples over
-sampling rate) and the seek offset of every frame.
+the writer: it reads tags (ID3v1, ID3v2.2 to 2.4), looks for frame headers and resynchronises after foreign bytes,
+checks the CRC-16 of every frame of layers I to III that has one, reads the variable-bitrate table (Xing or VBRI), and
+gives exact durations (samples over sampling rate), the seek offset of every frame and the table's seek points.
 
 Cases: null text counts as empty, whose payload is 64 zero bytes; bytes that hold no frame give an
 empty index with zero duration; frames with a wrong checksum are counted and their payload is left
@@ -36,6 +36,10 @@ BITRATES = {
 }
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
+# fixed values too: bits of the allocation of each subband in layer II, as (bits, subbands)
+WIDTHS = ((4, 11), (3, 12), (2, 7))  # version 1
+WIDTHS_LOW_RATE = ((4, 2), (3, 10))  # version 1 under 56 kbit/s a channel
+WIDTHS_HALF_RATE = ((4, 4), (3, 7), (2, 19))  # versions 2 and 2.5
 
 _CRC = []
 for _i in range(256):
@@ -51,6 +55,16 @@ def crc16(data: bytes, start: int = 0xFFFF) -> int:
     return start
 
 
+def crc16_of_bits(head: bytes, data: bytes, n_bits: int) -> int:
+    """The checksum of ``head`` and of the first bits of ``data``."""
+    whole, rest = divmod(n_bits, 8)
+    crc = crc16(data[:whole], crc16(head))
+    for k in range(rest):
+        bit = data[whole] >> 7 - k & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ bit else 0)
+    return crc
+
+
 @dataclass(frozen=True)
 class Header:
     """One frame header; ``length`` is the whole frame's."""
@@ -101,6 +115,36 @@ def _parse_header(four: bytes) -> Header | None:
     return Header(version, layer, not four[1] & 1, bitrate, rate, 2 - mono, length, samples, side)
 
 
+def _allocation_widths(head: Header) -> list[int]:
+    if head.layer == 1:
+        return [4] * 32
+    if head.version != 1:
+        table, n = WIDTHS_HALF_RATE, 30
+    elif (each := head.bitrate // head.channels) < 56:
+        table, n = WIDTHS_LOW_RATE, 12 if head.rate == 32000 else 8
+    else:
+        table, n = WIDTHS, 30 if each >= 96 and head.rate != 48000 else 27
+    return [bits for bits, bands in table for _ in range(bands)][:n]
+
+
+def protected_bits(frame: bytes, head: Header) -> int:
+    """How many bits after the checksum it covers: the side information of layer III; in layers I and II the bit
+    allocation, and in layer II which scale factors follow, 2 bits for each allocated subband of a channel."""
+    if head.layer == 3:
+        return 8 * head.side
+    joint, extension = frame[3] >> 6 == 1, frame[3] >> 4 & 3
+    widths = _allocation_widths(head)
+    bound = 4 * (extension + 1) if joint else 32  # subbands from here on share one allocation
+    after = frame[6:46].ljust(40, b"\0")  # 308 bits at most
+    field, used, allocated = int.from_bytes(after, "big"), 0, 0
+    for band, width in enumerate(widths):
+        own = head.channels if band < bound else 1
+        for _ in range(own):
+            used += width
+            allocated += (head.channels // own) * bool(field >> 320 - used & (1 << width) - 1)
+    return used + 2 * allocated * (head.layer == 2)
+
+
 # writing
 
 RATE_INDEX = 1  # 48 kHz: frame lengths need no padding bits
@@ -171,6 +215,7 @@ class Stream:
     table_frames: int = -1  # as the variable-bitrate table says
     table_bytes: int = -1
     seek: bytes = b""
+    seek_points: list[int] = field(default_factory=list)  # bytes from the table's frame, at equal steps of time
     ancillary: list[bytes] = field(default_factory=list)
 
     @property
@@ -180,25 +225,62 @@ class Stream:
         return whole[: int(n)] if n.isdigit() else whole
 
 
+def _seven_bits(data: bytes) -> int:
+    n = 0
+    for b in data:
+        n = n << 7 | b & 0x7F
+    return n
+
+
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")  # by the first byte of a text frame
+
+
+def _texts(body: bytes) -> list[str]:
+    """The texts of a text frame, which zero characters separate."""
+    if not body or body[0] >= len(ENCODINGS):
+        return []
+    text = body[1:].decode(ENCODINGS[body[0]], "replace")
+    return [t.removeprefix("\ufeff") for t in text.rstrip("\0").split("\0")]
+
+
 def _read_id3v2(data: bytes, at: int, stream: Stream) -> int:
-    """Position after the tag that starts here."""
-    size = 0
-    for b in data[at + 6 : at + 10]:
-        size = size << 7 | b & 0x7F
-    stop, i = min(at + 10 + size, len(data)), at + 10
-    version = data[at + 3]
-    while i + 10 <= stop and data[i] and version >= 3:
-        name = data[i : i + 4]
-        n = 0
-        for b in data[i + 4 : i + 8]:
-            n = n << 7 | b & 0x7F if version >= 4 else n << 8 | b
-        body = data[i + 10 : i + 10 + n]
-        if name == b"TXXX" and body[:1] == b"\x00" and b"\x00" in body[1:]:
-            key, value = body[1:].split(b"\x00", 1)
-            stream.tags[key.decode("latin-1")] = value.rstrip(b"\x00").decode("latin-1")
-        elif name[:1] == b"T" and body[:1] == b"\x00":
-            stream.tags[name.decode("latin-1")] = body[1:].rstrip(b"\x00").decode("latin-1")
-        i += 10 + n
+    """Position after the tag that starts here. Reads versions 2.2 to 2.4 with extended headers, unsynchronisation and footers."""
+    version, flags = data[at + 3], data[at + 5]
+    size = _seven_bits(data[at + 6 : at + 10])
+    stop = min(at + 10 + size + (10 if version >= 4 and flags & 0x10 else 0), len(data))
+    body = data[at + 10 : at + 10 + size]
+    whole_tag = bool(flags & 0x80)
+    if whole_tag and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    i = 0
+    if flags & 0x40 and version >= 3:  # the size counts itself since 2.4
+        i = _seven_bits(body[:4]) if version >= 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 6 if version == 2 else 10
+    while version >= 2 and i + head <= len(body) and body[i]:
+        name = body[i : i + (3 if version == 2 else 4)]
+        if version == 2:
+            n, form = int.from_bytes(body[i + 3 : i + 6], "big"), 0
+        else:
+            n = _seven_bits(body[i + 4 : i + 8]) if version >= 4 else int.from_bytes(body[i + 4 : i + 8], "big")
+            form = body[i + 9]
+        frame = body[i + head : i + head + n]
+        i += head + n
+        if version >= 4:
+            if form & 0x02 or whole_tag:
+                frame = frame.replace(b"\xff\x00", b"\xff")
+            frame = frame[(form >> 6 & 1) + 4 * (form & 1) :]  # a group's number and the length of the data
+            hidden = form & 0x0C
+        else:
+            hidden = form & 0xC0
+            frame = frame[form >> 5 & 1 :] if version == 3 else frame
+        if hidden or name[:1] != b"T":  # compressed, encrypted or no text
+            continue
+        texts = _texts(frame)
+        if name in (b"TXXX", b"TXX"):
+            if len(texts) > 1:
+                stream.tags[texts[0]] = texts[1]
+        elif texts:
+            stream.tags[name.decode("latin-1")] = texts[0]
     return stop
 
 
@@ -216,11 +298,20 @@ def _read_table(data: bytes, at: int, head: Header, stream: Stream) -> bool:
             i += 4
         if flags & 4:
             stream.seek = data[i : i + 100]
+            stream.seek_points = [s * max(stream.table_bytes, 0) // 256 for s in stream.seek]
         return True
     i = at + 36
     if data[i : i + 4] == b"VBRI":
         stream.table_bytes = int.from_bytes(data[i + 10 : i + 14], "big")
         stream.table_frames = int.from_bytes(data[i + 14 : i + 18], "big")
+        entries, scale, width = (int.from_bytes(data[i + k : i + k + 2], "big") for k in (18, 20, 22))
+        # one entry for so many frames: the bytes that they take
+        table = data[i + 26 : min(i + 26 + entries * width, at + head.length)]
+        position, points = 0, []
+        for k in range(0, len(table) - width + 1, width) if width else ():
+            points.append(position)
+            position += int.from_bytes(table[k : k + width], "big") * scale
+        stream.seek_points = points
         return True
     return False
 
@@ -241,7 +332,7 @@ def _synchronised(data: bytes, at: int, known: Header | None) -> Header | None:
 
 def read_stream(data: bytes) -> Stream:
     stream, at, known = Stream(), 0, None
-    crc_cache: dict[bytes, int] = {}
+    crc_cache: dict[tuple[int, bytes, bytes], int] = {}
     while at < len(data):
         if data[at : at + 3] == b"ID3" and len(data) >= at + 10:
             at = _read_id3v2(data, at, stream)
@@ -266,13 +357,14 @@ def read_stream(data: bytes) -> Stream:
                 continue
         known = head
         good, start = True, at + 4
-        if head.has_crc and head.layer == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
+        if head.has_crc:
+            n_bits = protected_bits(data[at : at + 46], head) if head.layer < 3 else 8 * head.side
+            covered = n_bits, data[at + 2 : at + 4], data[at + 6 : at + 6 + -(-n_bits // 8)]
             want = crc_cache.get(covered)
             if want is None:
                 if len(crc_cache) > 1000:
                     crc_cache.clear()
-                want = crc_cache[covered] = crc16(covered)
+                want = crc_cache[covered] = crc16_of_bits(covered[1], covered[2].ljust(-(-n_bits // 8), b"\0"), n_bits)
             good = want == int.from_bytes(data[at + 4 : at + 6], "big")
             stream.crc_ok += good
             stream.crc_bad += not good
@@ -306,7 +398,7 @@ def to_media(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, media binary")
 
 
-INDEX = "doc_id long, tags map<string,string>, rate int, channels int, n_frames long, n_samples long, duration double, crc_ok long, crc_bad long, skipped_bytes long, table_frames long, frame_offsets array<long>"
+INDEX = "doc_id long, tags map<string,string>, rate int, channels int, n_frames long, n_samples long, duration double, crc_ok long, crc_bad long, skipped_bytes long, table_frames long, frame_offsets array<long>, seek_points array<long>"
 
 
 def index_media(media: DataFrame) -> DataFrame:
@@ -314,12 +406,12 @@ def index_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split(" ")[0] for f in INDEX.split(", ")]
-        kinds = [pa.int64(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), *[pa.int64()] * 2, pa.float64(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), *[pa.int64()] * 2, pa.float64(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             rows = []
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = read_stream(data or b"")
-                rows.append((doc_id, list(s.tags.items()), s.rate, s.channels, len(s.offsets), s.samples, s.samples / s.rate if s.rate else 0.0, s.crc_ok, s.crc_bad, s.skipped, s.table_frames, s.offsets))
+                rows.append((doc_id, list(s.tags.items()), s.rate, s.channels, len(s.offsets), s.samples, s.samples / s.rate if s.rate else 0.0, s.crc_ok, s.crc_bad, s.skipped, s.table_frames, s.offsets, s.seek_points))
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
