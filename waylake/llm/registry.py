@@ -15,8 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
+    "rollup_words": rollup.rollup_words,
 }
 
 ORACLES: dict[str, str] = {
-    "op4_token_counts": rollup.OP4_SQL,
+    "rollup_words": rollup.WORDS_SQL,
 }

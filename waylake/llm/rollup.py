@@ -14,10 +14,14 @@ nothing; groups whose documents and tokens are all taken back disappear from the
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waylake.llm.common import WORD, fresh_path
+from waylake.llm.common import WORD, fresh_path, materialise
+from waylake.llm.pieces import PieceBpe
+from waylake.llm.tokens import WordBpe, loaded, read_model
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -107,30 +111,82 @@ def n_letters_and_words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[.,!?]+|[^\x20\x09-\x0D.,!?]+")).cast("long")
 
 
+def tokenizer_counts(docs: DataFrame, word_bpe: str, pieces: str) -> DataFrame:
+    """(doc_id, source, lang, n_word, n_piece): the tokens of every whole text by two tokenizers, without end ids.
+
+    ``word_bpe`` is a file of the tokenizers library, ``pieces`` one of the sentencepiece library."""
+    context = docs.sparkSession.sparkContext
+    words, model = context.broadcast(read_model(word_bpe).decode()), context.broadcast(read_model(pieces))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = loaded(WordBpe, words.value), loaded(PieceBpe, model.value)
+        for big in batches:
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
+                texts = b.column(3).to_pylist()
+                n_word = pa.array([len(ids) for ids in encoders[0].encode(texts)], pa.int64())
+                n_piece = pa.array([len(found.ids) for found in encoders[1].encode(texts)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], n_word, n_piece], ["doc_id", "source", "lang", "n_word", "n_piece"])
+
+    slim = docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("source", "lang", "text")])
+    return slim.mapInArrow(run, "doc_id long, source string, lang string, n_word long, n_piece long")
+
+
+def changes(df: DataFrame, version: str, tokens: Column, sign: int) -> DataFrame:
+    """Signed rows of a batch, from documents with their source and language."""
+    return df.select("source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("n_tokens"), F.lit(sign).alias("sign"))
+
+
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+
+
+WORD_VERSION, PIECE_VERSION = "word_bpe_49k", "piece_bpe_32k"
+
+
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Batch 0 inserts all documents, batch 1 deletes the toxic ones, batch 2 revises one source's counts; then
-    batch 1 is replayed, which must change nothing."""
+    """Batch 0 inserts all documents as one tokenizer counts them, batch 1 deletes the toxic ones, batch 2 inserts
+    the others as a second tokenizer counts them, batch 3 revises all counts of the first, which left out the end id;
+    then batch 1 is replayed, which must change nothing."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(f) for f in (f"{WORD_VERSION}.json", f"{PIECE_VERSION}.model")]
+    docs = materialise(tokenizer_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), *paths), "token-counts")
+    toxic = _toxic(spark, sf_dir)
+    rollup = TokenRollup(spark, fresh_path(spark, "token-rollup"))
+    rollup.commit(0, changes(docs, WORD_VERSION, F.col("n_word"), 1))
+    deletes = changes(docs.join(toxic, "doc_id", "left_semi"), WORD_VERSION, F.col("n_word"), -1)
+    rollup.commit(1, deletes)
+    left = docs.join(toxic, "doc_id", "left_anti")
+    rollup.commit(2, changes(left, PIECE_VERSION, F.col("n_piece"), 1))
+    old, new = (changes(left, WORD_VERSION, n, sign) for n, sign in ((F.col("n_word"), -1), (F.col("n_word") + 1, 1)))
+    rollup.commit(3, old.unionByName(new))
+    rollup.commit(1, deletes)
+    rollup.compact()
+    return rollup.totals()
+
+
+def rollup_words(spark, sf_dir: str) -> DataFrame:
+    """The same rollup over counts of words, which SQL can check: batch 0 inserts all documents, batch 1 deletes the
+    toxic ones, batch 2 revises one source's counts; then batch 1 is replayed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    toxic = _toxic(spark, sf_dir)
     rollup = TokenRollup(spark, fresh_path(spark, "token-rollup"))
-    count = lambda df, version, tokens, sign: df.select(
-        "source", "lang", F.lit(version).alias("tokenizer_version"), tokens.alias("n_tokens"), F.lit(sign).alias("sign")
-    )
-    rollup.commit(0, count(docs, "words-1", n_words(), 1))
+    rollup.commit(0, changes(docs, "words-1", n_words(), 1))
     # counting comes before the join, so that no text is shuffled
     counted = docs.select("doc_id", "source", "lang", n_words().alias("n"))
-    deletes = count(counted.join(toxic, "doc_id", "left_semi"), "words-1", F.col("n"), -1)
+    deletes = changes(counted.join(toxic, "doc_id", "left_semi"), "words-1", F.col("n"), -1)
     rollup.commit(1, deletes)
     revised = docs.where("source = 'src1'").select(
         "doc_id", "source", "lang", n_words().alias("n"), n_letters_and_words().alias("n2")
     ).join(toxic, "doc_id", "left_anti")
-    rollup.commit(2, count(revised, "words-1", F.col("n"), -1).unionByName(count(revised, "words-2", F.col("n2"), 1)))
+    rollup.commit(2, changes(revised, "words-1", F.col("n"), -1).unionByName(changes(revised, "words-2", F.col("n2"), 1)))
     rollup.commit(1, deletes)
     rollup.compact()
     return rollup.totals()
 
 
-OP4_SQL = r"""
+WORDS_SQL = r"""
 WITH d AS (
   SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n,
          len(regexp_extract_all(coalesce(text, ''), '[.,!?]+|[^\x20\x09-\x0D.,!?]+')) AS n2
