@@ -99,7 +99,7 @@ def unprotected_attributes(spark, d: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_name, p_brand, p_size FROM part)
 SELECT p_partkey, upper(p_name) AS upper_name, concat(a, '_', b, '_code') AS snake, concat(a, upper(b[1]), b[2:], 'Code') AS camel, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS whole,
- CASE WHEN p_partkey % 3 = 1 THEN p_size + 0.5 END AS number, CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS other, concat(a, '|', b) AS listed, concat(b, '|', a) AS parts, p_partkey % 12 AS major, p_size AS minor FROM w""")
+ CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size AS DOUBLE) + CAST(0.5 AS DOUBLE) END AS number, CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS other, concat(a, '|', b) AS listed, concat(b, '|', a) AS parts, p_partkey % 12 AS major, p_size AS minor FROM w""")
 def text_forms(spark, d: str) -> DataFrame:
     a, b, size, k = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_size"), F.col("p_partkey")
     camel = text.camel_case(F.concat_ws("_", a, b, F.lit("code")))
