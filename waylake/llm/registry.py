@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waylake.llm import langid, line_dedup, mpeg_audio, packing, pieces, pii, quality, rollup, simhash, token_files
+from waylake.llm import filter_audit, langid, line_dedup, mpeg_audio, packing, pieces, pii, quality, rollup, secrets, simhash, token_files, vector_codes
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_mpeg_audio": mpeg_audio.op10_mpeg_audio,
+    "op11_secrets": secrets.op11_secrets,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
     "rollup_words": rollup.rollup_words,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": vector_codes.CODES_SQL,
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
     "rollup_words": rollup.WORDS_SQL,
 }
