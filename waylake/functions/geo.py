@@ -129,6 +129,24 @@ def utm_zone(x: Column) -> Column:
     return F.ceil((x + 180) / 6).cast("int")
 
 
+#: fixed values: WGS 84 semi-major axis and flattening, scale of UTM
+UTM_A, UTM_FLAT, UTM_K0 = 6378137.0, 1 / 298.257223563, 0.9996
+
+
+def utm(x: Column, y: Column, zone: Column) -> Column:
+    """struct<x,y> in metres east and north of a UTM zone, by the transverse Mercator series."""
+    n = UTM_FLAT / (2 - UTM_FLAT)
+    big = UTM_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * UTM_K0
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    lam, sin = F.radians(x - (zone * 6 - 183)), F.sin(F.radians(y))
+    t = F.sinh(F.atanh(sin) - e * F.atanh(e * sin))
+    xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
+    east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(alpha, 1)), F.lit(0.0))
+    north = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(alpha, 1)), F.lit(0.0))
+    return F.struct((big * east + 500000).alias("x"), (big * north).alias("y"))
+
+
 def cell(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     """Grid cell of a point."""
     return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")

@@ -6,9 +6,17 @@ crowded cell is salted, so it is dealt over several tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from waylake.functions import geo
+from waylake.functions.storage import materialise
+from waylake.operators import cells
+
+
+#: A cell with more points than this is dealt over several tasks.
+MOST_IN_CELL = 100_000
 
 
 def _cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> DataFrame:
@@ -17,31 +25,57 @@ def _cells(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size:
     return df.withColumn("_cx", F.explode(F.sequence(cx1, cx2))).withColumn("_cy", F.explode(F.sequence(cy1, cy2)))
 
 
-def _around_the_world(df: DataFrame, x1: Column, x2: Column) -> DataFrame:
-    """One row per turn (``_turn``: -360, 0 or 360 degrees) by which a range of longitudes meets the map."""
-    turns = F.filter(F.array(*[F.lit(float(t)) for t in (-360, 0, 360)]), lambda t: (t == 0) | ((x2 + t >= -180) & (x1 + t <= 180)))
+def _around_the_world(df: DataFrame, x1: Column, x2: Column, world: float = 360.0) -> DataFrame:
+    """One row per turn (``_turn``: -1, 0 or 1 times around) by which a range of longitudes meets the map."""
+    half = world / 2
+    turns = F.filter(F.array(*[F.lit(t * world) for t in (-1, 0, 1)]), lambda t: (t == 0) | ((x2 + t >= -half) & (x1 + t <= half)))
     return df.withColumn("_turn", F.explode(turns))
 
 
-def within_km(points: DataFrame, segments: DataFrame, km: float, size: float, salts: int = 1) -> DataFrame:
+def _own_half(x: Column, middle: Column) -> Column:
+    """Of several turns that are in reach near a pole, the nearest one only."""
+    return (x >= middle - 180) & (x < middle + 180)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: filters on it aren't pushed below, where they would repeat it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def _dealt(points: DataFrame, others: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_s``: points of a crowded cell get one of several numbers, the others all of them.
+
+    Crowded cells are counted first. They are no more than a MOST_IN_CELLth of all points, so they are broadcast."""
+    cell = ["_cx", "_cy"]
+    crowded = points.groupBy(*cell).agg(F.ceil(F.count("*") / MOST_IN_CELL).cast("int").alias("_n")).where("_n > 1")
+    n = F.coalesce("_n", F.lit(1))
+    p = points.join(F.broadcast(crowded), cell, "left").withColumn("_s", F.pmod(F.xxhash64(key), n).cast("int")).drop("_n")
+    q = others.join(F.broadcast(crowded), cell, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    # few bytes, much to compute: as many tasks as the session asks for, not merged by size
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return p.repartition(tasks, *cell, "_s"), q
+
+
+def within_km(points: DataFrame, segments: DataFrame, km: float, size: float) -> DataFrame:
     """Points with every segment whose nearest position is within ``km``.
 
-    points: point_id, x, y; segments: way_id, seg, x1, y1, x2, y2, at any latitude and across 180 degrees. ``size`` is the cell size in degrees.
-    Returns point_id, way_id, seg, pos, km.
+    points: point_id, x, y; segments: way_id, seg, x1, y1, x2, y2, at any latitude. A segment whose ends are more than 180
+    degrees apart crosses 180 degrees. ``size`` is the cell size in degrees. Returns point_id, way_id, seg, pos, km.
     """
-    own = F.pmod(F.xxhash64("point_id"), F.lit(salts))
-    p = points.withColumn("_cx", geo.cell(F.col("x"), F.col("y"), size)[0]).withColumn("_cy", geo.cell(F.col("x"), F.col("y"), size)[1]).withColumn("_s", own)
-    across, up = geo.reach_of_km(km, F.greatest(F.abs(F.col("y1")), F.abs(F.col("y2"))))
-    s = _around_the_world(segments, F.least("x1", "x2") - across, F.greatest("x1", "x2") + across)
-    s = s.withColumns({x: F.col(x) + F.col("_turn") for x in ("x1", "x2")}).drop("_turn")
-    s = _cells(
-        s, F.least("x1", "x2") - across, F.least("y1", "y2") - up, F.greatest("x1", "x2") + across, F.greatest("y1", "y2") + up, size
-    ).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     c = F.col
-    pos = geo.project(c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y"))
-    near = p.join(s, ["_cx", "_cy", "_s"]).withColumn("pos", pos)
+    cx, cy = geo.cell(c("x"), c("y"), size)
+    p = points.select("point_id", "x", "y", cx.alias("_cx"), cy.alias("_cy"))
+    s = segments.withColumn("x2", c("x2") - 360.0 * F.round((c("x2") - c("x1")) / 360.0))
+    across, up = geo.reach_of_km(km, F.greatest(F.abs(c("y1")), F.abs(c("y2"))))
+    s = _once(_once(s, "_across", across), "_up", up)
+    s = _around_the_world(s, F.least("x1", "x2") - c("_across"), F.greatest("x1", "x2") + c("_across"))
+    s = s.withColumns({x: c(x) + c("_turn") for x in ("x1", "x2")}).drop("_turn")
+    box = F.least("x1", "x2") - c("_across"), F.least("y1", "y2") - c("_up"), F.greatest("x1", "x2") + c("_across"), F.greatest("y1", "y2") + c("_up")
+    p, s = _dealt(p, _cells(s, *box, size), "point_id")
+    near = p.join(s, ["_cx", "_cy", "_s"]).where(c("x").between(box[0], box[2]) & c("y").between(box[1], box[3]) & _own_half(c("x"), (c("x1") + c("x2")) / 2))
+    near = _once(near, "pos", geo.project(c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y")))
     d = geo.haversine_km(geo.lerp(c("x1"), c("x2"), c("pos")), geo.lerp(c("y1"), c("y2"), c("pos")), c("x"), c("y"))
-    return near.withColumn("km", d).where(c("km") <= km).select("point_id", "way_id", "seg", "pos", "km")
+    return _once(near, "km", d).where(c("km") <= km).select("point_id", "way_id", "seg", "pos", "km")
 
 
 def nearest_on_way(hits: DataFrame) -> DataFrame:
@@ -50,30 +84,150 @@ def nearest_on_way(hits: DataFrame) -> DataFrame:
     return hits.groupBy("point_id", "way_id").agg(best.alias("b")).select("point_id", "way_id", "b.seg", "b.pos", "b.km")
 
 
+def nearest_way(hits: DataFrame) -> DataFrame:
+    """The nearest position of all of each point, ties by way and segment, from within_km()."""
+    best = F.min_by(F.struct("way_id", "seg", "pos", "km"), F.struct("km", "way_id", "seg"))
+    return hits.groupBy("point_id").agg(best.alias("b")).select("point_id", "b.*")
+
+
+def _places_within(points: DataFrame, places: DataFrame, km: float, size: float) -> DataFrame:
+    """(point_id, place_id, km) of all places within ``km``."""
+    c = F.col
+    (px, py), (cx, cy) = geo.cell(c("px"), c("py"), size), geo.cell(c("x"), c("y"), size)
+    across, up = geo.reach_of_km(km, c("py"))
+    q = _once(_once(places.select("place_id", "px", "py"), "_across", across), "_up", up)
+    q = _around_the_world(q, c("px") - c("_across"), c("px") + c("_across")).withColumn("px", c("px") + c("_turn")).drop("_turn")
+    q = _cells(q, c("px") - c("_across"), c("py") - c("_up"), c("px") + c("_across"), c("py") + c("_up"), size)
+    p, q = _dealt(points.select("point_id", "x", "y", cx.alias("_cx"), cy.alias("_cy")), q, "point_id")
+    near = p.join(q, ["_cx", "_cy", "_s"]).where(c("x").between(c("px") - c("_across"), c("px") + c("_across")) & _own_half(c("x"), c("px")) & c("y").between(c("py") - c("_up"), c("py") + c("_up")))
+    return _once(near, "km", geo.haversine_km(c("x"), c("y"), c("px"), c("py"))).where(c("km") <= km).select("point_id", "place_id", "km")
+
+
 def nearest_k(points: DataFrame, places: DataFrame, k: int, size: float, km: float) -> DataFrame:
     """The k nearest places (place_id, px, py) within ``km`` of every point."""
-    across, up = geo.reach_of_km(km, F.col("y"))
-    (cx, cy) = geo.cell(F.col("px"), F.col("py"), size)
-    p = _around_the_world(points, F.col("x") - across, F.col("x") + across)
-    at = F.col("x") + F.col("_turn")
-    p = _cells(p, at - across, F.col("y") - up, at + across, F.col("y") + up, size)
-    q = places.withColumn("_cx", cx).withColumn("_cy", cy)
-    d = geo.haversine_km(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
     rank = W.partitionBy("point_id").orderBy("km", "place_id")
-    near = p.join(q, ["_cx", "_cy"]).withColumn("km", d).where(F.col("km") <= km)
+    near = _places_within(points, places, km, size)
     return near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).select("point_id", "place_id", "km", "r")
 
 
-def boxes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """(a_id, b_id) of boxes that share a point; boxes: id, x1, y1, x2, y2.
-
-    A pair is reported from one cell only: the one of the lower corner of the common box.
+def nearest_k_widening(points: DataFrame, places: DataFrame, k: int, first_km: float, km: float = 20_038.0) -> DataFrame:
+    """nearest_k() with an early stop: the reach starts at ``first_km`` and doubles, up to ``km``, for those points only that
+    have fewer than k places within it yet. A point with k of them is done: nothing nearer lies beyond (J24, J26)."""
+    found, reach, left = None, first_km, points.select("point_id", "x", "y")
+    while True:
+        reach = min(reach, km)
+        size = max(reach / 111.0, 1e-6)  # about one cell in reach on each side
+        near = materialise(nearest_k(left, places, k, size, reach), "near")
+        full = near.groupBy("point_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k) if reach < km else None
+        done = near if full is None else near.join(full.select("point_id"), "point_id", "left_semi")
+        found = done if found is None else found.union(done)
+        if full is None:
+            return found
+        left = materialise(left.join(full.select("point_id"), "point_id", "left_anti"), "near-left")
+        if left.isEmpty():
+            return found
+        reach *= 2
+
+
+def boxes_meet(a: DataFrame, b: DataFrame, size: float, world: float = 360.0) -> DataFrame:
+    """(a_id, b_id) of boxes that share a point; boxes: id, x1, y1, x2, y2 (J26). A box with x1 beyond x2 runs across 180
+    degrees, as one that reaches beyond 180 does; ``world`` is a full turn in the unit of x.
+
+    A pair is reported once: from the cell of the lower corner of the common box, at the first turn at which they meet.
     """
-    ca = _cells(a.select(F.col("id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]), F.col("a_x1"), F.col("a_y1"), F.col("a_x2"), F.col("a_y2"), size)
-    cb = _cells(b.select(F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]), F.col("b_x1"), F.col("b_y1"), F.col("b_x2"), F.col("b_y2"), size)
-    meet = (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))
+    c = F.col
+
+    def placed(df: DataFrame, p: str) -> DataFrame:
+        west = F.pmod(c("x1") + world / 2, F.lit(world)) - world / 2
+        wide = F.when(c("x2") >= c("x1"), c("x2") - c("x1")).otherwise(c("x2") - c("x1") + world)
+        return df.select(c("id").alias(f"{p}_id"), west.alias(f"{p}_x1"), c("y1").alias(f"{p}_y1"), (west + F.least(wide, F.lit(world))).alias(f"{p}_x2"), c("y2").alias(f"{p}_y2"))
+
+    pa, pb = placed(a, "a"), placed(b, "b")
+    # a starts on the map and may reach one turn beyond it, so b meets it as it is or one turn to the east or west
+    turns = F.array(*[F.lit(t * world) for t in (-1, 0, 1)])
+    pb = pb.withColumn("_turn", F.explode(turns)).withColumns({x: c(x) + c("_turn") for x in ("b_x1", "b_x2")}).where((c("b_x2") >= -world / 2) & (c("b_x1") <= world * 1.5))
+    ca = _cells(pa, c("a_x1"), c("a_y1"), c("a_x2"), c("a_y2"), size)
+    cb = _cells(pb, c("b_x1"), c("b_y1"), c("b_x2"), c("b_y2"), size)
+    at = lambda turn: (c("a_x1") <= c("b_x2") + turn) & (c("b_x1") + turn <= c("a_x2"))
+    earlier = (at(-world) & (c("_turn") > -world)) | (at(-2 * world) & (c("_turn") > 0))
+    meet = at(0.0) & (c("a_y1") <= c("b_y2")) & (c("b_y1") <= c("a_y2")) & ~earlier
     (cx, cy) = geo.cell(F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1"), size)
-    return ca.join(cb, ["_cx", "_cy"]).where(meet & (cx == F.col("_cx")) & (cy == F.col("_cy"))).select("a_id", "b_id")
+    return ca.join(cb, ["_cx", "_cy"]).where(meet & (cx == c("_cx")) & (cy == c("_cy"))).select("a_id", "b_id")
+
+
+# exact predicates: shapes are id, kind ('point', 'line', 'polygon' or 'circle'), line (array<struct<x,y>>: one point of a
+# point or circle, the ring of a polygon) and km (the radius of a circle, else null)
+
+
+def _pieces(shapes: DataFrame, p: str, size: float) -> DataFrame:
+    """The shape's segments, at every turn and cell that they or their radius touch."""
+    c = F.col
+    line = F.when(c("kind") == "polygon", F.concat("line", F.slice("line", 1, 1))).otherwise(c("line"))
+    s = shapes.where(F.size("line") > 0).select("id", cells.unrolled(line).alias("_l"), F.coalesce(c("km").cast("double"), F.lit(0.0)).alias("km"))
+    one = F.array(F.struct(c("_l")[0].alias("a"), c("_l")[0].alias("b")))
+    s = s.select("id", "km", F.explode(F.when(F.size("_l") > 1, geo.steps(c("_l"))).otherwise(one)).alias("s"))
+    s = s.select("id", "km", *[c(f"s.{e}.{k}").alias(f"{k}{n}") for n, e in ((1, "a"), (2, "b")) for k in "xy"])
+    within = c("km") > 0  # the reach of the whole radius, by latitude
+    up_km = F.when(within, c("km") / geo.RADIUS_KM * 180 / math.pi).otherwise(0.0)
+    far = F.least(F.greatest(F.abs("y1"), F.abs("y2")) + up_km, F.lit(90.0))
+    across_km = F.when(~within, 0.0).when(far < 89.9, F.least(up_km / F.cos(F.radians(far)), F.lit(180.0))).otherwise(180.0)
+    s = _once(_once(s, "_up", up_km), "_across", across_km)
+    s = _around_the_world(s, F.least("x1", "x2") - c("_across"), F.greatest("x1", "x2") + c("_across"))
+    s = s.withColumns({x: c(x) + c("_turn") for x in ("x1", "x2")})
+    s = _cells(s, F.least("x1", "x2") - c("_across"), F.least("y1", "y2") - c("_up"), F.greatest("x1", "x2") + c("_across"), F.greatest("y1", "y2") + c("_up"), size)
+    return s.select("_cx", "_cy", *[c(k).alias(f"{p}_{k}") for k in ("id", "km", "x1", "y1", "x2", "y2")])
+
+
+def _segments_cross(p: str, q: str) -> Column:
+    """Whether two segments of the plane share a point, their ends included."""
+    c = lambda s, k: F.col(f"{s}_{k}")
+
+    def side(s: str, x: Column, y: Column) -> Column:
+        return F.signum((c(s, "x2") - c(s, "x1")) * (y - c(s, "y1")) - (c(s, "y2") - c(s, "y1")) * (x - c(s, "x1")))
+
+    span = lambda k: (F.least(c(p, f"{k}1"), c(p, f"{k}2")) <= F.greatest(c(q, f"{k}1"), c(q, f"{k}2"))) & (F.least(c(q, f"{k}1"), c(q, f"{k}2")) <= F.greatest(c(p, f"{k}1"), c(p, f"{k}2")))
+    return span("x") & span("y") & (side(p, c(q, "x1"), c(q, "y1")) * side(p, c(q, "x2"), c(q, "y2")) <= 0) & (side(q, c(p, "x1"), c(p, "y1")) * side(q, c(p, "x2"), c(p, "y2")) <= 0)
+
+
+def _km_between(point: str, seg: str) -> Column:
+    """Distance of a point to the nearest position of a segment."""
+    c = F.col
+    pos = geo.project(c(f"{seg}_x1"), c(f"{seg}_y1"), c(f"{seg}_x2"), c(f"{seg}_y2"), c(f"{point}_x1"), c(f"{point}_y1"))
+    x, y = geo.lerp(c(f"{seg}_x1"), c(f"{seg}_x2"), pos), geo.lerp(c(f"{seg}_y1"), c(f"{seg}_y2"), pos)
+    return geo.haversine_km(x, y, c(f"{point}_x1"), c(f"{point}_y1"))
+
+
+def points_inside(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """(point_id, id): points (point_id, x, y) and the polygons (id, line) that hold them, by the even-odd rule.
+
+    A point meets the edges of the polygons in its band of latitude that lie to the east of it or near it; the parity of
+    those that a ray to the east crosses tells. Edges are dealt by band and by the polygon's columns of cells."""
+    c = F.col
+    rings = polygons.where(F.size("line") > 2).select("id", cells.unrolled(F.concat("line", F.slice("line", 1, 1))).alias("_l"))
+    wide = rings.select("id", "_l", F.array_min(F.transform("_l", lambda p: p["x"])).alias("w"), F.array_max(F.transform("_l", lambda p: p["x"])).alias("e"))
+    wide = _around_the_world(wide, c("w"), c("e"))
+    e = wide.select("id", "_turn", c("w").alias("_w"), F.explode(geo.steps(c("_l"))).alias("s")).where("s.a.y != s.b.y")
+    e = e.select("id", "_turn", (c("_w") + c("_turn")).alias("_w"), *[(c(f"s.{k}.x") + c("_turn")).alias(f"x{n}") for n, k in ((1, "a"), (2, "b"))], c("s.a.y").alias("y1"), c("s.b.y").alias("y2"))
+    # an edge counts for points to its west, from the polygon's western end on
+    e = _cells(e, c("_w"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
+    cx, cy = geo.cell(c("x"), c("y"), size)
+    p, e = _dealt(points.select("point_id", "x", "y", cx.alias("_cx"), cy.alias("_cy")), e, "point_id")
+    met = p.join(e, ["_cx", "_cy", "_s"]).where((F.least("y1", "y2") <= c("y")) & (c("y") < F.greatest("y1", "y2")))
+    met = _once(met, "_x", c("x1") + (c("y") - c("y1")) * (c("x2") - c("x1")) / (c("y2") - c("y1"))).where(c("x") < c("_x"))
+    return met.groupBy("point_id", "id", "_turn").agg(F.count("*").alias("n")).where("n % 2 = 1").select("point_id", "id").distinct()
+
+
+def shapes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """(a_id, b_id) of shapes that share a point: edges that touch, a centre within its radius of the other shape, or one
+    inside the other (J26). Across 180 degrees and at any latitude; edges are straight in degrees."""
+    met = _pieces(a, "a", size).join(_pieces(b, "b", size), ["_cx", "_cy"])
+    reach = F.col("a_km") + F.col("b_km")
+    near = F.when(F.col("a_km") > 0, _km_between("a", "b")).otherwise(_km_between("b", "a")) <= reach
+    touch = met.where(F.when(reach > 0, near).otherwise(_segments_cross("a", "b"))).select("a_id", "b_id")
+    first = lambda df: df.where(F.size("line") > 0).select(F.col("id").alias("point_id"), F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y"))
+    inside = points_inside(first(a), b.where("kind = 'polygon'"), size).toDF("a_id", "b_id")
+    around = points_inside(first(b), a.where("kind = 'polygon'"), size).toDF("b_id", "a_id").select("a_id", "b_id")
+    return touch.union(inside).union(around).distinct()
 
 
 def extents(nodes: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from waylake.plans import delta, fetching, network, relational, spatial, storing, versioning
+from waylake.plans import delta, fetching, network, relational, shapes, spatial, storing, versioning
 
 QUERIES = {}
 ORACLES = {}
-for _part in (delta, relational, versioning, spatial, network, fetching, storing):
+for _part in (delta, relational, versioning, spatial, shapes, network, fetching, storing):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -172,9 +172,15 @@ def grid_spatial_join(spark, d: str) -> DataFrame:
 @query(f"""WITH {_POINTS}, {_SEGS}, {_BRUTE} SELECT point_id, way_id, CAST(round(pos * 10000) AS BIGINT) AS pos_e4 FROM (
  SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, way_id) AS r FROM near WHERE km <= {NEAR_KM}) WHERE r = 1""")
 def nearest_on_segment(spark, d: str) -> DataFrame:
-    hits = spatial.nearest_on_way(spatial.within_km(customer_points(spark, d), supplier_segments(spark, d), NEAR_KM, 0.5))
-    best = hits.groupBy("point_id").agg(F.min_by(F.struct("way_id", "pos"), F.struct("km", "way_id")).alias("b"))
-    return best.select("point_id", "b.way_id", e4(F.col("b.pos")).alias("pos_e4"))
+    hits = spatial.nearest_way(spatial.within_km(customer_points(spark, d), supplier_segments(spark, d), NEAR_KM, 0.5))
+    return hits.select("point_id", "way_id", e4(F.col("pos")).alias("pos_e4"))
+
+
+@query(f"""WITH {_POINTS}, {_SEGS}, {_BRUTE} SELECT point_id, way_id % 7 AS way_id, CAST(round(min(km) * 10000) AS BIGINT) AS km_e4 FROM near WHERE km <= {NEAR_KM} GROUP BY 1, 2""")
+def nearest_on_ways(spark, d: str) -> DataFrame:
+    segments = supplier_segments(spark, d).select((F.col("way_id") % 7).alias("way_id"), F.col("way_id").alias("seg"), "x1", "y1", "x2", "y2")
+    hits = spatial.nearest_on_way(spatial.within_km(customer_points(spark, d), segments, NEAR_KM, 0.5))
+    return hits.select("point_id", "way_id", e4(F.col("km")).alias("km_e4"))
 
 
 _PLACES = f"places AS (SELECT s_suppkey AS place_id, {LON.format('s_suppkey * 11')} AS px, {LAT.format('s_suppkey * 11')} AS py FROM supplier)"
@@ -246,7 +252,7 @@ def bbox_intersects(spark, d: str) -> DataFrame:
         F.col(key).alias("id"), lon_e6(F.col(key) * by).alias("x1"), lat_e6(F.col(key) * by).alias("y1"),
         (lon_e6(F.col(key) * by) + size).alias("x2"), (lat_e6(F.col(key) * by) + size).alias("y2"),
     )
-    return spatial.boxes_meet(box("orders", "o_orderkey", 1, 100000), box("supplier", "s_suppkey", 11, 200000), 500000.0)
+    return spatial.boxes_meet(box("orders", "o_orderkey", 1, 100000), box("supplier", "s_suppkey", 11, 200000), 500000.0, 360e6)
 
 
 @query(f"WITH {_POINTS} SELECT floor((x + 180) / 6) + CASE WHEN (x + 180) / 6 = floor((x + 180) / 6) THEN 0 ELSE 1 END AS zone, count(*) AS n, CAST(round(min(x) * 1e6) AS BIGINT) AS x1, CAST(round(max(y) * 1e6) AS BIGINT) AS y2 FROM pts GROUP BY 1")

@@ -113,10 +113,10 @@ def grid_cells(spark: SparkSession, x1: float, y1: float, x2: float, y2: float,
 
     n = 1 << resolution
     step = 180 / n
-    columns = spark.range(int((x1 + 180) / step), int((x2 + 180) / step) + 1).select(((F.col("id") + 0.5) * step - 180).alias("x"))
+    first, last = int((x1 + 180) / step), int((x2 + 180) / step)
     rows = spark.range(int((y1 + 90) / step), int((y2 + 90) / step) + 1).select(((F.col("id") + 0.5) * step - 90).alias("y"))
-    # both sides are rows and columns of one box
-    both = columns.crossJoin(rows).where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2))
+    both = rows.select("y", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("k")).select(((F.col("k") + 0.5) * step - 180).alias("x"), "y")
+    both = both.where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2))
     return both.select(square_cell_id(F.col("x"), F.col("y"), resolution).alias("cell_id"), "x", "y")
 
 
