@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from waylake.functions.storage import materialise
+
 
 def unpivot(df: DataFrame, ids: Sequence[str], fields: Sequence[str], drop_nulls: bool = False) -> DataFrame:
     """One row per id and field: (ids, s_name, s_value as text). Layers differ in whether nulls stay."""
@@ -19,11 +21,19 @@ def last_per_name(attributes: DataFrame, key: str, order: str) -> DataFrame:
     return attributes.groupBy(key, "s_name").agg(F.max_by("s_value", F.struct(order, "s_value")).alias("s_value"))
 
 
-def tag_map(attributes: DataFrame, key: str, where: Column | None = None, name: str = "tags") -> DataFrame:
-    """(key, map of names to values), over the attributes that meet ``where``; names must be unique per key."""
+def collected_tags(where: Column | None = None) -> Column:
+    """Aggregate: a map of names to values. Of several values of a name the largest stays; null names are left out."""
     pair = F.struct("s_name", "s_value")
-    pairs = F.collect_list(pair if where is None else F.when(where, pair))
-    return attributes.groupBy(key).agg(F.map_from_entries(F.array_sort(pairs)).alias(name))
+    named = F.col("s_name").isNotNull() if where is None else F.col("s_name").isNotNull() & where
+    pairs = F.array_sort(F.collect_list(F.when(named, pair)))
+    beside = F.arrays_zip(pairs.alias("own"), F.slice(pairs, F.lit(2), F.size(pairs)).alias("next"))
+    last = F.filter(beside, lambda x: x["own"].isNotNull() & (x["next"].isNull() | (x["next"]["s_name"] != x["own"]["s_name"])))
+    return F.map_from_entries(F.transform(last, lambda x: x["own"]))
+
+
+def tag_map(attributes: DataFrame, key: str, where: Column | None = None, name: str = "tags") -> DataFrame:
+    """(key, map of names to values), over the attributes that meet ``where``; see collected_tags() for repeated names."""
+    return attributes.groupBy(key).agg(collected_tags(where).alias(name))
 
 
 def as_text(tags: Column) -> Column:
@@ -48,7 +58,8 @@ def surrogate_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id"
     task holds all rows."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is never coalesced
-    dealt = df.repartitionByRange(n, *cols).withColumn("_p", F.spark_partition_id())
+    # written once: the bounds of ranges come from samples, and counts and numbers must see the same ranges
+    dealt = materialise(df.repartitionByRange(n, *cols).withColumn("_p", F.spark_partition_id()), "dealt")
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     bases = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

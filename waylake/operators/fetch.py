@@ -36,10 +36,9 @@ def has_prefix(feature_id: Column, prefixes: Sequence[str], middle: str = "") ->
 def way_kind(attributes: DataFrame, prefixes: Sequence[str] = ORIGINAL) -> DataFrame:
     """(feature_id, tags, is_trail, is_road) of ways with current attributes, by one aggregation."""
     highway = lambda values: F.coalesce(F.bool_or((F.col("s_name") == "highway") & F.col("s_value").isin(*values)), F.lit(False))
-    pairs = F.array_sort(F.collect_list(F.struct("s_name", "s_value")))
     ways = attributes.where(is_latest() & has_prefix(F.col("feature_id"), prefixes, "WAY"))
     return ways.groupBy("feature_id").agg(
-        F.map_from_entries(pairs).alias("tags"), highway(TRAIL_HIGHWAYS).alias("is_trail"), (~highway(NOT_ROAD_HIGHWAYS)).alias("is_road")
+        eav.collected_tags().alias("tags"), highway(TRAIL_HIGHWAYS).alias("is_trail"), (~highway(NOT_ROAD_HIGHWAYS)).alias("is_road")
     )
 
 
@@ -47,7 +46,8 @@ def graph_rows(features: DataFrame, attributes: DataFrame, kind: str, prefixes:
     """The current rows of a 'road', 'trail' or 'full' graph; nodes come without tags in the first two.
 
     features: feature_id, feature_type, layer_id, s_name, s_source_id, geometry, version_start, version_end;
-    attributes: feature_id, s_name, s_value, version_start, version_end. One name has one current value.
+    attributes: feature_id, s_name, s_value, version_start, version_end. Of several current values
+    of a name one stays: the largest.
     """
     current = features.where(is_latest())
     if kind == "full":

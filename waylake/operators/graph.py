@@ -144,20 +144,6 @@ def allocate_signals(signals: DataFrame, intersections: DataFrame, km: float, si
     return nearest_k(signals, intersections, 1, size, km).select(F.col("point_id").alias("signal"), F.col("place_id").alias("node"))
 
 
-def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """(path_id, seq, src, dst, way_id, speed_ms, lanes) along paths.
-
-    paths: path_id, nodes; edges: src, dst, way_id, km, maxspeed (km/h), lanes, oneway. Lanes of two-way
-    roads are halved, one at least.
-    """
-    pair = F.zip_with(
-        F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.slice("nodes", F.lit(2), F.size("nodes") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
-    )
-    steps = paths.where(F.size("nodes") > 1).select("path_id", F.posexplode(pair).alias("seq", "e")).select("path_id", "seq", "e.src", "e.dst")
-    lanes = F.when(F.col("oneway"), F.col("lanes")).otherwise(F.greatest(F.lit(1), F.floor(F.col("lanes") / 2))).cast("int")
-    return steps.join(edges, ["src", "dst"]).select("path_id", "seq", "src", "dst", "way_id", "km", (F.col("maxspeed") / 3.6).alias("speed_ms"), lanes.alias("lanes"))
-
-
 def path_to_point(path_points: DataFrame) -> DataFrame:
     """The first point of each path at its smallest distance; path_points: path_id, seq, km."""
     return path_points.groupBy("path_id").agg(F.min_by("seq", F.struct("km", "seq")).alias("seq"), F.min("km").alias("km"))

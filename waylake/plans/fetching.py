@@ -30,9 +30,10 @@ GRAPH_SQL = f"""w AS (SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 4 = 0
 feat AS (SELECT feature_id, 'LINE' AS feature_type, CAST(NULL AS VARCHAR) AS geometry FROM w WHERE k % 6 != 0
  UNION ALL SELECT concat('OSM&&NODE&&', c_custkey), 'POINT', concat('{{"type":"Point","coordinates":[', printf('%.6f', {LON.format('c_custkey')}), ',', printf('%.6f', {LAT.format('c_custkey')}), ']}}')
  FROM customer WHERE c_custkey % 8 != 0),
-attr AS (SELECT feature_id, 'highway' AS s_name, {list(HIGHWAYS)}[CAST(k % 9 + 1 AS INTEGER)] AS s_value FROM w WHERE k % 10 != 0
+attr AS (SELECT feature_id, s_name, max(s_value) AS s_value FROM (SELECT feature_id, 'highway' AS s_name, {list(HIGHWAYS)}[CAST(k % 9 + 1 AS INTEGER)] AS s_value FROM w WHERE k % 10 != 0
  UNION ALL SELECT feature_id, 'name', p_name FROM w WHERE k % 14 != 0
- UNION ALL SELECT feature_id, 'nodes', CASE WHEN k % 17 = 0 THEN 'none' ELSE concat('["OSM&&NODE&&', k // 2, '", "OSM&&NODE&&', k // 3, '", "OSM&&NODE&&', k % 50, '"]') END FROM w WHERE k % 13 != 0)"""
+ UNION ALL SELECT feature_id, 'name', concat('a ', p_name) FROM w WHERE k % 15 = 0
+ UNION ALL SELECT feature_id, 'nodes', CASE WHEN k % 17 = 0 THEN 'none' ELSE concat('["OSM&&NODE&&', k // 2, '", "OSM&&NODE&&', k // 3, '", "OSM&&NODE&&', k % 50, '"]') END FROM w WHERE k % 13 != 0) GROUP BY 1, 2)"""
 
 
 def stored_graph(spark, d: str) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +55,8 @@ def stored_graph(spark, d: str) -> tuple[DataFrame, DataFrame]:
     )
     tall = eav.unpivot(wide, ["feature_id", "p_partkey"], ["highway", "name", "nodes"])
     old = ((F.col("s_name") == "highway") & (k % 10 == 0)) | ((F.col("s_name") == "name") & (k % 14 == 0)) | ((F.col("s_name") == "nodes") & (k % 13 == 0))
-    return features, tall.withColumns(current(~old)).drop("p_partkey")
+    again = p.where(k % 15 == 0).select("feature_id", F.lit("name").alias("s_name"), F.concat(F.lit("a "), "p_name").alias("s_value"), F.lit(1).alias("version_start"), F.lit(None).cast("int").alias("version_end"))
+    return features, tall.withColumns(current(~old)).drop("p_partkey").unionByName(again)
 
 
 def _rows_sql(kind: str, prefixes: str) -> str:

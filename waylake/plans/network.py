@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from waylake.functions import geo
-from waylake.operators import export, graph, matching, polygons, resolve, splitting
+from waylake.operators import export, graph, matching, paths, polygons, resolve, splitting
 from waylake.plans.spatial import _hav, customer_points, e4, order_lines, supplier_places
 from waylake.plans.tables import LAT, LON, lat, lat_e6, lon, lon_e6, table
 from waylake.streaming import windows
@@ -96,18 +96,105 @@ def signal_reallocate(spark, d: str) -> DataFrame:
     return graph.allocate_signals(customer_points(spark, d), supplier_places(spark, d), 60.0, 1.0)
 
 
-@query(f"""WITH {EDGES}, p AS (SELECT s_suppkey AS path_id, s_suppkey // 2 AS a, s_suppkey // 3 AS b, s_suppkey // 2 + 1 + s_suppkey % 3 AS c FROM supplier),
-s AS (SELECT path_id, 0 AS seq, a AS src, b AS dst FROM p UNION ALL SELECT path_id, 1, b, c FROM p)
-SELECT s.path_id, s.seq, s.src, s.dst, e.way_id, CAST(round((40 + e.way_id % 7 * 10) / 3.6 * 10000) AS BIGINT) AS speed_e4,
- CAST(CASE WHEN e.way_id % 4 = 0 THEN e.way_id % 5 + 1 ELSE greatest(1, floor((e.way_id % 5 + 1) / 2)) END AS INTEGER) AS lanes FROM s JOIN e ON e.src = s.src AND e.dst = s.dst""")
-def path_edges(spark, d: str) -> DataFrame:
-    w = ways(spark, d)
+# every supplier's path starts along its way; every customer's one follows the ways of even numbers down to node 0
+
+_STEPS = 8
+_PATHS = f"""RECURSIVE walk AS (SELECT c_custkey + 1000000 AS path_id, 0 AS i, c_custkey % 50 + 4 AS node FROM customer
+  UNION ALL SELECT path_id, i + 1, node * 2 // 3 FROM walk WHERE i < {_STEPS}),
+n AS (SELECT * FROM walk UNION ALL SELECT s_suppkey, 0, s_suppkey // 2 FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey // 3 FROM supplier
+  UNION ALL SELECT s_suppkey, 2, s_suppkey // 2 + 1 + s_suppkey % 3 FROM supplier),
+s AS (SELECT path_id, i AS seq, node AS src, lead(node) OVER (PARTITION BY path_id ORDER BY i) AS dst FROM n QUALIFY dst IS NOT NULL)"""
+_BEST = f"""{EDGES}, best AS (SELECT src, dst, way_id, (way_id % 9 + 1) / 8 AS km FROM e QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY way_id % 9, way_id) = 1)"""
+_LANES = "CAST(CASE WHEN way_id IS NULL THEN NULL WHEN way_id % 4 = 0 THEN way_id % 5 + 1 ELSE greatest(1, (way_id % 5 + 1) // 2) END AS INTEGER)"
+
+
+def road_paths(spark, d: str) -> DataFrame:
+    own = ways(spark, d).select(F.col("id").alias("path_id"), "nodes")
+    start = F.array(F.col("c_custkey") % 50 + 4)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, lambda acc, _: F.array_append(acc, F.floor(F.element_at(acc, -1) * 2 / 3)))
+    return own.union(table(spark, d, "customer").select((F.col("c_custkey") + 1_000_000).alias("path_id"), walk.alias("nodes")))
+
+
+def lane_edges(spark, d: str) -> DataFrame:
     k = F.col("way_id")
-    e = edges(spark, d).drop("seq").join(w.select(F.col("id").alias("way_id"), "oneway"), "way_id").withColumns(
-        {"km": F.lit(1.0), "maxspeed": 40 + k % 7 * 10, "lanes": (k % 5 + 1).cast("int")}
-    )
-    paths = w.select(F.col("id").alias("path_id"), "nodes")
-    return graph.path_edges(paths, e).select("path_id", "seq", "src", "dst", "way_id", F.round(F.col("speed_ms") * 10000).cast("long").alias("speed_e4"), "lanes")
+    e = edges(spark, d).drop("seq").join(ways(spark, d).select(F.col("id").alias("way_id"), "oneway"), "way_id")
+    return e.withColumns({"km": (k % 9 + 1) / 8, "maxspeed": 40 + k % 7 * 10, "lanes": (k % 5 + 1).cast("int")})
+
+
+@query(f"""WITH {_PATHS}, {_BEST} SELECT path_id, CAST(seq AS INTEGER) AS seq, s.src, s.dst, way_id, CAST(round((40 + way_id % 7 * 10) / 3.6 * 10000) AS BIGINT) AS speed_e4, {_LANES} AS lanes FROM s LEFT JOIN best USING (src, dst)""")
+def path_edges(spark, d: str) -> DataFrame:
+    rows = paths.path_edges(road_paths(spark, d), lane_edges(spark, d))
+    return rows.select("path_id", "seq", "src", "dst", "way_id", F.round(F.col("speed_ms") * 10000).cast("long").alias("speed_e4"), "lanes")
+
+
+@query(f"""WITH {_PATHS}, {_BEST} SELECT path_id, CAST(seq AS INTEGER) AS seq, s.src, s.dst FROM s ANTI JOIN best USING (src, dst)""")
+def path_steps_missing(spark, d: str) -> DataFrame:
+    return paths.missing_steps(paths.path_edges(road_paths(spark, d), lane_edges(spark, d)))
+
+
+_SEGMENTS = f"sgm AS (SELECT row_number() OVER (ORDER BY src, dst) AS seg_id, src, dst, {_LANES} AS lanes FROM best)"
+
+
+@query(f"WITH {_BEST}, {_SEGMENTS} SELECT * FROM sgm")
+def segment_ids(spark, d: str) -> DataFrame:
+    return paths.segment_ids(lane_edges(spark, d))
+
+
+# nodes that three divides are centroids of intersections, two and two of one intersection
+
+
+def centroids(spark, d: str) -> DataFrame:
+    nodes = table(spark, d, "supplier").where("s_suppkey % 3 = 0")
+    return nodes.select(F.col("s_suppkey").alias("node"), (F.floor(F.col("s_suppkey") / 6) + 1).alias("intersection"))
+
+
+_AT = """c AS (SELECT s_suppkey AS node, s_suppkey // 6 + 1 AS intersection FROM supplier WHERE s_suppkey % 3 = 0),
+along AS (SELECT path_id, seq, s.src, s.dst, sum(km) OVER (PARTITION BY path_id ORDER BY seq) AS so_far FROM s LEFT JOIN best USING (src, dst)),
+dist AS (SELECT path_id, intersection, min(seq + 1) AS node_seq, arg_min(so_far, seq) AS km FROM along JOIN c ON c.node = along.dst GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PATHS}, {_BEST}, {_AT} SELECT path_id, intersection, CAST(node_seq AS INTEGER) AS node_seq, CAST(km * 8 AS BIGINT) AS km_8 FROM dist")
+def path_distances(spark, d: str) -> DataFrame:
+    found = paths.distances(paths.path_edges(road_paths(spark, d), lane_edges(spark, d)), centroids(spark, d))
+    return found.select("path_id", "intersection", "node_seq", (F.col("km") * 8).cast("long").alias("km_8"))
+
+
+_WATCH = """watch AS (SELECT a.path_id, a.seq, a.src, a.dst, (SELECT arg_min(intersection, node_seq) FROM dist d WHERE d.path_id = a.path_id AND d.node_seq > a.seq) AS watches FROM along a),
+segw AS (SELECT seg_id, coalesce(last(watches ORDER BY path_id, seq) FILTER (watches IS NOT NULL), 1) AS intersection FROM sgm LEFT JOIN watch USING (src, dst) GROUP BY seg_id)"""
+
+
+@query(f"WITH {_PATHS}, {_BEST}, {_SEGMENTS}, {_AT}, {_WATCH} SELECT * FROM segw")
+def segment_watches(spark, d: str) -> DataFrame:
+    rows = paths.path_edges(road_paths(spark, d), lane_edges(spark, d))
+    return paths.segment_watches(paths.watched(rows, paths.distances(rows, centroids(spark, d))), paths.segment_ids(lane_edges(spark, d)))
+
+
+@query(f"""WITH {_PATHS}, {_BEST}, {_SEGMENTS}, {_AT}, {_WATCH}, low AS (SELECT i.intersection, coalesce(min(km), 1e8) AS least FROM (SELECT DISTINCT intersection FROM segw) i LEFT JOIN dist USING (intersection) GROUP BY 1)
+SELECT a.path_id, seg_id, CAST(round(sum(coalesce(d.km, 1e8) - least + 0.0001) * 10000) AS BIGINT) AS correction_e4 FROM along a JOIN sgm USING (src, dst) JOIN segw USING (seg_id) JOIN low USING (intersection)
+LEFT JOIN dist d ON d.path_id = a.path_id AND d.intersection = segw.intersection GROUP BY 1, 2""")
+def path_corrections(spark, d: str) -> DataFrame:
+    rows, segments = paths.path_edges(road_paths(spark, d), lane_edges(spark, d)), paths.segment_ids(lane_edges(spark, d))
+    distance = paths.distances(rows, centroids(spark, d))
+    watches = paths.segment_watches(paths.watched(rows, distance), segments)
+    found = paths.corrections(rows, segments, watches, distance)
+    return found.select("path_id", "seg_id", F.round(F.col("correction") * 10000).cast("long").alias("correction_e4"))
+
+
+@query(f"""WITH {_PATHS}, {_BEST}, {_AT}, moves AS (SELECT s_suppkey % 8 + 1 AS intersection, s_suppkey // 2 AS in_node, s_suppkey // 3 AS out_node, CAST(s_suppkey % 23 - 11 AS INTEGER) AS priority FROM supplier
+ QUALIFY row_number() OVER (PARTITION BY s_suppkey % 8, s_suppkey // 2, s_suppkey // 3 ORDER BY s_suppkey) = 1), size AS (SELECT path_id, count(*) AS len FROM n GROUP BY 1),
+events AS (SELECT d.path_id, d.intersection, n.i, CASE WHEN n.i > 0 AND m.node = n.node THEN 0
+  WHEN n.node IN (SELECT in_node FROM moves WHERE moves.intersection = d.intersection) THEN CASE WHEN n.i >= len - 3 THEN 0 ELSE
+   (SELECT arg_min(v.priority, o.i) FROM n o JOIN moves v ON v.out_node = o.node WHERE o.path_id = d.path_id AND o.i > n.i AND v.intersection = d.intersection AND v.in_node = n.node
+     AND NOT EXISTS (SELECT 1 FROM c WHERE c.node = o.node AND c.intersection = d.intersection)) END END AS p
+ FROM dist d JOIN n ON n.path_id = d.path_id JOIN n m ON m.path_id = d.path_id AND m.i = n.i + 1 JOIN size ON size.path_id = d.path_id)
+SELECT path_id, intersection, CAST(greatest(-9, least(9, coalesce(arg_min(p, i) FILTER (p IS NOT NULL), -9))) AS INTEGER) AS priority FROM events GROUP BY 1, 2""")
+def path_priorities(spark, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    moves = table(spark, d, "supplier").select((k % 8 + 1).alias("intersection"), F.expr("s_suppkey div 2").alias("in_node"), F.expr("s_suppkey div 3").alias("out_node"), k.alias("k"))
+    moves = moves.groupBy("intersection", "in_node", "out_node").agg(F.min("k").alias("k")).withColumn("priority", (F.col("k") % 23 - 11).cast("int")).drop("k")
+    all_paths = road_paths(spark, d)
+    distance = paths.distances(paths.path_edges(all_paths, lane_edges(spark, d)), centroids(spark, d))
+    return paths.priorities(all_paths, distance, moves, centroids(spark, d))
 
 
 @query("""SELECT l_orderkey AS path_id, CAST(arg_min(l_linenumber, (l_quantity, l_linenumber)) AS INTEGER) AS seq FROM lineitem GROUP BY 1""")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import re
+import tempfile
 import time
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
@@ -69,23 +71,30 @@ def in_order(configs: Mapping[str, SourceConfig], wanted: list[str], done: set[s
 
 
 def http_get(url: str, headers: Mapping[str, str], tries: int = 5, wait: float = 60.0, open_url=urllib.request.urlopen) -> Iterator[str]:
-    """The lines of a response. A failed try is repeated after a wait."""
+    """The lines of a response, once all of it has come: a failed or broken-off try is repeated after a wait, and none of
+    its lines are given out. Responses over 64 MB wait in the task's temporary folder."""
     for left in range(tries, 0, -1):
-        try:
-            with open_url(urllib.request.Request(url, headers=dict(headers))) as response:
-                for line in response:
-                    yield line.decode("utf-8").rstrip("\r\n")
-                return
-        except OSError:
-            if left == 1:
-                raise
-            time.sleep(wait)
+        with tempfile.SpooledTemporaryFile(64 << 20) as whole:
+            try:
+                with open_url(urllib.request.Request(url, headers=dict(headers))) as response:
+                    for block in iter(lambda: response.read(1 << 20), b""):
+                        whole.write(block)
+            except (OSError, http.client.HTTPException):
+                if left == 1:
+                    raise
+                time.sleep(wait)
+                continue
+            whole.seek(0)
+            for line in whole:
+                yield line.decode("utf-8").rstrip("\r\n")
+            return
 
 
 def rest_source(name: str, options: Mapping, get: Callable[..., Iterator[str]] = http_get) -> type[DataSource]:
-    """A data source of one column ``value``, a response's lines, fetched by one task as one page (A3)."""
+    """A data source of one column ``value``, a response's lines, fetched by one task as one page (A3): a service without
+    pages gives one response. ``get`` does its own retries."""
     url, headers = options["url"], dict(options.get("headers", {}))
-    return readers.paged_source(name, "value string", lambda offset, size: [(line,) for line in get(url, headers)], lambda: 1, 1)
+    return readers.paged_source(name, "value string", lambda offset, size: ((line,) for line in get(url, headers)), lambda: 1, 1, retries=0)
 
 
 FORMATS = {"CSV": readers.read_csv, "GEOJSON": readers.read_geojson, "OSM_JSON": readers.read_osm_json}

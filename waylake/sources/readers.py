@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -68,29 +69,80 @@ def newest_file(spark: SparkSession, folder: str, part: str) -> str | None:
 @dataclass
 class _Page(InputPartition):
     offset: int
+    size: int
+    last: int = 0  # the last page's number
+
+
+class LostPage(RuntimeError):
+    """A page before the last one didn't hold as many rows as the others: rows would be missing."""
+
+
+def _tried(fetch: Callable[[int, int], list[tuple]], offset: int, size: int, retries: int, wait: float) -> list[tuple]:
+    """The rows of a page; a failed try is repeated after a wait that doubles."""
+    for attempt in range(retries + 1):
+        try:
+            return list(fetch(offset, size))
+        except OSError:
+            if attempt == retries:
+                raise
+            time.sleep(wait * 2**attempt)
+    return []
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, fetch: Callable[[int, int], list[tuple]], count: Callable[[], int], size: int, retries: int):
-        self.fetch, self.count, self.size, self.retries = fetch, count, size, retries
+    def __init__(self, fetch: Callable[[int, int], list[tuple]], count: Callable[[], int], size: int, retries: int, wait: float):
+        self.fetch, self.count, self.size, self.retries, self.wait = fetch, count, size, retries, wait
 
     def partitions(self) -> list[_Page]:
-        return [_Page(at) for at in range(0, max(1, self.count()), self.size)]
+        return [_Page(at, self.size) for at in range(0, max(1, self.count()), self.size)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        for attempt in range(self.retries + 1):
-            try:
-                yield from self.fetch(partition.offset, self.size)
-                return
-            except OSError:
-                if attempt == self.retries:
-                    raise
+        if self.retries:
+            yield from _tried(self.fetch, partition.offset, partition.size, self.retries, self.wait)
+        else:
+            yield from self.fetch(partition.offset, partition.size)
+
 
+class _UncountedReader(DataSourceReader):
+    """Pages of a service that doesn't say how many rows it has: a few pages tell the driver how many there are."""
 
-def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[tuple]], count: Callable[[], int], size: int = 2000, retries: int = 5) -> type[DataSource]:
+    def __init__(self, fetch: Callable[[int, int], list[tuple]], size: int, retries: int, wait: float):
+        self.fetch, self.size, self.retries, self.wait = fetch, size, retries, wait
+
+    def _rows(self, page: int) -> int:
+        return len(_tried(self.fetch, page * self.size, self.size, self.retries, self.wait))
+
+    def partitions(self) -> list[_Page]:
+        first = self._rows(0)
+        if first and first < self.size and _tried(self.fetch, first, self.size, self.retries, self.wait):
+            self.size = first  # the service gives fewer rows a page than it is asked for
+        # pages double until one isn't full, then the first such page lies between the last two
+        low, high = (0, 1) if first >= self.size else (-1, 0)
+        while low >= 0 and self._rows(high) >= self.size:
+            low, high = high, high * 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._rows(middle) >= self.size else (low, middle)
+        return [_Page(page * self.size, self.size, high) for page in range(high + 1)]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        rows = _tried(self.fetch, partition.offset, partition.size, self.retries, self.wait)
+        page, last = partition.offset // partition.size, partition.last
+        if page < last and len(rows) < partition.size:
+            raise LostPage(f"page {page} has {len(rows)} of {partition.size} rows, and {last - page} pages follow")
+        if page == last and len(rows) >= partition.size:
+            raise LostPage(f"page {page} was the last one and is full now: the service has grown")
+        yield from rows
+
+
+def paged_source(
+    name: str, schema: str, fetch: Callable[[int, int], list[tuple]], count: Callable[[], int] | None = None, size: int = 2000, retries: int = 5, wait: float = 1.0
+) -> type[DataSource]:
     """A data source over a paged service: one partition per page, with retries inside the task (A2, A4).
 
-    ``fetch(offset, size)`` returns the rows of a page. Register the class with spark.dataSource.register().
+    ``fetch(offset, size)`` returns the rows of a page. Without ``count`` the first page that isn't full is the last; the
+    driver finds it with as many fetches as twice the logarithm of the number of pages. A page before it that isn't full,
+    when it is read, is an error. Register the class with spark.dataSource.register().
     """
 
     class Paged(DataSource):
@@ -102,7 +154,7 @@ def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[tuple]
             return schema
 
         def reader(self, schema) -> DataSourceReader:
-            return _PagedReader(fetch, count, size, retries)
+            return _UncountedReader(fetch, size, retries, wait) if count is None else _PagedReader(fetch, count, size, retries, wait)
 
     return Paged
 
