@@ -181,3 +181,13 @@ def area_between(pairs: DataFrame, zone: Column | None = None) -> DataFrame:
     mean = (geo.length_km(F.col("a")) + geo.length_km(F.col("b"))) * 500
     found = pairs.join(areas(ring).select("pair", F.col("a").alias("m2")), "pair")
     return found.withColumn("error", F.when(mean > 0, F.col("m2") / mean))
+
+
+def area_to_parts(pairs: DataFrame) -> DataFrame:
+    """(pair, m2, error) between a line ``a`` and the several ``parts`` of its match: the mean of the areas between the line and
+    each part, over the length of the line (X15). Null without parts."""
+    each = pairs.select("pair", "a", F.posexplode("parts").alias("k", "b")).where(F.size("b") > 0)
+    found = area_between(each.select(F.struct("pair", "k").alias("pair"), "a", "b"))
+    mean = found.groupBy(F.col("pair.pair").alias("pair")).agg(F.avg("m2").alias("m2"))
+    rows = pairs.select("pair", (geo.length_km(F.col("a")) * 1000).alias("m")).join(mean, "pair", "left")
+    return rows.select("pair", "m2", F.when(F.col("m") > 0, F.col("m2") / F.col("m")).alias("error"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from waylake.functions import geo
-from waylake.operators import export, graph, matching, paths, polygons, resolve, splitting
-from waylake.plans.spatial import _hav, customer_points, e4, order_lines, supplier_places
+from waylake.operators import export, graph, matching, overlay, paths, polygons, resolve, splitting, trellis
+from waylake.plans.spatial import ORDER_STEPS, _hav, customer_points, e4, order_lines, supplier_places
 from waylake.plans.tables import LAT, LON, lat, lat_e6, lon, lon_e6, table
 from waylake.streaming import windows
 
@@ -250,28 +250,69 @@ def hmm_min_cost(spark, d: str) -> DataFrame:
     return matching.min_cost(trellis_states(spark, d))
 
 
-def street_grid(spark, d: str) -> tuple[DataFrame, DataFrame]:
-    """A 20 x 20 grid of streets, a row or a column each; (ways, nodes)."""
-    n = 20
-    cell = spark.range(n * n).select(F.col("id"), (144.9 + F.col("id") % n * 0.002).alias("x"), (-37.9 + F.floor(F.col("id") / n) * 0.002).alias("y"))
-    street = spark.range(2 * n).select(
-        F.col("id"),
-        F.when(F.col("id") < n, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("id") * n + i))
-        .otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * n + F.col("id") - n)).alias("nodes"),
-        (F.col("id") % 5 == 4).alias("oneway"), F.lit(False).alias("reverseway"),
-    )
-    return street, cell
+# every supplier is a town of three streets by three, every customer drives in one of them: along a street, then to the
+# north or the south, some metres aside
 
 
-@query()
-def match_lines(spark, d: str) -> DataFrame:
-    """One line per customer: eastward along a street, some metres aside."""
+def towns(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """(ways, nodes) of all towns."""
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier")
+    at = F.explode(F.sequence(F.lit(0), F.lit(8)))
+    node = s.select(k, at.alias("i")).select((k * 10 + F.col("i")).alias("id"), (lon(k * 11) + F.col("i") % 3 * 0.002).alias("x"), (lat(k * 11) + F.expr("i div 3") * 0.002).alias("y"))
+    way = s.select(k, F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    across = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: k * 10 + F.when(F.col("i") < 3, F.col("i") * 3 + j).otherwise(j * 3 + F.col("i") - 3))
+    return way.select((k * 10 + F.col("i")).alias("id"), across.alias("nodes"), ((k + F.col("i")) % 5 == 0).alias("oneway"), F.lit(False).alias("reverseway")), node
+
+
+def drives(spark, d: str) -> DataFrame:
+    n = table(spark, d, "supplier").agg(F.count("*").alias("n"))  # one row
     k = F.col("c_custkey")
-    y = -37.9 + k % 20 * 0.002 + k % 7 / 1e5
-    line = F.transform(F.sequence(F.lit(0), (k % 4 + 2).cast("int")), lambda i: F.struct((144.9005 + (k % 5 + i) * 0.002).alias("x"), y.alias("y")))
-    lines = table(spark, d, "customer").select(k.alias("id"), line.alias("line"))
-    street, cell = street_grid(spark, d)
-    return matching.match_lines(lines, street, cell)
+    c = table(spark, d, "customer").crossJoin(F.broadcast(n)).withColumn("s", ((k - 1) % F.col("n") + 1) * 11)
+    x0, y0 = lon(F.col("s")), lat(F.col("s")) + k % 3 * 0.002 + k % 7 * 1e-5
+    point = lambda x, y: F.struct((x0 + x).alias("x"), (y0 + y).alias("y"))
+    zero = F.lit(0.0)
+    line = F.array(point(0.0005 + k % 5 * 1e-4, zero), point(F.lit(0.0021), zero), point(F.lit(0.0035), zero), point(F.lit(0.00395), F.when(k % 2 == 0, 0.0007).otherwise(-0.0008)), point(F.lit(0.00401), F.when(k % 2 == 0, 0.0013).otherwise(-0.0013)))
+    return c.select(k.alias("id"), line.alias("line"))
+
+
+def _chord_sql(a: str, b: str) -> str:
+    place = lambda p: (f"cos(radians({p}.y)) * cos(radians({p}.x))", f"cos(radians({p}.y)) * sin(radians({p}.x))", f"sin(radians({p}.y))")
+    return "6371.0 * sqrt(" + " + ".join(f"pow({u} - {v}, 2)" for u, v in zip(place(a), place(b))) + ")"
+
+
+_K = "s_suppkey"
+_TOWNS = f"""RECURSIVE nodes AS (SELECT {_K} * 10 + i AS id, {LON.format(f'{_K} * 11')} + i % 3 * 0.002::DOUBLE AS x, {LAT.format(f'{_K} * 11')} + i // 3 * 0.002::DOUBLE AS y FROM supplier, range(9) t(i)),
+seg AS (SELECT w.*, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, {_hav('a.x', 'a.y', 'b.x', 'b.y')} AS km FROM (
+ SELECT {_K} AS town, {_K} * 10 + i AS way_id, j AS seg, ({_K} + i) % 5 != 0 AS two, {_K} * 10 + CASE WHEN i < 3 THEN i * 3 + j ELSE j * 3 + i - 3 END AS n1,
+  {_K} * 10 + CASE WHEN i < 3 THEN i * 3 + j + 1 ELSE (j + 1) * 3 + i - 3 END AS n2 FROM supplier, range(6) t(i), range(2) u(j)) w JOIN nodes a ON a.id = n1 JOIN nodes b ON b.id = n2),
+link AS (SELECT n1 AS src, n2 AS dst, km FROM seg UNION ALL SELECT n2, n1, km FROM seg WHERE two),
+pts AS (SELECT c_custkey AS id, i + 1 AS step, town, {LON.format('town * 11')} + [0.0005::DOUBLE + c_custkey % 5 * 1e-4::DOUBLE, 0.0021, 0.0035, 0.00395, 0.00401][i + 1] AS x,
+  {LAT.format('town * 11')} + c_custkey % 3 * 0.002::DOUBLE + c_custkey % 7 * 1e-5::DOUBLE + CASE WHEN i < 3 THEN 0.0 WHEN c_custkey % 2 = 0 THEN [0.0007, 0.0013][i - 2] ELSE [-0.0008, -0.0013][i - 2] END::DOUBLE AS y
+  FROM (SELECT c_custkey, (c_custkey - 1) % (SELECT count(*) FROM supplier) + 1 AS town FROM customer), range(5) t(i)),
+near AS (SELECT *, {_hav('(x1 + (x2 - x1) * pos)', '(y1 + (y2 - y1) * pos)', 'x', 'y')} AS d FROM (SELECT p.id, step, x, y, way_id, seg, n1, n2, km, x1, y1, x2, y2,
+  greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS pos FROM pts p JOIN seg s ON s.town = p.town)),
+st AS (SELECT *, round(pow(d * 1000 / 10, 2) / 2, 3) AS own FROM near WHERE d <= 0.02 QUALIFY row_number() OVER (PARTITION BY id, step, way_id ORDER BY d, seg) = 1),
+road AS (SELECT id AS src, id AS dst, 0.0::DOUBLE AS km, 0 AS hops FROM nodes UNION ALL SELECT r.src, l.dst, r.km + l.km, hops + 1 FROM road r JOIN link l ON l.src = r.dst WHERE hops < 4),
+best AS (SELECT src, dst, min(km) AS km FROM road GROUP BY 1, 2),
+pair AS (SELECT u.id, u.step, u.way_id AS a, v.way_id AS b, u.n1 AS un1, u.n2 AS un2, u.pos AS up, u.km AS uk, v.n1 AS vn1, v.n2 AS vn2, v.pos AS vp, v.km AS vk, {_chord_sql('u', 'v')} AS chord FROM st u JOIN st v ON v.id = u.id AND v.step = u.step + 1),
+ways_between AS (
+ SELECT id, step, a, b, chord, 0.0 AS km FROM pair WHERE un1 = vn1 AND un2 = vn2 AND up = vp
+ UNION ALL SELECT id, step, a, b, chord, abs(up - vp) * l.km FROM pair JOIN link l ON l.src = CASE WHEN up <= vp THEN un1 ELSE un2 END AND l.dst = CASE WHEN up <= vp THEN un2 ELSE un1 END WHERE un1 = vn1 AND un2 = vn2 AND up != vp
+ UNION ALL SELECT id, step, a, b, chord, o.c + best.km + t.c FROM pair,
+   LATERAL (SELECT un2 AS node, (1 - up) * uk AS c WHERE up = 1 OR EXISTS (SELECT 1 FROM link WHERE src = un1 AND dst = un2) UNION ALL SELECT un1, up * uk WHERE up = 0 OR EXISTS (SELECT 1 FROM link WHERE src = un2 AND dst = un1)) o,
+   LATERAL (SELECT vn1 AS node, vp * vk AS c WHERE vp = 0 OR EXISTS (SELECT 1 FROM link WHERE src = vn1 AND dst = vn2) UNION ALL SELECT vn2, (1 - vp) * vk WHERE vp = 1 OR EXISTS (SELECT 1 FROM link WHERE src = vn2 AND dst = vn1)) t
+   JOIN best ON best.src = o.node AND best.dst = t.node WHERE NOT (un1 = vn1 AND un2 = vn2)),
+move AS (SELECT id, step, a, b, min(km) AS km, any_value(chord) AS chord FROM ways_between WHERE km <= CASE WHEN chord > 1e-9 THEN 2 * chord ELSE 0.1 END OR (km = 0 AND chord = 0) GROUP BY 1, 2, 3, 4),
+priced AS (SELECT m.id, m.step + 1 AS step, a, b, round(abs(m.chord - m.km) * 1000, 3) + st.own AS c FROM move m JOIN st ON st.id = m.id AND st.step = m.step + 1 AND st.way_id = b WHERE abs(m.chord - m.km) * 1000 < 745),
+total AS (SELECT id, step, way_id, own AS cost FROM st WHERE step = 1 UNION ALL SELECT p.id, p.step, p.b, min(t.cost + p.c) FROM priced p JOIN total t ON t.id = p.id AND p.step = t.step + 1 AND p.a = t.way_id GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_TOWNS}, done AS (SELECT id, min(cost) AS cost FROM total WHERE step = 5 GROUP BY 1)
+SELECT c_custkey AS line_id, CAST(round(cost * 1000) AS BIGINT) AS cost_e3, cost IS NULL AS failed FROM customer LEFT JOIN done ON done.id = c_custkey""")
+def match_lines(spark, d: str) -> DataFrame:
+    found = trellis.match_lines(drives(spark, d), *towns(spark, d))
+    return found.select("line_id", F.round(F.col("cost") * 1000).cast("long").alias("cost_e3"), F.col("error").isNotNull().alias("failed"))
 
 
 # resolution
@@ -344,13 +385,44 @@ def error_summary(spark, d: str) -> DataFrame:
     return polygons.error_summary(m).select("total", "matched", "good", e4(F.col("weighted_error")).alias("weighted_e4"))
 
 
-@query()
+def _utm_sql(x: str, y: str, zone: str) -> tuple[str, str]:
+    """Metres east and north by the transverse Mercator series, with a third flattening of WGS 84."""
+    n = (1 / 298.257223563) / (2 - 1 / 298.257223563)
+    big = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    lam, sin = f"radians({x} - ({zone} * 6 - 183))", f"sin(radians({y}))"
+    t = f"sinh(atanh({sin}) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * {sin}))"
+    xi, eta = f"atan2({t}, cos({lam}))", f"asinh(sin({lam}) / sqrt(pow({t}, 2) + pow(cos({lam}), 2)))"
+    east = " + ".join([eta, *[f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1)]]).replace(eta, "eta", 1)
+    north = " + ".join(["xi", *[f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1)]])
+    return f"{xi} AS xi, {eta} AS eta", f"{big!r}::DOUBLE * ({east}) AS x, {big!r}::DOUBLE * ({north}) AS y"
+
+
+_XI_ETA, _EN = _utm_sql("x", "y", "zone")
+
+# the even-odd area of each ring: strips between all vertices and crossings, trapezoids between every other pair of edges
+_EVEN_ODD = """edge AS (SELECT id, i, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM flat WINDOW w AS (PARTITION BY id ORDER BY i)),
+cross_at AS (SELECT p.id, p.y1 + (p.y2 - p.y1) * ((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) / ((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1)) AS y FROM edge p JOIN edge q ON p.id = q.id AND p.i < q.i
+ WHERE ((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) / ((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1)) BETWEEN 1e-12 AND 1 - 1e-12
+  AND ((q.x1 - p.x1) * (p.y2 - p.y1) - (q.y1 - p.y1) * (p.x2 - p.x1)) / ((p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1)) BETWEEN 1e-12 AND 1 - 1e-12),
+cut AS (SELECT id, y AS lo, lead(y) OVER (PARTITION BY id ORDER BY y) AS hi FROM (SELECT id, y FROM flat UNION SELECT id, y FROM cross_at)),
+bar AS (SELECT c.id, lo, hi, x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1) AS xm FROM cut c JOIN edge e ON e.id = c.id AND least(y1, y2) <= lo AND greatest(y1, y2) >= hi WHERE hi > lo AND y1 != y2),
+area AS (SELECT id, sum((hi - lo) * (CASE WHEN r % 2 = 0 THEN xm ELSE -xm END)) AS m2 FROM (SELECT *, row_number() OVER (PARTITION BY id, lo ORDER BY xm) AS r FROM bar) GROUP BY id)"""
+
+
+@query(f"""WITH {ORDER_STEPS}, n AS (SELECT id, count(*) AS n, sum({_hav('x', 'y', 'x2', 'y2')}) FILTER (x2 IS NOT NULL) AS km, sum({_hav('(x + 0.0001)', '(y + 0.0001)', '(x2 + 0.0001)', '(y2 + 0.0001)')}) FILTER (x2 IS NOT NULL) AS km2,
+ ceil((first(x ORDER BY i) + 180) / 6) AS zone FROM steps GROUP BY 1),
+ring AS (SELECT id, i, x, y, zone, n FROM steps JOIN n USING (id) WHERE n > 1 UNION ALL SELECT id, 2 * n + 1 - i, x + 0.0001, y + 0.0001, zone, n FROM steps JOIN n USING (id) WHERE n > 1),
+flat0 AS (SELECT id, i, {_EN} FROM (SELECT id, i, {_XI_ETA} FROM ring)),
+flat AS (SELECT id, i, x - first(x) OVER w AS x, y - first(y) OVER w AS y FROM flat0 WINDOW w AS (PARTITION BY id ORDER BY i)), {_EVEN_ODD}
+SELECT n.id, CAST(round(coalesce(m2, 0) / (nullif(km + km2, 0) * 500) * 1000) AS BIGINT) AS error_e3 FROM n LEFT JOIN area USING (id) WHERE n > 1""")
 def polygon_error(spark, d: str) -> DataFrame:
     """Error between each order's line and the same line a little aside."""
     near = order_lines(spark, d).where(F.size("line") > 1)
     moved = F.transform("line", lambda p: F.struct((p["x"] + 0.0001).alias("x"), (p["y"] + 0.0001).alias("y")))
-    pairs = near.select("id", F.col("line").alias("a"), moved.alias("b"))
-    return polygons.polygon_errors(pairs).select("id", F.round("error", 3).alias("error"))
+    pairs = near.select(F.col("id").alias("pair"), F.col("line").alias("a"), moved.alias("b"))
+    return overlay.area_between(pairs).select(F.col("pair").alias("id"), F.round(F.col("error") * 1000).cast("long").alias("error_e3"))
 
 
 @query()

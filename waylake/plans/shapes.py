@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waylake.functions import geo
 from waylake.functions.storage import fresh_path
-from waylake.operators import cells, layout, overlay, spatial
+from waylake.operators import cells, layout, overlay, spatial, union
 from waylake.plans.spatial import _hav, _project, customer_points, order_lines, supplier_places
 from waylake.plans.tables import LAT, LON, lat, lon, table
 
@@ -239,3 +239,21 @@ def packed_box(spark, d: str) -> DataFrame:
     layout.write_packed(box_of(triangles(spark, d)), path)
     box = layout.read_box(spark, path, 143.8, -37.0, 144.6, -36.2)
     return box.select("id", *[F.round(F.col(c) * 1e6).cast("long").alias(f"{c}_e6") for c in ("x1", "y1")])
+
+
+# every order is a road of four lines: one of five points to the east, its end carried on, its start carried on the other way
+# around and a little aside, and a branch to the north
+
+
+@query(f"""SELECT o_orderkey AS id, CAST(7 + o_orderkey % 3 + o_orderkey % 2 AS INTEGER) AS points, CAST(round(({LON.format('o_orderkey')} - (1 + o_orderkey % 2) * 0.01) * 1e4) AS BIGINT) AS x1_e4,
+ CAST(round(({LON.format('o_orderkey')} + (5 + o_orderkey % 3) * 0.01) * 1e4) AS BIGINT) AS x2_e4, CAST(round({LAT.format('o_orderkey')} * 1e4) AS BIGINT) AS y_e4 FROM orders""")
+def line_union(spark, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    row = lambda first, last, aside, step: F.transform(F.sequence(first, last, F.lit(step)), lambda i: F.struct((lon(k) + i * 0.01).alias("x"), (lat(k) + aside).alias("y")))
+    zero, four = F.lit(0), F.lit(4)
+    branch = F.transform(F.sequence(zero, F.lit(2)), lambda i: F.struct((lon(k) + 0.02).alias("x"), (lat(k) + i * 0.01).alias("y")))
+    lines = F.array(row(zero, four, 0.0, 1), row(F.lit(3), (5 + k % 3).cast("int"), 0.0, 1), row(F.lit(1), (-1 - k % 2).cast("int"), 0.000002, -1), branch)
+    each = table(spark, d, "orders").select(k.alias("id"), F.posexplode(lines).alias("seq", "line"))
+    found = union.unite_lines(each, "id")
+    bound = lambda f, c: F.round(f(F.transform("line", lambda p: p[c])) * 1e4).cast("long")
+    return found.select("id", F.size("line").alias("points"), bound(F.array_min, "x").alias("x1_e4"), bound(F.array_max, "x").alias("x2_e4"), bound(F.array_min, "y").alias("y_e4"))
