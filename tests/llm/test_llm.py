@@ -133,6 +133,13 @@ def test_language(docs, local):
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
 
 
+def test_repeated_rows_take_no_sample_rows(spark, docs):
+    plain = langid.training_texts(docs)
+    first = docs.where("lang = 'en' and doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(40)
+    again = docs.union(first.join(spark.range(30).select(F.lit(1).alias("x")), F.lit(True)).select(*docs.columns))
+    assert langid.training_texts(again) == plain and len(plain["en"]) > 5
+
+
 def test_language_with_long_texts_only(spark):
     rows = [(i, f"short words {i}", "en") for i in range(20)] + [(20 + i, "1 2 " * 2000 + "langes Wort " * 2000, "de") for i in range(20)]
     df = spark.createDataFrame([*rows, (40, "1234", "xx")], "doc_id long, text string, lang string")
@@ -741,6 +748,14 @@ def test_media(docs, local):
     assert all(r["duration"] == r["n_frames"] * 1152 / 48000 and len(r["frame_offsets"]) == r["n_frames"] == r["table_frames"] for r in index)
 
 
+def test_duration_of_changing_rates():
+    header = lambda rate: bytes([0xFF, 0xFB, 0x90 | rate << 2, 0x00])
+    frames = lambda rate, n: (header(rate).ljust(mpeg_audio.parse_header(header(rate)).length, b"\0")) * n
+    stream = mpeg_audio.read_stream(frames(0, 100) + frames(1, 100))
+    assert len(stream.offsets) == 200 and stream.duration == pytest.approx(100 * 1152 / 44100 + 100 * 1152 / 48000, abs=1e-12)
+    assert mpeg_audio.read_stream(b"").duration == 0.0
+
+
 def test_damaged_streams():
     payload, n = mpeg_audio.padded("text " * 2000)
     data = mpeg_audio.write_stream(payload, n)

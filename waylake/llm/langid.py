@@ -47,8 +47,10 @@ def held_out() -> Column:
 def training_texts(docs: DataFrame, sample_rows: int = 200, train_chars: int = 30_000) -> dict[str, list[str]]:
     """Texts per language, each cut to an eighth of ``train_chars`` characters, that many in all, from rows not held out."""
     part = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, train_chars // 8)
-    labelled = docs.select(F.col("doc_id"), "lang", F.length(part).alias("n")).where(~held_out() & F.col("lang").isNotNull() & (F.col("n") > 0))
-    first = W.partitionBy("lang").orderBy("_h", "doc_id")
+    labelled = docs.select(F.col("doc_id"), "lang", F.length(part).alias("n"), F.xxhash64(part).alias("_t")).where(~held_out() & F.col("lang").isNotNull() & (F.col("n") > 0))
+    # repeated rows and texts count once
+    labelled = labelled.groupBy("lang", "_t", "n").agg(F.min("doc_id").alias("doc_id"))
+    first = W.partitionBy("lang").orderBy("_h", "doc_id", "_t")
     chosen = (
         labelled.withColumn("_h", F.xxhash64("doc_id"))
         .withColumn("_r", F.row_number().over(first))

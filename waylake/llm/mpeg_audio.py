@@ -18,6 +18,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -207,6 +208,7 @@ class Stream:
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)  # of every audio frame
     samples: int = 0
+    by_rate: dict[int, int] = field(default_factory=dict)  # samples of frames of each rate
     rate: int = 0
     channels: int = 0
     crc_ok: int = 0
@@ -218,6 +220,11 @@ class Stream:
     seek_points: list[int] = field(default_factory=list)  # bytes from the table's frame, at equal steps of time
     ancillary: list[bytes] = field(default_factory=list)
 
+    @property
+    def duration(self) -> float:
+        """Seconds, each frame's samples by its own rate."""
+        return float(sum((Fraction(n, rate) for rate, n in self.by_rate.items()), Fraction(0)))
+
     @property
     def payload(self) -> bytes:
         whole = b"".join(self.ancillary)
@@ -371,6 +378,7 @@ def read_stream(data: bytes) -> Stream:
             start += 2
         stream.offsets.append(at)
         stream.samples += head.samples
+        stream.by_rate[head.rate] = stream.by_rate.get(head.rate, 0) + head.samples
         stream.rate, stream.channels = head.rate, head.channels
         if good:
             stream.ancillary.append(data[start + head.side : at + head.length])
@@ -411,7 +419,7 @@ def index_media(media: DataFrame) -> DataFrame:
             rows = []
             for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = read_stream(data or b"")
-                rows.append((doc_id, list(s.tags.items()), s.rate, s.channels, len(s.offsets), s.samples, s.samples / s.rate if s.rate else 0.0, s.crc_ok, s.crc_bad, s.skipped, s.table_frames, s.offsets, s.seek_points))
+                rows.append((doc_id, list(s.tags.items()), s.rate, s.channels, len(s.offsets), s.samples, s.duration, s.crc_ok, s.crc_bad, s.skipped, s.table_frames, s.offsets, s.seek_points))
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
