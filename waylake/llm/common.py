@@ -20,7 +20,8 @@ def drop_written(*tables: DataFrame) -> None:
     for df in tables:
         context = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            # input files are named as URIs
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
