@@ -28,6 +28,7 @@ from waylake.llm.common import materialise
 from waylake.llm.tokens import WordBpe, loaded, read_model
 
 END_ID = 1
+ROWS, KNOWN_WORDS = 512, 500_000  # texts encoded at once, and words whose ids a worker remembers
 PARTS = 256  # hashed parts of a length's pieces
 
 
@@ -102,7 +103,8 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(WordBpe, model.value)
-        for b in batches:
+        bpe.pool.limit = KNOWN_WORDS
+        for b in (big.slice(at, ROWS) for big in batches for at in range(0, big.num_rows, ROWS)):
             rows: list[tuple] = []
             for doc_id, ids in zip(b.column(0).to_pylist(), bpe.encode(b.column(1).to_pylist())):
                 ids = np.append(ids, END_ID).astype("<u4")
