@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def classify(latest: DataFrame, incoming: DataFrame, ids: list[str], key: str, keep_same: bool = False) -> DataFrame:
@@ -152,12 +152,25 @@ def edit_attributes(attributes: DataFrame, edits: DataFrame, options: DataFrame,
     return wide.select(*keys, "s_value", "old_value", action.alias("action"))
 
 
-def apply_edits(rows: DataFrame, decided: DataFrame, keys: Sequence[str], values: Sequence[str], changeset: int) -> DataFrame:
-    """The table after a batch of decided edits (V10, V11); decided: keys, values, action; one edit per key.
+def one_per_key(edits: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """The last edit of each key by ``order``; without an order a key with several edits is an error."""
+    rest = [c for c in edits.columns if c not in keys]
+    if order is not None:
+        last = F.max_by(F.struct(*rest), F.struct(order, *[F.col(c).cast("string") for c in rest])).alias("_e")
+        return edits.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_e.{c}").alias(c) for c in rest])
+    n = F.count("*").over(W.partitionBy(*keys))
+    several = F.raise_error(F.concat(F.lit("several edits of one key: "), F.to_json(F.struct(*keys))))
+    return edits.withColumn("_n", n).where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(several.cast("boolean"))).drop("_n")
+
+
+def apply_edits(rows: DataFrame, decided: DataFrame, keys: Sequence[str], values: Sequence[str], changeset: int, order: str | None = None) -> DataFrame:
+    """The table after a batch of decided edits (V10, V11); decided: keys, values, action. Of several edits of a key the last
+    by ``order`` counts; without an order they are an error.
 
     UPDATE changes the values of the changeset's own rows; NEW and NEW_VERSION add a pending row each,
     whose other columns are null; INVALID and NONE change nothing.
     """
+    decided = one_per_key(decided, keys, order)
     new = F.struct(*values).alias("_new")
     updates = decided.where("action = 'UPDATE'").select(*keys, F.lit(changeset).alias("changeset_id"), new)
     joined = rows.join(updates, [*keys, "changeset_id"], "left")

@@ -59,11 +59,12 @@ def khop_neighbours(spark, d: str) -> DataFrame:
     return graph.within_hops(e, e.select(F.col("src").alias("node")), 2)
 
 
-@query("""WITH RECURSIVE l AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 5 != 0),
+@query("""WITH RECURSIVE l AS (SELECT * FROM (SELECT s_suppkey AS a, CASE WHEN s_suppkey % 21 = 0 THEN s_suppkey + 7 ELSE s_suppkey - s_suppkey % 7 END AS b FROM supplier) WHERE a != b),
 l2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT a AS node, a AS other FROM l2 UNION SELECT r.node, l2.b FROM r JOIN l2 ON l2.a = r.other)
 SELECT node, min(other) AS component FROM r GROUP BY node""")
 def connected_components(spark, d: str) -> DataFrame:
-    links = table(spark, d, "supplier").where("s_suppkey % 5 != 0").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 7).alias("b"))
+    k = F.col("s_suppkey")
+    links = table(spark, d, "supplier").select(k.alias("a"), F.when(k % 21 == 0, k + 7).otherwise(k - k % 7).alias("b"))
     return graph.connected_components(links)
 
 

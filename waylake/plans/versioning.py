@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from waylake.operators import eav, versions
+from waylake.operators import eav, relationships, versions
 from waylake.operators.versions import classify
 from waylake.plans.delta import LATEST_SQL, incoming_orders, keyed, latest_orders
 from waylake.plans.relational import order_matches
@@ -211,11 +211,12 @@ def blocking_changesets(spark, d: str) -> DataFrame:
 
 @query("""WITH rel AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey)) AS matched FROM lineitem GROUP BY 1)
 SELECT r.id, md5(concat(r.id, array_to_string(r.matched, ','))) AS join_key FROM rel r
- WHERE NOT EXISTS (SELECT 1 FROM rel o WHERE o.id % 2 = 0 AND o.id = r.id)""")
+ WHERE r.id % 5 != 3 AND NOT EXISTS (SELECT 1 FROM rel o WHERE o.id % 2 = 0 AND o.id = r.id)""")
 def new_relationships(spark, d: str) -> DataFrame:
     rel = order_matches(spark, d).select("id", F.md5(F.concat("id", F.array_join("matched", ","))).alias("join_key"))
-    known = rel.where("id % 2 = 0").select("join_key")
-    return rel.join(known, "join_key", "left_anti").select("id", "join_key")
+    edited = rel.where("id % 5 = 3").select(F.col("id").alias("input_id"))
+    staged = rel.withColumnRenamed("id", "input_id")
+    return relationships.changed_matches(rel.where("id % 2 = 0"), staged, edited).select(F.col("input_id").alias("id"), "join_key")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, year(o_orderdate) - 1990 AS v FROM orders)
