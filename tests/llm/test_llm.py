@@ -604,7 +604,8 @@ def brute_disclosure(texts, context=120, support=3, generalise_at=0.75, remove_a
     term = re.compile(r"[^\W_]+")
     for i, t in texts:
         for m in re.finditer(PLAIN["email"], t):
-            around = t[max(0, m.start() - context) : m.start()] + "\n" + t[m.end() : m.end() + context]
+            first, last = (0, len(t)) if context is None else (max(0, m.start() - context), m.end() + context)
+            around = t[first : m.start()] + "\n" + t[m.end() : last]
             for e in ("email:" + m.group().lower(), "email of @" + m.group().lower().split("@")[1]):
                 holders[e].add(i)
                 for w in set(term.findall(around.lower())):
@@ -640,6 +641,12 @@ def test_disclosure_by_definition(spark):
     got = {(r["entity"], r["term"], r["action"]) for r in pii.disclosing_terms(df, pii.scanned(df)).collect()}
     want = brute_disclosure(rows)
     assert got == want and {a for _, _, a in want} == {"remove", "generalise"}
+    whole = {(r["entity"], r["term"], r["action"]) for r in pii.disclosing_terms(df, pii.scanned(df, None)).collect()}
+    assert whole == brute_disclosure(rows, context=None)
+    far = [(i, f"p{i}@far.org " * (i < 12) + " ".join(word() for _ in range(60)) + f" hidden{i % 2}" * (i < 12)) for i in range(40)]
+    distant = spark.createDataFrame(far, "doc_id long, text string")
+    terms = lambda context: {r["term"] for r in pii.disclosing_terms(distant, pii.scanned(distant, context), generalise_at=0.4).collect()}
+    assert "hidden0" in terms(None) and "hidden0" not in terms(120)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert not any("4000" in clean[i] for i in range(40)) and any("[CODE]" in clean[i] for i in range(40))
     assert all(clean[i] == t for i, t in rows[50:])

@@ -3,7 +3,7 @@
 Patterns find e-mail addresses, IP addresses, payment cards (Luhn) and phone numbers. Then the corpus
 tells which terms give a found value away. A protected entity e is a value, and also its class (the domain of an
 address, the network of an IP address, the issuer of a card, the area of a phone number), as most values are rare. For
-an entity e and a term t within ``context`` code points of it,
+an entity e and a term t within ``context`` code points of it (or, with ``context=None``, anywhere in a text that holds it),
 
     disclosure(t, e) = PMI(t; e) / IC(e) = ln(n(t,e) N / (n(t) n(e))) / ln(N / n(e))
 
@@ -119,8 +119,9 @@ def _entities(kind: Column, value: Column) -> Column:
     return F.array(F.concat(kind, F.lit(":"), own), F.concat(kind, F.lit(" of "), wide))
 
 
-def scanned(docs: DataFrame, context: int = 120) -> DataFrame:
-    """(doc_id, th, spans) for every row, each span with the text around it; written once."""
+def scanned(docs: DataFrame, context: int | None = 120, min_chars: int = 2) -> DataFrame:
+    """(doc_id, th, spans) for every row, each span with the text around it; written once. Without a ``context`` the whole
+    text but for what the patterns match is around each of its values: its terms come once, as ``near``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select("doc_id", text.alias("text"), text_key().alias("th"))
 
@@ -133,18 +134,26 @@ def scanned(docs: DataFrame, context: int = 120) -> DataFrame:
         after = F.when(F.length(after) == context, F.regexp_replace(after, rf"{TERM}$", "")).otherwise(after)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.concat(before, F.lit("\n"), after).alias("context"))
 
-    found = with_base(slim).select("doc_id", "th", F.transform("_pii", around).alias("spans"))
-    return materialise(found, "pii")
+    found = with_base(slim)
+    if context is not None:
+        return materialise(found.select("doc_id", "th", F.transform("_pii", around).alias("spans")), "pii")
+    bare = F.col("text")
+    for pattern in PATTERNS.values():
+        bare = F.regexp_replace(bare, pattern, "\n")
+    near = F.when(F.size("_pii") > 0, _terms(bare, min_chars)).otherwise(F.array().cast("array<string>"))
+    return materialise(found.select("doc_id", "th", F.col("_pii").alias("spans"), near.alias("near")), "pii")
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, support: int = 3, generalise_at: float = 0.75, remove_at: float = 0.9, min_chars: int = 2) -> DataFrame:
     """(entity, term, action): terms that give a protected value away, 'remove' or 'generalise'."""
-    mentions = spans.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"))
-    mentions = mentions.select("th", F.explode(_entities(F.col("s.kind"), F.col("s.value"))).alias("entity"), F.col("s.context").alias("context"))
+    whole = "near" in spans.columns
+    mentions = spans.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"), *(["near"] if whole else []))
+    around = F.col("near") if whole else _terms(F.col("s.context"), min_chars)
+    mentions = mentions.select("th", F.explode(_entities(F.col("s.kind"), F.col("s.value"))).alias("entity"), around.alias("terms"))
     per_entity = mentions.groupBy("entity").agg(F.count_distinct("th").alias("n_e"))
     # contexts of near copies have equal smallest hashes of their terms and count as one
     least = lambda seed: F.array_min(F.transform("terms", lambda w: F.xxhash64(w, F.lit(seed))))
-    contexts = mentions.withColumn("terms", _terms(F.col("context"), min_chars)).withColumn("c", F.xxhash64(least(1), least(2)))
+    contexts = (mentions.dropDuplicates(["th", "entity"]) if whole else mentions).withColumn("c", F.xxhash64(least(1), least(2)))
     near = contexts.select("th", "entity", "c", F.explode("terms").alias("term"))
     near = materialise(near, "pii-near")
     together = near.groupBy("entity", "term").agg(F.count_distinct("c").alias("n_c"), F.count_distinct("th").alias("n_te"))
@@ -204,7 +213,7 @@ def _n(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
-def find(docs: DataFrame, context: int = 120, **thresholds) -> DataFrame:
+def find(docs: DataFrame, context: int | None = 120, **thresholds) -> DataFrame:
     """(doc_id, counts by kind, base_sha256, spans) for every row of ``docs``."""
     spans = scanned(docs, context)
     terms = disclosing_terms(docs, spans, **thresholds)
@@ -235,7 +244,7 @@ def _rewritten(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, context: int = 120, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, context: int | None = 120, **thresholds) -> DataFrame:
     """``docs`` with marks like [EMAIL] for personal data, wider forms of generalised terms, and removed terms gone."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     spans = scanned(slim, context)
