@@ -83,12 +83,24 @@ def carriageway_change(spark, d: str) -> DataFrame:
     return graph.carriageway_changes(edges(spark, d), ways(spark, d))
 
 
-@query()
+_DEGREE = "deg AS (SELECT node FROM (SELECT src AS node, dst AS other FROM e UNION ALL SELECT dst, src FROM e) WHERE node != other GROUP BY 1 HAVING count(DISTINCT other) >= 3)"
+_CHANGES = """x AS (SELECT src AS node, dst AS other, way_id FROM e UNION ALL SELECT dst, src, way_id FROM e),
+cn AS (SELECT node, concat('road ', way_id // 3) AS name, other, count(*) AS c FROM x GROUP BY 1, 2, 3), cw AS (SELECT node, concat('road ', way_id // 3) AS name, count(DISTINCT way_id) AS ways FROM x GROUP BY 1, 2),
+change AS (SELECT DISTINCT node FROM (SELECT cn.node FROM cn JOIN cw USING (node, name) GROUP BY cn.node, cn.name, cw.ways HAVING cw.ways = 3 AND count(*) = 3 AND count(*) FILTER (c = 2) = 1 AND count(*) FILTER (c = 1) = 2))"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {_DEGREE}, {_CHANGES}, even AS (SELECT node FROM deg WHERE node % 2 = 0),
+near AS (SELECT DISTINCT e.src AS a, e.dst AS b FROM e JOIN even p ON p.node = e.src JOIN even q ON q.node = e.dst WHERE e.src != e.dst), both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other), cluster AS (SELECT node, min(other) AS cluster FROM reach GROUP BY 1),
+kind AS (SELECT node, CASE WHEN node IN (SELECT node FROM change) THEN 'carriageway_change' WHEN node % 10 = 3 THEN 'roundabout' WHEN c.node IS NOT NULL THEN 'complex' ELSE 'simple' END AS type, cluster FROM deg LEFT JOIN cluster c USING (node)),
+grouped AS (SELECT type, CASE WHEN type = 'roundabout' THEN 3 WHEN type = 'complex' THEN cluster ELSE node END AS g, list(node ORDER BY node) AS nodes FROM kind GROUP BY 1, 2)
+SELECT sha256(array_to_string(nodes, ',')) AS uid, type, array_to_string(nodes, ',') AS nodes FROM grouped""")
 def intersections(spark, d: str) -> DataFrame:
     e = edges(spark, d)
     nodes = graph.intersection_nodes(e).where("degree >= 3").select("node")
     rounds = nodes.where("node % 10 = 3").select("node", F.lit(3).cast("long").alias("cluster"))
-    return graph.assemble_intersections(nodes, graph.carriageway_changes(e, ways(spark, d)), rounds, graph.clusters(e, nodes.where("node % 2 = 0")))
+    found = graph.assemble_intersections(nodes, graph.carriageway_changes(e, ways(spark, d)), rounds, graph.clusters(e, nodes.where("node % 2 = 0")))
+    return found.withColumn("nodes", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ","))
 
 
 @query(f"""SELECT c_custkey AS signal, s_suppkey AS node FROM (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS r FROM (
@@ -426,12 +438,26 @@ def polygon_error(spark, d: str) -> DataFrame:
     return overlay.area_between(pairs).select(F.col("pair").alias("id"), F.round(F.col("error") * 1000).cast("long").alias("error_e3"))
 
 
-@query()
+@query(f"""WITH {ORDER_STEPS}, far AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM (SELECT *, CASE WHEN x2 IS NULL THEN 0 ELSE 1000 * {_hav('x', 'y', 'x2', 'y2')} END AS m FROM steps)),
+size AS (SELECT id, sum(m) AS whole, CASE WHEN sum(m) < 500 THEN sum(m) / 10 ELSE 50.0 END AS cut FROM far GROUP BY 1),
+kept AS (SELECT id, i::DOUBLE AS o, x, y FROM far JOIN size USING (id) WHERE whole = 0 OR pos > cut
+ UNION ALL SELECT id, i + 0.5, x + (x2 - x) * (cut - pos) / m, y + (y2 - y) * (cut - pos) / m FROM far JOIN size USING (id) WHERE whole > 0 AND pos <= cut AND pos + m > cut),
+back AS (SELECT *, lag(x) OVER w AS x2, lag(y) OVER w AS y2 FROM kept WINDOW w AS (PARTITION BY id ORDER BY o)),
+left_m AS (SELECT *, CASE WHEN x2 IS NULL THEN 0 ELSE 1000 * {_hav('x', 'y', 'x2', 'y2')} END AS m FROM back), rest AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY id ORDER BY o DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM left_m),
+done AS (SELECT id, o, x, y FROM rest JOIN size USING (id) WHERE whole = 0 OR pos > cut
+ UNION ALL SELECT id, o - 0.25, x + (x2 - x) * (cut - pos) / m, y + (y2 - y) * (cut - pos) / m FROM rest JOIN size USING (id) WHERE whole > 0 AND pos <= cut AND pos + m > cut),
+last AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM done WINDOW w AS (PARTITION BY id ORDER BY o))
+SELECT id, CAST(round(coalesce(sum({_hav('x', 'y', 'x2', 'y2')}) FILTER (x2 IS NOT NULL), 0) * 10000) AS BIGINT) AS km_e4, CAST(count(*) AS INTEGER) AS points FROM last GROUP BY id""")
 def trim_ends(spark, d: str) -> DataFrame:
     return splitting.trim_ends(order_lines(spark, d)).select("id", e4(geo.length_km(F.col("line"))).alias("km_e4"), F.size("line").alias("points"))
 
 
-@query()
+@query(f"""WITH cut AS (SELECT DISTINCT l_orderkey AS way_id, l_partkey % 40 AS c FROM lineitem WHERE l_partkey % 40 BETWEEN 5 AND 34),
+numbered AS (SELECT way_id, c, (SELECT max(o_orderkey) * 10 + 4 FROM orders) + row_number() OVER (ORDER BY way_id, c) AS node_id FROM cut),
+v AS (SELECT way_id, c * 10 - 47 AS pos, node_id, true AS is_new FROM numbered UNION ALL SELECT o_orderkey, i * 100, o_orderkey * 10 + i, false FROM orders, range(4) t(i) WHERE o_orderkey IN (SELECT way_id FROM cut)),
+n AS (SELECT *, sum(is_new::INT) OVER (PARTITION BY way_id ORDER BY pos) AS before FROM v),
+p AS (SELECT way_id, before AS piece, pos, node_id, is_new FROM n UNION ALL SELECT way_id, before - 1, pos, node_id, is_new FROM n WHERE is_new)
+SELECT way_id, CAST(piece AS INTEGER) AS piece, CAST(row_number() OVER (PARTITION BY way_id, piece ORDER BY pos) - 1 AS INTEGER) AS seq, node_id, is_new FROM p""")
 def way_split_pieces(spark, d: str) -> DataFrame:
     """Orders are ways of four nodes east to west, line items cut points near them."""
     k = F.col("o_orderkey")
@@ -439,7 +465,7 @@ def way_split_pieces(spark, d: str) -> DataFrame:
     w = table(spark, d, "orders").select(k.alias("way_id"), F.array(*[node(i) for i in range(4)]).alias("nodes"))
     order = F.col("l_orderkey")
     cuts = table(spark, d, "lineitem").select(
-        order.alias("way_id"), F.col("l_linenumber").alias("seq"), (lon(order) + F.col("l_partkey") % 40 / 1000 - 0.005).alias("x"), (lat(order) + 0.0001).alias("y")
+        order.alias("way_id"), F.col("l_linenumber").alias("seq"), (lon(order) + F.col("l_partkey") % 40 / 1000 - 0.0047).alias("x"), (lat(order) + 0.0001).alias("y")
     )
     top = table(spark, d, "orders").agg(F.max(k * 10 + 4).alias("top")).first()["top"] or 0  # one number
     return splitting.number_new_nodes(splitting.split_ways(w, cuts), top).select("way_id", "piece", "seq", "node_id", "is_new")
