@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -183,6 +183,8 @@ class Layer:
     fields: tuple[str, ...]
     drop_nulls: bool = False
     dedupe_by: tuple[str, ...] = field(default=())  # columns whose largest value wins per geometry, nulls first
+    values: Mapping[str, str] = field(default_factory=dict)  # expressions of fields that aren't columns; _key is the feature's number
+    named_values: bool = False  # the published scripts give the feature's name as the value of every field
 
 
 LAYERS = {
@@ -195,8 +197,9 @@ LAYERS = {
 }
 
 
-def reshape(staged: DataFrame, layer: Layer) -> tuple[DataFrame, DataFrame]:
+def reshape(staged: DataFrame, layer: Layer, own_values: bool = False) -> tuple[DataFrame, DataFrame]:
     """(features, attributes) of a staged source: a ``geometry`` column of text and the layer's fields, all text.
+    ``own_values`` gives fields their own values in layers whose published scripts give the feature's name instead.
 
     features: feature_id, name, geometry, join_key; attributes: feature_id, s_name, s_value, join_key.
     """
@@ -210,11 +213,14 @@ def reshape(staged: DataFrame, layer: Layer) -> tuple[DataFrame, DataFrame]:
         best = W.partitionBy("geometry").orderBy(*[F.col(c).desc_nulls_first() for c in layer.dedupe_by])
         df = df.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
     if layer.key is None:
-        df = surrogate_ids(df, ["geometry", *layer.fields], "_key")
+        df = surrogate_ids(df, ["geometry", *[c for c in layer.fields if c not in layer.values]], "_key")
     else:
         df = df.withColumn("_key", F.expr(layer.key))
     df = df.withColumn("feature_id", F.concat_ws("&&", F.lit(layer.id), F.col("_key").cast("string")))
-    features = df.select("feature_id", F.expr(layer.name).alias("name"), "geometry")
+    df = df.select("feature_id", F.expr(layer.name).alias("_name"), "geometry", *[F.expr(layer.values.get(c, f"`{c}`")).cast("string").alias(c) for c in layer.fields])
+    features = df.select("feature_id", F.col("_name").alias("name"), "geometry")
+    if layer.named_values and not own_values:
+        df = df.select("feature_id", *[F.col("_name").alias(c) for c in layer.fields])
     features = features.withColumn("join_key", change_key(F.col("name"), F.col("feature_id"), F.col("geometry")))
     attributes = unpivot(df, ["feature_id"], list(layer.fields), layer.drop_nulls)
     return features, attributes.withColumn("join_key", change_key(F.col("feature_id"), F.col("s_name"), F.col("s_value")))
