@@ -120,6 +120,38 @@ def wkt_line(line: Column, decimals: int = 6) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.array_join(points, ", "), F.lit(")"))
 
 
+def _wkt_points(line: Column, decimals: int) -> Column:
+    text = lambda v: F.format_string(f"%.{decimals}f", v)
+    return F.array_join(F.transform(line, lambda p: F.concat_ws(" ", text(p["x"]), text(p["y"]))), ", ")
+
+
+def wkt_point(x: Column, y: Column, decimals: int = 6) -> Column:
+    """POINT text with fixed decimals."""
+    return F.concat(F.lit("POINT ("), F.format_string(f"%.{decimals}f %.{decimals}f", x, y), F.lit(")"))
+
+
+def wkt_polygon(rings: Column, decimals: int = 6) -> Column:
+    """POLYGON text of an array of rings, each closed if it isn't."""
+    closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    each = F.transform(rings, lambda r: F.concat(F.lit("("), _wkt_points(closed(r), decimals), F.lit(")")))
+    return F.concat(F.lit("POLYGON ("), F.array_join(each, ", "), F.lit(")"))
+
+
+def from_wkt(text: Column) -> Column:
+    """struct<type, lines>: the type of a WKT geometry in capitals, and its lists of points in order (X1): one point of a
+    POINT, one list of a LINESTRING, the rings of a POLYGON, those of all parts of a multi-part geometry. Points of three
+    numbers lose the third. Text that isn't WKT gives null; EMPTY gives no list."""
+    kind = F.upper(F.regexp_extract(text, r"^\s*(?:SRID=\d+;)?\s*([A-Za-z]+)", 1))
+    number = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+    lists = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
+    pairs = F.transform(lists, lambda one: F.transform(F.split(one, ","), lambda p: point(F.regexp_extract_all(p, F.lit(number), F.lit(0)))))
+    # points of a MULTIPOINT may have brackets of their own or none
+    pairs = F.when(kind == "MULTIPOINT", F.transform(F.flatten(pairs), lambda p: F.array(p))).otherwise(pairs)
+    known = kind.isin("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
+    return F.when(known, F.struct(kind.alias("type"), pairs.alias("lines")))
+
+
 def line_ends(line: Column) -> tuple[Column, Column]:
     """First and last point."""
     return F.element_at(line, 1), F.element_at(line, -1)

@@ -164,3 +164,15 @@ def direction_tags(paths: DataFrame, ways: DataFrame) -> DataFrame:
     to_next = F.when(F.array_contains("_next", last), "A").when(F.array_contains("_next", first), "B")
     from_prev = F.when(F.array_contains("_prev", first), "A").when(F.array_contains("_prev", last), "B")
     return around.select("path_id", "seq", "way_id", F.coalesce(to_next, from_prev, F.lit("O")).alias("tag"))
+
+
+def intersection_features(intersections: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(uid, feature): GeoJSON text of each intersection, its nodes as a MultiPoint, its centre and type beside it.
+
+    intersections: uid, type, nodes; nodes: id, x, y."""
+    at = intersections.select("uid", "type", F.posexplode("nodes").alias("k", "id")).join(nodes.select("id", "x", "y"), "id")
+    g = at.groupBy("uid", "type").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.array_sort(F.collect_list(F.struct("k", "id", "x", "y"))).alias("n"))
+    points = F.transform("n", lambda p: F.array(p["x"], p["y"]))
+    properties = F.struct("uid", "type", F.transform("n", lambda p: p["id"]).alias("nodes"), F.array("x", "y").alias("centre"))
+    geometry = F.struct(F.lit("MultiPoint").alias("type"), points.alias("coordinates"))
+    return g.select("uid", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("feature"))

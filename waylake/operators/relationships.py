@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waylake.functions import geo
-from waylake.operators import versions
+from waylake.functions.storage import materialise
+from waylake.operators import overlay, polygons, versions
 
 Point = tuple[float, float]
 
@@ -54,15 +55,13 @@ def edit_relationships(relationships: DataFrame, edits: DataFrame, changeset: in
 
 
 def nearest_ends(line: list[Point], way: list[Point]) -> tuple[int, int]:
-    """Vertices of the way nearest to both ends of the line, the first on a tie; never the same one."""
-    near = lambda p, skip=None: min((i for i in range(len(way)) if i != skip), key=lambda i: math.dist(way[i], p))
+    """Vertices of the way nearest to both ends of the line, the first on a tie. If one vertex is nearest to both, the end
+    takes the neighbour of it that is nearer to the line's start."""
+    near = lambda p: min(range(len(way)), key=lambda i: math.dist(way[i], p))
     start, end = near(line[0]), near(line[-1])
     if start == end and len(way) > 1:
-        # the end that gains less from it takes its second choice
-        other_start, other_end = near(line[0], start), near(line[-1], end)
-        loss_start = math.dist(way[other_start], line[0]) - math.dist(way[start], line[0])
-        loss_end = math.dist(way[other_end], line[-1]) - math.dist(way[end], line[-1])
-        start, end = (other_start, end) if loss_start < loss_end else (start, other_end)
+        beside = [i for i in (end - 1, end + 1) if 0 <= i < len(way)]
+        end = min(beside, key=lambda i: math.dist(way[i], line[0]))
     return start, end
 
 
@@ -102,3 +101,22 @@ def clip_matches(pairs: DataFrame) -> DataFrame:
         return pd.Series([[{"x": x, "y": y} for x, y in clipped(points(a), points(b))] if a is not None and b is not None else None for a, b in zip(lines, ways)])
 
     return pairs.withColumn("clipped", clip("line", "way"))
+
+
+def recomputed(pairs: DataFrame) -> DataFrame:
+    """(input_id, type, parts, error): the geometry of relationships that a user gave (Z9), from pairs of input_id, line and
+    ways (an array of lines in order): ways that go on from each other are joined, each is clipped to the line, and the
+    error is the area between, as for matches. A relationship without a way of two points has no geometry."""
+
+    @F.pandas_udf(f"array<{geo.LINE}>")
+    def cut(lines: pd.Series, ways: pd.Series) -> pd.Series:
+        points = lambda s: [(p["x"], p["y"]) for p in s]
+        shown = lambda part: [{"x": x, "y": y} for x, y in part]
+        each = [[clipped(points(line), part) for part in polygons.merged([points(w) for w in found])] if line is not None and found is not None else [] for line, found in zip(lines, ways)]
+        return pd.Series([[shown(part) for part in parts if len(part) > 1] for parts in each])
+
+    rows = materialise(pairs.select(F.col("input_id").alias("pair"), F.col("line").alias("a"), cut("line", "ways").alias("parts")), "recomputed")
+    single = overlay.area_between(rows.where(F.size("parts") == 1).select("pair", "a", F.col("parts")[0].alias("b"))).select("pair", "error")
+    several = overlay.area_to_parts(rows.where(F.size("parts") > 1)).select("pair", "error")
+    kind = F.when(F.size("parts") == 1, "LineString").when(F.size("parts") > 1, "MultiLineString")
+    return rows.join(single.union(several), "pair", "left").select(F.col("pair").alias("input_id"), kind.alias("type"), "parts", "error")

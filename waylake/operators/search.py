@@ -31,14 +31,15 @@ def nearby(edges: DataFrame, starts: DataFrame, targets: DataFrame, km: float =
         hop = front.join(step.select(F.col("src").alias("node"), "dst", F.col("km").alias("_hop")), "node")
         longer = hop.select("start", F.col("dst").alias("node"), (F.col("km") + F.col("_hop")).alias("km"), F.concat("path", F.array("dst")).alias("path")).where(F.col("km") <= km)
         best = longer.groupBy("start", "node").agg(F.min(F.struct("km", "path")).alias("new"))
-        known = settled.select("start", "node", F.struct("km", "path").alias("old"))
+        known = settled.groupBy("start", "node").agg(F.min(F.struct("km", "path")).alias("old"))
         front = materialise(
             best.join(known, ["start", "node"], "left").where("old is null or new < old").select("start", "node", "new.km", "new.path"), "nearby-front"
         )
         if front.isEmpty():
             break
-        settled = materialise(settled.join(front.select("start", "node"), ["start", "node"], "left_anti").unionByName(front), "nearby-settled")
-    return settled.where("start != node").join(targets.select("node").distinct(), "node", "left_semi").select("start", "node", "km", "path")
+        settled = settled.unionByName(front)  # only the newest paths are written
+    best = settled.where("start != node").groupBy("start", "node").agg(F.min(F.struct("km", "path")).alias("b"))
+    return best.join(targets.select("node").distinct(), "node", "left_semi").select("start", "node", "b.km", "b.path")
 
 
 def neighbour_sets(edges: DataFrame) -> DataFrame:

@@ -155,6 +155,19 @@ def boxes_meet(a: DataFrame, b: DataFrame, size: float, world: float = 360.0) ->
     return ca.join(cb, ["_cx", "_cy"]).where(meet & (cx == c("_cx")) & (cy == c("_cy"))).select("a_id", "b_id")
 
 
+def selected(features: DataFrame, match: str | None = None, where_in: dict[str, list] | None = None, key: str = "id", limit: int | None = None) -> DataFrame:
+    """Features whose key meets a pattern (* any characters, ? any one) and whose fields have one of the given values (A26); a
+    ``limit`` takes the first by key (L10)."""
+    found = features
+    if match is not None:
+        for sign in "\\%_":
+            match = match.replace(sign, "\\" + sign)
+        found = found.where(F.col(key).cast("string").like(match.replace("*", "%").replace("?", "_")))
+    for field, values in (where_in or {}).items():
+        found = found.where(F.col(field).isin(*values))
+    return found if limit is None else found.orderBy(key).limit(limit)
+
+
 # exact predicates: shapes are id, kind ('point', 'line', 'polygon' or 'circle'), line (array<struct<x,y>>: one point of a
 # point or circle, the ring of a polygon) and km (the radius of a circle, else null)
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waylake.functions import geo
 from waylake.functions.storage import fresh_path
-from waylake.operators import cells, layout, overlay, spatial, union
+from waylake.operators import cells, layout, overlay, relationships, spatial, union
 from waylake.plans.spatial import _hav, _project, customer_points, order_lines, supplier_places
-from waylake.plans.tables import LAT, LON, lat, lon, table
+from waylake.plans.tables import LAT, LON, lat, lat_e6, lon, lon_e6, table
 
 QUERIES = {}
 ORACLES = {}
@@ -257,3 +257,40 @@ def line_union(spark, d: str) -> DataFrame:
     found = union.unite_lines(each, "id")
     bound = lambda f, c: F.round(f(F.transform("line", lambda p: p[c])) * 1e4).cast("long")
     return found.select("id", F.size("line").alias("points"), bound(F.array_min, "x").alias("x1_e4"), bound(F.array_max, "x").alias("x2_e4"), bound(F.array_min, "y").alias("y_e4"))
+
+
+# text forms and selections
+
+
+@query("""SELECT c_custkey AS id, 'POLYGON' AS type, 4 AS points, concat('POLYGON ((', x1, ' ', y1, ', ', x2, ' ', y1, ', ', x2, ' ', y2, ', ', x1, ' ', y1, '))') AS wkt FROM (
+ SELECT c_custkey, printf('%.6f', (140200000 + c_custkey * 7919 % 10400000) / 1e6) AS x1, printf('%.6f', (-39700000 + c_custkey * 6271 % 6200000) / 1e6) AS y1,
+  printf('%.6f', (140300000 + c_custkey * 7919 % 10400000) / 1e6) AS x2, printf('%.6f', (-39500000 + c_custkey * 6271 % 6200000) / 1e6) AS y2 FROM customer)""")
+def wkt_polygon(spark, d: str) -> DataFrame:
+    """Text of a triangle, read back."""
+    k = F.col("c_custkey")
+    corner = lambda dx, dy: F.struct(((lon_e6(k) + dx) / 1e6).alias("x"), ((lat_e6(k) + dy) / 1e6).alias("y"))
+    ring = F.array(corner(0, 0), corner(100000, 0), corner(100000, 200000))
+    rows = table(spark, d, "customer").select(k.alias("id"), geo.wkt_polygon(F.array(ring)).alias("wkt")).withColumn("g", geo.from_wkt(F.col("wkt")))
+    return rows.select("id", "g.type", F.size(F.col("g.lines")[0]).alias("points"), geo.wkt_polygon(F.col("g.lines")).alias("wkt"))
+
+
+@query("""SELECT p_partkey AS id FROM part WHERE CAST(p_partkey AS VARCHAR) LIKE '1%7' AND p_size IN (1, 5, 7, 20, 35)""")
+def selected_features(spark, d: str) -> DataFrame:
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return spatial.selected(parts, "1*7", {"p_size": [1, 5, 7, 20, 35]}).select("id")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS id, o_orderkey % 3 AS n, {LON.format('o_orderkey')} AS x, {LAT.format('o_orderkey')} AS y FROM orders)
+SELECT id AS input_id, CASE WHEN n = 0 THEN 'LineString' ELSE 'MultiLineString' END AS type, CAST(CASE WHEN n = 0 THEN 1 ELSE 2 END AS INTEGER) AS parts,
+ CAST(round((x + 0.003) * 1e5) AS BIGINT) AS x1_e5, CAST(round((x + CASE WHEN n = 0 THEN 0.017 ELSE 0.0125 END) * 1e5) AS BIGINT) AS x2_e5 FROM p""")
+def recomputed_relationships(spark, d: str) -> DataFrame:
+    """Each order's line runs beside two ways: that go on from each other, or with a gap between them."""
+    k = F.col("o_orderkey")
+    row = lambda xs, dy: F.array(*[F.struct((lon(k) + x).alias("x"), (lat(k) + dy).alias("y")) for x in xs])
+    second = F.when(k % 3 == 0, row((0.01, 0.02), 0.0)).otherwise(row((0.0125, 0.02), 0.0))
+    pairs = table(spark, d, "orders").select(k.alias("input_id"), row((0.003, 0.017), 0.0001).alias("line"), F.array(row((0.0, 0.01), 0.0), second).alias("ways"))
+    found = relationships.recomputed(pairs)
+    at = lambda part: F.round(F.array_max(F.transform(part, lambda p: p["x"])) * 1e5).cast("long")
+    first = F.round(F.array_min(F.transform(F.col("parts")[0], lambda p: p["x"])) * 1e5).cast("long")
+    last = F.when(F.size("parts") == 1, at(F.col("parts")[0])).otherwise(F.round(F.array_min(F.transform(F.get("parts", 1), lambda p: p["x"])) * 1e5).cast("long"))
+    return found.select("input_id", "type", F.size("parts").alias("parts"), first.alias("x1_e5"), last.alias("x2_e5"))
