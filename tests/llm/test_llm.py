@@ -70,6 +70,7 @@ OPERATORS = {
     "spans": lambda df: pieces.encode_documents(df, PIECE_BPE),
     "media": lambda df: mpeg_audio.digest_media(mpeg_audio.to_media(df)),
     "lines": line_dedup.deduplicate,
+    "lines by edits": lambda df: line_dedup.deduplicate(df, by_edits=True),
     "filter": quality.filter_documents,
     "sanitise": pii.sanitise,
     "keep one": simhash.keep_one,
@@ -85,7 +86,7 @@ def test_hard_rows(name, hard):
         assert len(found) == len(HARD)
 
 
-@pytest.mark.parametrize("name", ["lines", "filter", "sanitise", "keep one"])
+@pytest.mark.parametrize("name", ["lines", "lines by edits", "filter", "sanitise", "keep one"])
 def test_columns_with_clashing_names_survive(name, hard):
     found = OPERATORS[name](hard)
     assert found.columns[: len(hard.columns)] == hard.columns
