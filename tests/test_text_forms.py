@@ -23,10 +23,10 @@ def test_wkt_is_read(spark):
 
 def test_recomputed_relationships(spark):
     line = [(0.2, 0.1), (2.4, 0.1)]
-    rows = [(1, line, [[(0.0, 0.0), (1.0, 0.0)], [(1.0, 0.0), (3.0, 0.0)]]), (2, line, [[(0.0, 0.0), (1.0, 0.0)], [(1.5, 0.0), (3.0, 0.0)]]), (3, line, []), (4, None, [line]), (5, line, None)]
+    rows = [(1, line, [[(0.0, 0.0), (0.5, 0.0), (1.0, 0.0)], [(1.0, 0.0), (3.0, 0.0)]]), (2, line, [[(0.0, 0.0), (1.0, 0.0)], [(1.5, 0.0), (3.0, 0.0)]]), (3, line, []), (4, None, [line]), (5, line, None)]
     df = spark.createDataFrame(rows, f"input_id long, line {LINE}, ways array<{LINE}>")
     found = {r["input_id"]: r for r in relationships.recomputed(df).collect()}
-    assert found[1]["type"] == "LineString" and [(round(p["x"], 6), p["y"]) for p in found[1]["parts"][0]] == [(0.2, 0.0), (1.0, 0.0), (2.4, 0.0)]
+    assert found[1]["type"] == "LineString" and [(round(p["x"], 6), p["y"]) for p in found[1]["parts"][0]] == [(0.2, 0.0), (0.5, 0.0), (1.0, 0.0), (2.4, 0.0)]
     assert 10_000 < found[1]["error"] < 12_000  # a tenth of a degree apart
     assert found[2]["type"] == "MultiLineString" and len(found[2]["parts"]) == 2 and found[2]["error"] > 0
     assert all(found[k]["type"] is None and found[k]["error"] is None for k in (3, 4, 5))
@@ -69,3 +69,13 @@ def test_intersection_features(spark):
     found = {r["uid"]: json.loads(r["feature"]) for r in graph.intersection_features(df, nodes).collect()}
     assert found["u2"]["geometry"] == {"type": "MultiPoint", "coordinates": [[1.0, 1.0], [3.0, 2.0]]}
     assert found["u2"]["properties"] == {"uid": "u2", "type": "complex", "nodes": [2, 3], "centre": [2.0, 1.5]}
+
+
+def test_edited_geometry(spark):
+    edits = spark.createDataFrame([("i", ["w1", "w2"]), ("j", ["w3", "nowhere"]), ("k", [])], "input_id string, matched array<string>")
+    ways = [("w1", [(0.0, 0.0), (1.0, 0.0)]), ("w2", [(1.0, 0.0), (3.0, 0.0)]), ("w3", [(0.0, 1.0), (3.0, 1.0)])]
+    lines = [(i, [(0.2, y), (2.4, y)]) for i, y in (("i", 0.1), ("j", 1.1), ("k", 0.0))]
+    schema = f"id string, line {LINE}"
+    found = {r["input_id"]: r for r in relationships.edited_geometry(edits, spark.createDataFrame(lines, schema), spark.createDataFrame(ways, schema)).collect()}
+    assert found["i"]["type"] == found["j"]["type"] == "LineString" and found["k"]["type"] is None and found["i"]["matched"] == ["w1", "w2"]
+    assert [round(p["x"], 6) for p in found["j"]["parts"][0]] == [0.2, 2.4]

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from waylake.functions import geo
+from waylake.functions.rows import with_program
 from waylake.functions.storage import materialise
 
 #: Whether a place in a (first) and in b (second) belongs to the result.
@@ -154,14 +154,12 @@ def _without_straight_points(ring: list[tuple[float, float]]) -> list[tuple[floa
 def rings(shapes: DataFrame, op: str) -> DataFrame:
     """(pair, rings): outer rings counter-clockwise, holes clockwise, each without its first point repeated; pairs whose
     result has no area don't come out. A pair's boundary is linked in one task."""
-    kind = shapes.schema["pair"].dataType.simpleString()
 
-    def link(g: pd.DataFrame) -> pd.DataFrame:
-        found = linked(list(g[["ax", "ay", "bx", "by"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"pair": [g["pair"].iloc[0]], "rings": [[[{"x": x, "y": y} for x, y in r] for r in found]]})
+    def link(pieces: list) -> list:
+        return [[{"x": x, "y": y} for x, y in ring] for ring in linked([(p["ax"], p["ay"], p["bx"], p["by"]) for p in pieces])]
 
-    found = boundary(shapes, op).groupBy("pair").applyInPandas(link, f"pair {kind}, rings array<{geo.LINE}>")
-    return found.where(F.size("rings") > 0)
+    pieces = boundary(shapes, op).groupBy("pair").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("pieces"))  # one pair's boundary
+    return with_program(pieces, "rings", f"array<{geo.LINE}>", link, "pieces").select("pair", "rings").where(F.size("rings") > 0)
 
 
 def repaired(polygons: DataFrame) -> DataFrame:

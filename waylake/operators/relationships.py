@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waylake.functions import geo
+from waylake.functions.rows import with_program
 from waylake.functions.storage import materialise
 from waylake.operators import overlay, polygons, versions
 
@@ -108,15 +109,24 @@ def recomputed(pairs: DataFrame) -> DataFrame:
     ways (an array of lines in order): ways that go on from each other are joined, each is clipped to the line, and the
     error is the area between, as for matches. A relationship without a way of two points has no geometry."""
 
-    @F.pandas_udf(f"array<{geo.LINE}>")
-    def cut(lines: pd.Series, ways: pd.Series) -> pd.Series:
+    def cut(line: list | None, ways: list | None) -> list:
         points = lambda s: [(p["x"], p["y"]) for p in s]
-        shown = lambda part: [{"x": x, "y": y} for x, y in part]
-        each = [[clipped(points(line), part) for part in polygons.merged([points(w) for w in found])] if line is not None and found is not None else [] for line, found in zip(lines, ways)]
-        return pd.Series([[shown(part) for part in parts if len(part) > 1] for parts in each])
+        parts = [clipped(points(line), part) for part in polygons.merged([points(w) for w in ways])] if line and ways else []
+        return [[{"x": x, "y": y} for x, y in part] for part in parts if len(part) > 1]
 
-    rows = materialise(pairs.select(F.col("input_id").alias("pair"), F.col("line").alias("a"), cut("line", "ways").alias("parts")), "recomputed")
+    slim = pairs.select(F.col("input_id").alias("pair"), F.col("line").alias("a"), "ways")
+    rows = materialise(with_program(slim, "parts", f"array<{geo.LINE}>", cut, "a", "ways").drop("ways"), "recomputed")
     single = overlay.area_between(rows.where(F.size("parts") == 1).select("pair", "a", F.col("parts")[0].alias("b"))).select("pair", "error")
     several = overlay.area_to_parts(rows.where(F.size("parts") > 1)).select("pair", "error")
     kind = F.when(F.size("parts") == 1, "LineString").when(F.size("parts") > 1, "MultiLineString")
     return rows.join(single.union(several), "pair", "left").select(F.col("pair").alias("input_id"), kind.alias("type"), "parts", "error")
+
+
+def edited_geometry(edits: DataFrame, lines: DataFrame, ways: DataFrame) -> DataFrame:
+    """Edits (input_id, matched: ids of ways in order) with the type, parts and error of their new geometry.
+
+    lines: id, line; ways: id, line. Ways that aren't known are passed over."""
+    each = edits.select("input_id", F.posexplode("matched").alias("k", "way")).join(ways.select(F.col("id").alias("way"), "line"), "way")
+    drawn = each.groupBy("input_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda w: w["line"]).alias("ways"))
+    pairs = edits.select("input_id").join(lines.select(F.col("id").alias("input_id"), "line"), "input_id", "left").join(drawn, "input_id", "left")
+    return edits.select("input_id", "matched").join(recomputed(pairs), "input_id", "left")

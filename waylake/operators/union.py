@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from waylake.functions.geo import LINE
+from waylake.functions.rows import with_program
 
 # fixed values: default distance within which lines are one, share of the base's area below which a stretch is noise, and
 # width of a stretch against the buffer
@@ -142,10 +142,10 @@ def united(lines: list[np.ndarray], buffer: float = BUFFER, ignore_branches: boo
 def unite_lines(lines: DataFrame, key: str, **options) -> DataFrame:
     """(key, line) of the lines (key, seq, line) of each key; lines of equal length are taken by ``seq``. The lines of a key
     are those of one road. ``options`` as in united()."""
-    kind = lines.schema[key].dataType.simpleString()
+    grouped = lines.where("line is not null").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("lines"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        found = united([np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2) for line in g.sort_values("seq")["line"]], **options)
-        return pd.DataFrame({key: [g[key].iloc[0]], "line": [[{"x": x, "y": y} for x, y in found.tolist()]]})
+    def unite(found: list) -> list:
+        points = [np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2) for line in found]
+        return [{"x": x, "y": y} for x, y in united(points, **options).tolist()]
 
-    return lines.where("line is not null").groupBy(key).applyInPandas(run, f"{key} {kind}, line {LINE}")
+    return with_program(grouped, "line", LINE, unite, "lines").select(key, "line")

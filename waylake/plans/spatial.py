@@ -75,6 +75,12 @@ def linestring_length(spark, d: str) -> DataFrame:
     return order_lines(spark, d).select("id", F.round(geo.length_km(F.col("line")) * 100).cast("long").alias("km_e2"), F.size("line").cast("long").alias("points"))
 
 
+@query(f"WITH {ORDER_STEPS} SELECT count(DISTINCT id) AS lines, CAST(round(sum({_hav('x', 'y', 'x2', 'y2')}) FILTER (x2 IS NOT NULL)) AS BIGINT) AS km FROM steps")
+def total_length(spark, d: str) -> DataFrame:
+    """Length of all lines together."""
+    return order_lines(spark, d).agg(F.count("*").alias("lines"), F.round(F.sum(geo.length_km(F.col("line")))).cast("long").alias("km"))
+
+
 _HEADING = _head("x1", "y1", "x2", "y2")
 
 
