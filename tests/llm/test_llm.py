@@ -883,5 +883,5 @@ def test_pipeline(spark, sf):
 
 
 def test_registry():
-    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op")] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES if k.startswith("op")] == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
