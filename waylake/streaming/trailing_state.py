@@ -71,7 +71,8 @@ def trailing_sums(events: DataFrame, seconds: int, grain_ms: int = 1000, late: s
 
     events: a stream of key, ts timestamp, value long (say cents: whole numbers keep running sums exact). A row comes once
     the watermark, ``late`` behind the newest event, has passed its bucket; later events are dropped. Returns key,
-    start_ms, own (events of the bucket), n, total.
+    start_ms, own (events of the bucket), n, total. Sets the session's state store to RocksDB, which
+    timers need.
     """
     window = seconds * 1000
     if window % grain_ms:
