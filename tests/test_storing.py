@@ -119,3 +119,8 @@ def test_time_zones(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     assert spark.range(1).select(text.epoch_now().alias("e")).first()["e"] > 1_700_000_000
     assert len(loads.PROTECTED_NAMES) == len(set(loads.PROTECTED_NAMES)) == 35
+
+
+def test_clock_text_in_far_years(spark):
+    shown = spark.createDataFrame([(0,), (1_700_000_000 + 2_912_811 * 86_413,), (1_700_000_000 + 54_000_000 * 86_413,)], "e long").select(text.clock_text(F.col("e"), "UTC").alias("t"))
+    assert [r["t"] for r in shown.collect()] == ["1970-01-01 00:00:00", "10000-01-29 04:42:23", "149893-02-03 22:13:20"]
