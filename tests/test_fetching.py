@@ -101,3 +101,11 @@ def test_unreadable_nodes_are_left_out(spark):
     ways, points = fetch.elements(rows)
     assert [(r["id"], r["nodes"]) for r in ways.collect()] == [("a", ["x", "y"])]
     assert [tuple(r) for r in points.collect()] == [("e", 1.5, 2.0)]
+
+
+def test_copies_have_one_value_of_a_name(spark):
+    features = spark.createDataFrame([("OSM&&WAY&&1", "LINE", "OSM", 1, None, "c")], "feature_id string, feature_type string, layer_id string, version_start int, version_end int, changeset_id string")
+    rows = [("OSM&&WAY&&1", "name", v, 1, None, "c") for v in ("b", "a b", None)] + [("OSM&&WAY&&1", "ref", None, 1, None, "c")]
+    tags = spark.createDataFrame(rows, "feature_id string, s_name string, s_value string, version_start int, version_end int, changeset_id string")
+    copied = loads.derived_copy(features, tags, spark.createDataFrame([], "feature_id string"), 7, "set-7")[1]
+    assert sorted((r["s_name"], r["s_value"], r["version_start"]) for r in copied.collect()) == [("name", "b", 7), ("ref", None, 7)]
