@@ -117,3 +117,9 @@ def test_ring_of_many_points(spark):
     r = overlay.areas(shapes(spark, (circle, None))).first()
     assert r["a"] == pytest.approx(math.pi * 1e-4, rel=1e-5)
     assert overlay.areas(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_stars_whose_crossings_differ_in_the_last_digit(spark):
+    points = lambda k: [(140.2 + k * 11 * 7919 % 10400000 / 1e6 + (0.25 + k % 5 * 0.05) * math.cos(4 * math.pi * i / 5 + k), -39.7 + k * 11 * 6271 % 6200000 / 1e6 + (0.25 + k % 5 * 0.05) * math.sin(4 * math.pi * i / 5 + k) * 0.8) for i in range(5)]
+    stars = spark.createDataFrame([(k, points(k)) for k in (148, 479, 1770, 1786, 2378, 2829, 4839)], f"pair long, ring {LINE}")
+    assert all(sorted(map(len, r["rings"])) == [3] * 5 for r in overlay.repaired(stars).collect())

@@ -94,16 +94,31 @@ def areas(shapes: DataFrame) -> DataFrame:
     return shapes.select("pair").distinct().join(found, "pair", "left").select("pair", *[F.coalesce(op, F.lit(0.0)).alias(op) for op in OPS])
 
 
+def _snapped(pieces: DataFrame) -> DataFrame:
+    """Pieces (pair, lo, hi, x_lo, x_hi, turn) whose ends are one place where they lie closer than SNAP: in the order of y, and
+    of x at one y, a place no farther than that from the one before takes its value. Rounding would part some of them."""
+    every = W.partitionBy("pair")
+    grain = (F.max("hi").over(every) - F.min("lo").over(every)) * SNAP
+    numbered = pieces.withColumns({"i": F.row_number().over(every.orderBy("lo", "hi", "x_lo", "x_hi", "turn")), "grain": grain})
+    end = lambda c: F.struct(F.col(f"x_{c}").alias("x"), F.col(c).alias("y"), F.lit(c == "hi").alias("top"))
+    places = numbered.select("pair", "i", "turn", "grain", F.explode(F.array(end("lo"), end("hi"))).alias("p")).select("pair", "i", "turn", "grain", "p.*")
+    for c, by in (("y", ["pair"]), ("x", ["pair", "y"])):
+        order = W.partitionBy(*by).orderBy(c)
+        apart = F.coalesce(F.col(c) - F.lag(c).over(order) > F.col("grain"), F.lit(True))
+        places = places.withColumn("_first", F.when(apart, F.col(c)))
+        places = places.withColumn(c, F.last("_first", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_first")
+    at = lambda c, top: F.max(F.when(F.col("top") == top, F.col(c)))
+    ends = [at("y", False).alias("lo"), at("y", True).alias("hi"), at("x", False).alias("x_lo"), at("x", True).alias("x_hi")]
+    return places.groupBy("pair", "i", "turn").agg(*ends).drop("i")
+
+
 def boundary(shapes: DataFrame, op: str) -> DataFrame:
     """(pair, ax, ay, bx, by): directed pieces of the boundary of the result, which lies on their left."""
-    size = F.greatest(F.max("hi").over(W.partitionBy("pair")) - F.min("lo").over(W.partitionBy("pair")), F.lit(1e-300))
-    s = slabs(shapes).withColumn("grain", F.pow(F.lit(10.0), F.floor(F.log10(size * SNAP))))
-    snap = lambda c: F.round(F.col(c) / F.col("grain")) * F.col("grain")
-    s = s.withColumns({c: snap(c) for c in ("lo", "hi", "x_lo", "x_hi")})
     inside, outside = OPS[op](F.col("in_a"), F.col("in_b")), OPS[op](F.col("was_a"), F.col("was_b"))
     # left ends of the inside count 1, right ends -1; pieces that lie on each other cancel
     turn = inside.cast("int") - outside.cast("int")
-    ends = s.select("pair", "lo", "hi", "x_lo", "x_hi", turn.alias("turn")).where("turn != 0 and lo != hi")
+    s = slabs(shapes).select("pair", "lo", "hi", "x_lo", "x_hi", turn.alias("turn")).where("turn != 0")
+    ends = _snapped(s).where("lo != hi")
     sides = ends.groupBy("pair", "lo", "hi", "x_lo", "x_hi").agg(F.sum("turn").alias("turn")).where("turn != 0")
     down = sides.where("turn > 0").selectExpr("pair", "x_hi as ax", "hi as ay", "x_lo as bx", "lo as by")
     up = sides.where("turn < 0").selectExpr("pair", "x_lo as ax", "lo as ay", "x_hi as bx", "hi as by")
