@@ -1,9 +1,10 @@
 """Covers, exact predicates, nearest places and packed layout on hard cases."""
 
 import math
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from waylake.functions import geo
 from waylake.functions.geo import LINE
@@ -166,3 +167,23 @@ def test_hilbert_neighbours(spark):
     rows = grid.select("x", "y", layout.hilbert(F.col("x") + 0.5, F.col("y") + 0.5, box).alias("h")).orderBy("h").collect()
     assert [r["h"] for r in rows] == list(range(side * side))
     assert all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) == 1 for a, b in zip(rows, rows[1:]))
+
+
+def test_nearest_k_by_density_is_the_plain_one(spark):
+    rng = random.Random(7)
+    at = lambda n, w: [(rng.gauss(0, w), rng.gauss(60, w)) for _ in range(n)]
+    # a dense spot, a thin field, both sides of 180 degrees, a pole
+    spots = at(300, 0.01) + at(100, 2.0) + [(179.9 + i * 0.023 - 360 * (i > 4), 10.0) for i in range(10)] + [(i * 36.0 - 180, 89.9) for i in range(10)]
+    asked = at(40, 0.01) + at(40, 2.0) + [(180.0, 10.0), (-179.99, 10.05), (12.0, 89.95), (20.0, -50.0)]
+    places = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "place_id long, px double, py double")
+    p = points(spark, *asked)
+    km = geo.haversine_km(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
+    plain = p.crossJoin(places).withColumn("km", km).where("km <= 150").withColumn("r", F.row_number().over(W.partitionBy("point_id").orderBy("km", "place_id"))).where("r <= 4")
+    assert ids(spatial.nearest_k(p, places, 4, 1.0, 150.0).select("point_id", "place_id", "r")) == ids(plain.select("point_id", "place_id", "r"))
+
+
+def test_nearest_k_meets_few_places(spark):
+    spread = lambda n, step: [(i % 200 * step, i // 200 * step) for i in range(n)]
+    places = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spread(40_000, 0.01))], "place_id long, px double, py double")
+    reached, _ = spatial._reached(points(spark, (1.0, 1.0), (0.505, 0.505)), places, 3, 1.0, 100.0)
+    assert all(r["_km"] < 10 for r in reached.collect())
