@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waylake.functions import geo
+from waylake.functions.storage import materialise
 from waylake.operators import congestion, spatial
 from waylake.plans.tables import LAT, LON, lat, lat_e6, lon, lon_e6, table
 
@@ -243,10 +244,12 @@ def radius_topk_north(spark, d: str) -> DataFrame:
 m AS (SELECT p.point_id, e.way_id, avg((p.km + q.km) / 2) AS km FROM edges e JOIN top p ON p.place_id = e.a JOIN top q ON q.place_id = e.b AND q.point_id = p.point_id GROUP BY 1, 2)
 SELECT point_id, way_id FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, way_id) AS r FROM m) WHERE r <= 2""")
 def knn_ways(spark, d: str) -> DataFrame:
-    near = spatial.nearest_k(customer_points(spark, d), supplier_places(spark, d), 10, 1.0, 100.0)
+    near = materialise(spatial.nearest_k(customer_points(spark, d), supplier_places(spark, d), 10, 1.0, 100.0), "near")
     s = table(spark, d, "supplier")
     a, b = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("way_id")), s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("way_id"))
-    return spatial.nearest_ways(near, a.join(b, "way_id").where("a < b"), 2).select("point_id", "way_id")
+    # of all pairs of suppliers of a nation, those that a point may have
+    edges = spatial.place_pairs(near).join(a, "a").join(b, ["b", "way_id"])
+    return spatial.nearest_ways(near, edges, 2).select("point_id", "way_id")
 
 
 @query("""WITH a AS (SELECT o_orderkey AS id, 140200000 + o_orderkey * 7919 % 10400000 AS x1, -39700000 + o_orderkey * 6271 % 6200000 AS y1 FROM orders),
