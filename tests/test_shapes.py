@@ -187,3 +187,12 @@ def test_nearest_k_meets_few_places(spark):
     places = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spread(40_000, 0.01))], "place_id long, px double, py double")
     reached, _ = spatial._reached(points(spark, (1.0, 1.0), (0.505, 0.505)), places, 3, 1.0, 100.0)
     assert all(r["_km"] < 10 for r in reached.collect())
+
+
+def test_nearest_numbers(spark):
+    rng = random.Random(3)
+    given = [(i, rng.choice("ab"), rng.choice([rng.randrange(-50, 50), rng.randrange(-(10**9), 10**9), 7])) for i in range(300)] + [(900, "c", -5)]
+    asked = [(i, rng.choice("abcd"), rng.randrange(-60, 60)) for i in range(60)]
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, grp string, v long")
+    plain = [(i, j) for i, g, v in asked for _, j in sorted((abs(v - w), j) for j, h, w in given if h == g)[:3]]
+    assert ids(spatial.nearest_numbers(df(asked, "asked_id"), df(given, "given_id"), 3)) == sorted(plain)

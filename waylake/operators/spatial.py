@@ -285,6 +285,30 @@ def extents(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.groupBy(key).agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
 
 
+#: Widths of ranges of numbers are powers of 4 up to 4^20.
+_WIDTHS = 20
+
+
+def nearest_numbers(asked: DataFrame, given: DataFrame, k: int) -> DataFrame:
+    """(asked_id, given_id): of each asked row the k given rows of its group with the nearest whole number, ties by id.
+
+    asked: asked_id, grp, v; given: given_id, grp, v. A row looks in the narrowest range that holds it and k given rows, and in
+    the ranges on both sides; of equal numbers the k smallest ids are enough."""
+    c = F.col
+    same = W.partitionBy("grp", "v").orderBy("given_id")
+    few = materialise(given.where("grp is not null").withColumn("_i", F.row_number().over(same)).where(c("_i") <= k).select("given_id", "grp", "v"), "numbers")
+    cell = lambda v: F.floor(v / F.pow(F.lit(4.0), c("_level"))).cast("long").alias("_c")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(_WIDTHS))).alias("_level")
+    ranged = few.select("given_id", "grp", "v", levels).select("*", cell(c("v")))
+    full = ranged.groupBy("grp", "_level", "_c").agg(F.count("*").alias("_n")).where(c("_n") >= k)
+    held = asked.select("asked_id", "grp", "v", levels).select("*", cell(c("v"))).join(full, ["grp", "_level", "_c"]).groupBy("asked_id").agg(F.min("_level").alias("_level"))
+    looking = asked.join(held, "asked_id", "left").withColumn("_level", F.coalesce("_level", F.lit(_WIDTHS)))
+    looking = looking.select("asked_id", "grp", c("v").alias("_v"), "_level", cell(c("v"))).withColumn("_c", F.explode(F.sequence(c("_c") - 1, c("_c") + 1)))
+    near = looking.join(ranged, ["grp", "_level", "_c"]).select("asked_id", "given_id", F.abs(c("_v") - c("v")).alias("d"))
+    rank = W.partitionBy("asked_id").orderBy("d", "given_id")
+    return near.withColumn("r", F.row_number().over(rank)).where(c("r") <= k).select("asked_id", "given_id")
+
+
 def place_pairs(point_places: DataFrame) -> DataFrame:
     """(a, b), a before b: places that are near the same point."""
     a, b = (point_places.select("point_id", F.col("place_id").alias(end)) for end in "ab")

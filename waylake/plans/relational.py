@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from waylake.operators import eav, eligibility
+from waylake.operators import eav, eligibility, spatial
 from waylake.plans.tables import PART_SQL, part_attributes, part_features, table
 
 QUERIES = {}
@@ -294,11 +294,9 @@ def semantic_version_max(spark, d: str) -> DataFrame:
 @query("""SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(CAST(round(s_acctbal * 100) AS BIGINT) - CAST(round(c_acctbal * 100) AS BIGINT)), c_custkey) AS r
 FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE r <= 3""")
 def topk_nearest(spark, d: str) -> DataFrame:
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    cents = lambda x: F.round(F.col(x) * 100).cast("long")
-    pairs = s.join(c, s.s_nationkey == c.c_nationkey).select("s_suppkey", "c_custkey", F.abs(cents("s_acctbal") - cents("c_acctbal")).alias("d"))
-    nearest = W.partitionBy("s_suppkey").orderBy("d", "c_custkey")
-    return pairs.withColumn("r", F.row_number().over(nearest)).where("r <= 3").select("s_suppkey", "c_custkey")
+    row = lambda t, p, key, name: table(spark, d, t).select(F.col(key).alias(name), F.col(f"{p}_nationkey").alias("grp"), F.round(F.col(f"{p}_acctbal") * 100).cast("long").alias("v"))
+    found = spatial.nearest_numbers(row("supplier", "s", "s_suppkey", "asked_id"), row("customer", "c", "c_custkey", "given_id"), 3)
+    return found.select(F.col("asked_id").alias("s_suppkey"), F.col("given_id").alias("c_custkey"))
 
 
 # sets
