@@ -225,7 +225,7 @@ def _pieces(shapes: DataFrame, p: str, size: float) -> DataFrame:
     s = _around_the_world(s, F.least("x1", "x2") - c("_across"), F.greatest("x1", "x2") + c("_across"))
     s = s.withColumns({x: c(x) + c("_turn") for x in ("x1", "x2")})
     s = _cells(s, F.least("x1", "x2") - c("_across"), F.least("y1", "y2") - c("_up"), F.greatest("x1", "x2") + c("_across"), F.greatest("y1", "y2") + c("_up"), size)
-    return s.select("_cx", "_cy", *[c(k).alias(f"{p}_{k}") for k in ("id", "km", "x1", "y1", "x2", "y2")])
+    return s.select("_cx", "_cy", *[c(k).alias(f"{p}_{k.lstrip('_')}") for k in ("id", "km", "_up", "_across", "x1", "y1", "x2", "y2")])
 
 
 def _segments_cross(p: str, q: str) -> Column:
@@ -270,9 +270,14 @@ def points_inside(points: DataFrame, polygons: DataFrame, size: float) -> DataFr
 def shapes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, b_id) of shapes that share a point: edges that touch, a centre within its radius of the other shape, or one
     inside the other (J26). Across 180 degrees and at any latitude; edges are straight in degrees."""
-    met = _pieces(a, "a", size).join(_pieces(b, "b", size), ["_cx", "_cy"])
-    reach = F.col("a_km") + F.col("b_km")
-    near = F.when(F.col("a_km") > 0, _km_between("a", "b")).otherwise(_km_between("b", "a")) <= reach
+    c = F.col
+    # pieces of a are dealt over as many tasks as the session asks for, a crowded cell over several; most pairs of one cell
+    # aren't near each other, which their boxes tell before anything is computed
+    pa, pb = _dealt(_pieces(a, "a", size), _pieces(b, "b", size), "a_id")
+    gap = lambda k, reach: (F.least(f"a_{k}1", f"a_{k}2") - reach <= F.greatest(f"b_{k}1", f"b_{k}2")) & (F.least(f"b_{k}1", f"b_{k}2") <= F.greatest(f"a_{k}1", f"a_{k}2") + reach)
+    met = pa.join(pb, ["_cx", "_cy", "_s"]).where(gap("x", c("a_across") + c("b_across") + 1e-9) & gap("y", c("a_up") + c("b_up") + 1e-9))
+    reach = c("a_km") + c("b_km")
+    near = F.when(c("a_km") > 0, _km_between("a", "b")).otherwise(_km_between("b", "a")) <= reach
     touch = met.where(F.when(reach > 0, near).otherwise(_segments_cross("a", "b"))).select("a_id", "b_id")
     first = lambda df: df.where(F.size("line") > 0).select(F.col("id").alias("point_id"), F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y"))
     inside = points_inside(first(a), b.where("kind = 'polygon'"), size).toDF("a_id", "b_id")
