@@ -52,3 +52,32 @@ def test_by_key(spark):
     df = spark.createDataFrame(rows, f"road string, seq int, line {LINE}")
     found = {r["road"]: [(p["x"], p["y"]) for p in r["line"]] for r in union.unite_lines(df, "road").collect()}
     assert found == {"a": [(i, i) for i in range(1, 6)], "b": FRONT, "c": []}
+
+
+def test_roads_at_once_as_each_alone(spark):
+    rng = np.random.default_rng(5)
+    roads = []
+    for k in range(1500):
+        base = np.cumsum(rng.uniform(0, 1, (rng.integers(2, 9), 2)), axis=0)
+        lines = [base, np.concatenate([base[-2:], base[-1:] + rng.uniform(0, 2, (2, 2))]), np.concatenate([base[1::-1], base[:1] - rng.uniform(0, 2, (1, 2))])]
+        lines += [base[::-1] + rng.uniform(-0.02, 0.02, base.shape), rng.uniform(0, 4, (rng.integers(0, 5), 2)), base[rng.integers(0, len(base), 3)]]
+        roads.append([lines[i] for i in rng.permutation(6)[: rng.integers(0, 7)]])
+    each = [line for road in roads for line in road]
+    sizes, road = np.array([len(line) for line in each]), np.repeat(np.arange(len(roads)), [len(r) for r in roads])
+    for options in ({}, {"buffer": 0.05}, {"buffer": 0.3, "least_share": 0.2, "width": 1.0}):
+        points, n = union.united_all(np.concatenate(each), sizes, road, len(roads), **options)
+        assert len(n) == len(roads) and n.sum() == len(points)
+        for lines, found in zip(roads, np.split(points, np.cumsum(n)[:-1])):
+            want = union.united(lines, **options)
+            assert len(found) == len(want) and np.allclose(found, want, rtol=0, atol=1e-9)
+
+
+def test_roads_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(union, "MOST_PAIRS", 30)
+    rows = [(k, i, [(float(x + k), float(y)) for x, y in line]) for k in range(5) for i, line in enumerate([BASE, END, FRONT][: k % 4])]
+    per_road, sizes = np.array([k % 4 for k in range(5)]), np.array([len(r[2]) for r in rows])
+    points = np.array([p for r in rows for p in r[2]])
+    found = [union._block(points, sizes, per_road, part, {}) for part in union._blocks(per_road, sizes)]
+    lines = np.split(np.concatenate([p for p, _ in found]), np.cumsum(np.concatenate([n for _, n in found]))[:-1])
+    for k, line in enumerate(lines):
+        assert line.tolist() == union.united([np.array(r[2]) for r in rows if r[0] == k]).tolist()
