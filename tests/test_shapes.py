@@ -196,3 +196,13 @@ def test_nearest_numbers(spark):
     df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, grp string, v long")
     plain = [(i, j) for i, g, v in asked for _, j in sorted((abs(v - w), j) for j, h, w in given if h == g)[:3]]
     assert ids(spatial.nearest_numbers(df(asked, "asked_id"), df(given, "given_id"), 3)) == sorted(plain)
+
+
+def test_line_through_corners_has_all_four_cells(spark):
+    # cells of 45 degrees; the SQL beside line_cover counts a cell that a line touches between its ends
+    df = lines(spark, [(-20, -20), (20, 20)], [(-20, 20), (20, -20)], [(-20, -20), (0, -20)], [(0, -20), (0, 20)])
+    found = {}
+    for i, r, c in rowcol(cells.line_cells(df, 2)):
+        found.setdefault(i, set()).add((r, c))
+    four = {(1, 3), (1, 4), (2, 3), (2, 4)}
+    assert found == {0: four, 1: four, 2: {(1, 3), (1, 4)}, 3: {(1, 4), (2, 4)}}
