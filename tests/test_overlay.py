@@ -123,3 +123,21 @@ def test_stars_whose_crossings_differ_in_the_last_digit(spark):
     points = lambda k: [(140.2 + k * 11 * 7919 % 10400000 / 1e6 + (0.25 + k % 5 * 0.05) * math.cos(4 * math.pi * i / 5 + k), -39.7 + k * 11 * 6271 % 6200000 / 1e6 + (0.25 + k % 5 * 0.05) * math.sin(4 * math.pi * i / 5 + k) * 0.8) for i in range(5)]
     stars = spark.createDataFrame([(k, points(k)) for k in (148, 479, 1770, 1786, 2378, 2829, 4839)], f"pair long, ring {LINE}")
     assert all(sorted(map(len, r["rings"])) == [3] * 5 for r in overlay.repaired(stars).collect())
+
+
+def test_areas_in_place_as_by_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    lines = []
+    for k in range(60):
+        a, b = (np.cumsum(rng.normal(0, 0.01, (rng.integers(1, 9), 2)), axis=0) + [144.9, -37.8] for _ in "ab")
+        lines.append((k, *([tuple(map(float, p)) for p in line] for line in (a, b))))
+    lines += [(60, lines[0][1], lines[0][1]), (61, lines[1][1], None)]
+    df = spark.createDataFrame(lines, f"pair long, a {LINE}, b {LINE}")
+    here = overlay.area_between(df)
+    assert "MapInArrow" in here._jdf.queryExecution().executedPlan().toString()
+    found = {r["pair"]: (r["m2"], r["error"]) for r in here.collect()}
+    monkeypatch.setattr(overlay, "MOST_IN_PLACE", 0)
+    rows = {r["pair"]: (r["m2"], r["error"]) for r in overlay.area_between(df).collect()}
+    assert set(found) == set(range(62)) and found[61][0] == 0
+    for k in range(61):
+        assert found[k] == (pytest.approx(rows[k][0], rel=1e-9, abs=1e-6), pytest.approx(rows[k][1], rel=1e-9, abs=1e-9) if rows[k][1] is not None else None)

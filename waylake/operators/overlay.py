@@ -4,7 +4,8 @@ The shapes of a pair are cut into horizontal strips at every vertex and every cr
 a strip no two edges cross. Ordered from left to right, each edge of a strip turns the inside of its shape on or off
 (even-odd rule), which says for every trapezoid between two neighbouring edges whether it lies in a, in b, or in both.
 Everything is edges as rows: crossings come from an equi-join on bands of a pair, strips from windows, areas from sums.
-Only linking the remaining boundary pieces to rings is a small program per pair.
+Only linking the remaining boundary pieces to rings is a small program per pair. Areas of small single rings, of which there
+may be one per match, are computed in place: their rows need no shuffle.
 
 Shapes: ``pair``, ``side`` ('a' or 'b') and ``ring``, an array<struct<x,y>>, closed or open. A side may have several rings;
 by the even-odd rule a ring inside another is a hole. Rings without area, null rings and repeated points are fine.
@@ -13,12 +14,17 @@ by the even-odd rule a ring inside another is a hole. Rings without area, null r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from waylake.functions import geo
 from waylake.functions.rows import with_program
 from waylake.functions.storage import materialise
+from waylake.operators import polygons
 
 #: Whether a place in a (first) and in b (second) belongs to the result.
 OPS = {
@@ -31,6 +37,10 @@ OPS = {
 }
 #: Places closer than this share of a pair's size are one place when rings are linked.
 SNAP = 1e-10
+#: Rings of at most so many points are computed where they are; larger ones as edges in rows.
+MOST_IN_PLACE = 64
+#: Numbers in one array while rings are computed in place.
+_MOST_NUMBERS = 2_000_000
 
 
 def ring_edges(shapes: DataFrame) -> DataFrame:
@@ -182,18 +192,69 @@ def repaired(polygons: DataFrame) -> DataFrame:
     return rings(polygons.withColumn("side", F.lit("a")).select("pair", "side", "ring"), "a")
 
 
+def even_odd_areas(rings: np.ndarray) -> np.ndarray:
+    """Areas of rings of n points each, (rings, n, 2), by the strips of the module's head: those of one ring side by side."""
+    n = rings.shape[1]
+    x1, y1 = rings[..., 0], rings[..., 1]
+    x2, y2 = np.roll(x1, -1, axis=1), np.roll(y1, -1, axis=1)
+    p, q = np.triu_indices(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dx, dy, ex, ey = (x2 - x1)[:, p], (y2 - y1)[:, p], (x2 - x1)[:, q], (y2 - y1)[:, q]
+        gx, gy, den = x1[:, q] - x1[:, p], y1[:, q] - y1[:, p], dx * ey - dy * ex
+        s, t = (gx * ey - gy * ex) / den, (gx * dy - gy * dx) / den
+        crossed = np.where((den != 0) & (s > 0) & (s < 1) & (t > 0) & (t < 1), y1[:, p] + s * dy, np.nan)
+        cuts = np.sort(np.concatenate([y1, crossed], axis=1), axis=1)  # not a number comes last
+        most = int((~np.isnan(cuts)).sum(axis=1).max(initial=0))
+        lo, hi = cuts[:, : max(most - 1, 0), None], cuts[:, 1:most, None]
+        a, b = y1[:, None, :], y2[:, None, :]
+        across = (np.minimum(a, b) <= lo) & (np.maximum(a, b) >= hi) & (hi > lo)
+        middle = np.where(across, x1[:, None, :] + ((lo + hi) / 2 - a) * (x2 - x1)[:, None, :] / (b - a), np.nan)
+        middle = np.sort(middle, axis=2)
+    # a strip has an even number of edges
+    widths = np.nan_to_num(middle[..., 1::2] - middle[..., : n - n % 2 : 2]).sum(axis=2)
+    return np.nansum(widths * (hi - lo)[..., 0], axis=1)
+
+
+def _areas_in_place(df: DataFrame, ring: str, zone: str, name: str) -> DataFrame:
+    """``df`` without ``ring`` and ``zone`` and with the area of each row's ring of degrees in metres of that UTM zone, 0 for
+    null and under three points. Metres count from the first point on, so that products of large northings don't lose digits."""
+    rest = [f for f in df.schema.fields if f.name not in (ring, zone)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(ring)
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int)
+            degrees = np.stack([c.to_numpy(zero_copy_only=False) for c in column.flatten().flatten()], axis=1)
+            zones = batch.column(zone).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = polygons.utm(degrees, np.repeat(zones, sizes)) if len(degrees) else degrees
+            starts, found = np.cumsum(sizes) - sizes, np.zeros(len(sizes))
+            for n in np.unique(sizes[sizes > 2]):
+                rows = np.flatnonzero(sizes == n)
+                for part in np.array_split(rows, math.ceil(len(rows) * int(n) ** 3 / _MOST_NUMBERS)):
+                    own = flat[starts[part][:, None] + np.arange(n)]
+                    found[part] = even_odd_areas(own - own[:, :1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], pa.array(found)], names=[*[f.name for f in rest], name])
+
+    return df.mapInArrow(run, StructType([*rest, StructField(name, DoubleType())]))
+
+
 def area_between(pairs: DataFrame, zone: Column | None = None) -> DataFrame:
     """``pairs`` (pair, a, b: two lines in degrees) with ``m2``, the area of the ring along a and back along b, in metres
-    of the UTM zone of a's first point, and ``error``, that area over the mean of the lines' lengths (X15)."""
+    of the UTM zone of a's first point, and ``error``, that area over the mean of the lines' lengths (X15).
+
+    Other columns of ``pairs`` go through. Rings of at most MOST_IN_PLACE points are computed in their rows."""
     z = geo.utm_zone(F.col("a")[0]["x"]) if zone is None else zone
+    mean = (geo.length_km(F.col("a")) + geo.length_km(F.col("b"))) * 500
+    size = F.coalesce(F.size("a") + F.size("b"), F.lit(0))
+    few, many = (df.withColumns({"_zone": z, "_mean": mean}) for df in (pairs.where(size <= MOST_IN_PLACE), pairs.where(size > MOST_IN_PLACE)))
+    here = _areas_in_place(few.withColumn("_ring", F.concat("a", F.reverse("b"))), "_ring", "_zone", "m2")
     flat = lambda line: F.transform(line, lambda p: geo.utm(p["x"], p["y"], F.col("_zone")))
-    ring = pairs.withColumn("_zone", z).select("pair", F.lit("a").alias("side"), F.concat(flat("a"), F.reverse(flat("b"))).alias("ring"))
-    # coordinates from the first point on, so that products of large northings don't lose digits
+    # coordinates from the first point on, as in place
     first = F.col("ring")[0]
-    ring = ring.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y"))))
-    mean = (geo.length_km(F.col("a")) + geo.length_km(F.col("b"))) * 500
-    found = pairs.join(areas(ring).select("pair", F.col("a").alias("m2")), "pair")
-    return found.withColumn("error", F.when(mean > 0, F.col("m2") / mean))
+    large = many.select("pair", F.lit("a").alias("side"), F.concat(flat("a"), F.reverse(flat("b"))).alias("ring"))
+    large = large.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y"))))
+    there = many.drop("_zone").join(areas(large).select("pair", F.col("a").alias("m2")), "pair")
+    return here.unionByName(there).withColumn("error", F.when(F.col("_mean") > 0, F.col("m2") / F.col("_mean"))).drop("_mean")
 
 
 def area_to_parts(pairs: DataFrame) -> DataFrame:

@@ -62,7 +62,9 @@ def haversine_km(spark, d: str) -> DataFrame:
 def order_lines(spark, d: str) -> DataFrame:
     """Each order's line runs through the points of its line items, by line number."""
     point = F.struct("l_linenumber", "l_partkey", lon("l_partkey").alias("x"), lat("l_partkey").alias("y"))
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(point)).alias("ps"))
+    # few bytes, much to compute: as many tasks as the session asks for, not merged by size
+    dealt = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    g = dealt.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(point)).alias("ps"))
     return g.select("id", F.transform("ps", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
 
 
