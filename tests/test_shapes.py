@@ -206,3 +206,18 @@ def test_line_through_corners_has_all_four_cells(spark):
         found.setdefault(i, set()).add((r, c))
     four = {(1, 3), (1, 4), (2, 3), (2, 4)}
     assert found == {0: four, 1: four, 2: {(1, 3), (1, 4)}, 3: {(1, 4), (2, 4)}}
+
+
+def test_overlay_of_large_keys(spark, tmp_path):
+    # keys beyond ten millions, as after a shift, don't run into each other
+    import duckdb
+
+    from waylake.plans import shapes as plans
+
+    con = duckdb.connect()
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        con.execute(f"copy (select 30000000 + i as {key} from range(60) t(i)) to '{tmp_path}/{name}.parquet'")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    want = con.execute(plans.ORACLES["polygon_overlay"]).fetchall()
+    assert len(want) > 10
+    assert sorted(map(tuple, plans.polygon_overlay(spark, str(tmp_path)).collect())) == sorted(want)

@@ -69,9 +69,9 @@ def box_of(df: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def polygon_pairs(spark, d: str) -> DataFrame:
-    """(pair, side, ring) of triangles and pentagons whose boxes meet; pair is both keys in one number."""
+    """(pair, side, ring) of triangles and pentagons whose boxes meet; pair holds both keys."""
     a, b = triangles(spark, d), pentagons(spark, d)
-    near = spatial.boxes_meet(box_of(a), box_of(b), 0.5).withColumn("pair", F.col("a_id") * 10_000_000 + F.col("b_id"))
+    near = spatial.boxes_meet(box_of(a), box_of(b), 0.5).withColumn("pair", F.struct("a_id", "b_id"))
     left = near.join(a.select(F.col("id").alias("a_id"), "ring"), "a_id").select("pair", F.lit("a").alias("side"), "ring")
     right = near.join(b.select(F.col("id").alias("b_id"), "ring"), "b_id").select("pair", F.lit("b").alias("side"), "ring")
     return left.union(right)
@@ -100,8 +100,7 @@ r AS (SELECT a_id, b_id, coalesce(s, 0) AS s, {_AREA.format(n=3, r='(0.2 + a_id
 SELECT a_id, b_id, CAST(round(s * 1e6) AS BIGINT) AS both_e6, CAST(round((a + b - s) * 1e6) AS BIGINT) AS either_e6, CAST(round((a - s) * 1e6) AS BIGINT) AS only_a_e6, CAST(round((b - s) * 1e6) AS BIGINT) AS only_b_e6 FROM r""")
 def polygon_overlay(spark, d: str) -> DataFrame:
     found = overlay.areas(polygon_pairs(spark, d))
-    key = [F.expr("pair div 10000000").alias("a_id"), (F.col("pair") % 10_000_000).alias("b_id")]
-    return found.select(*key, *[F.round(F.col(op) * 1e6).cast("long").alias(f"{op}_e6") for op in ("both", "either", "only_a", "only_b")])
+    return found.select("pair.a_id", "pair.b_id", *[F.round(F.col(op) * 1e6).cast("long").alias(f"{op}_e6") for op in ("both", "either", "only_a", "only_b")])
 
 
 # a five-pointed star inside its own ring: five tips, without the pentagon in the middle
