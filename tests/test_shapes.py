@@ -208,6 +208,19 @@ def test_line_through_corners_has_all_four_cells(spark):
     assert found == {0: four, 1: four, 2: {(1, 3), (1, 4)}, 3: {(1, 4), (2, 4)}}
 
 
+def test_pairs_of_points_and_polygons_are_not_shuffled(spark):
+    rng = random.Random(3)
+    ring = lambda n: [(140 + x0 + r * math.cos(2 * math.pi * k / n), -37 + y0 + r * math.sin(4 * math.pi * k / n)) for x0, y0, r in [(rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(0.1, 1))] for k in range(n)]
+    rings = [ring(rng.choice((3, 4, 5, 7, 30))) for _ in range(40)]
+    a, p = shapes(spark, *[("polygon", r, None) for r in rings]), [(140 + rng.uniform(-1, 2), -37 + rng.uniform(-1, 2)) for _ in range(200)]
+    found = spatial.points_inside(points(spark, *p), a, 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # no shuffle after the join of points and polygons
+    assert "Join [_cx" in plan and "Exchange" not in plan.split("Join [_cx")[0]
+    odd = lambda x, y, r: sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1])) % 2
+    assert ids(found) == sorted((i, k) for i, (x, y) in enumerate(p) for k, r in enumerate(rings) if odd(x, y, r))
+
+
 def test_overlay_of_large_keys(spark, tmp_path):
     # keys beyond ten millions, as after a shift, don't run into each other
     import duckdb
