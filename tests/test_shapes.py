@@ -234,3 +234,19 @@ def test_overlay_of_large_keys(spark, tmp_path):
     want = con.execute(plans.ORACLES["polygon_overlay"]).fetchall()
     assert len(want) > 10
     assert sorted(map(tuple, plans.polygon_overlay(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_nearest_way_meets_few_segments(spark):
+    rng = random.Random(4)
+    at = lambda n, low, high: [(rng.uniform(*low), rng.uniform(*high)) for _ in range(n)]
+    near, north = at(60, (144, 145), (-38, -37)), at(20, (-180, 180), (88.5, 90))
+    p = points(spark, *near, *north, *((x, 60.0) for x in (179.99, -179.99)))
+    starts = at(300, (144, 145), (-38, -37)) + at(60, (-180, 180), (88.5, 90)) + [(179.95, 60.0), (-179.9, 60.05)]
+    # the last two have one place: ties go by way
+    rows = [(i, 0, x, y, x + rng.uniform(-0.05, 0.05), min(y + rng.uniform(-0.05, 0.05), 90.0)) for i, (x, y) in enumerate(starts)]
+    rows += [(400, 0, *rows[5][2:]), (399, 0, *rows[5][2:])]
+    segments = spark.createDataFrame(rows, "way_id long, seg int, x1 double, y1 double, x2 double, y2 double")
+    every, few = (spatial.within_km(p, segments, 40.0, 0.5, nearest=n) for n in (False, True))
+    best = lambda hits: sorted(map(tuple, spatial.nearest_way(hits).collect()))
+    assert best(few) == best(every)
+    assert few.where("point_id < 60").count() < every.where("point_id < 60").count() / 4

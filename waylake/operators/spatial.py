@@ -56,15 +56,23 @@ def _dealt(points: DataFrame, others: DataFrame, key: str, cell: tuple[str, ...]
     return p.repartition(tasks, *cell, "_s"), q
 
 
-def within_km(points: DataFrame, segments: DataFrame, km: float, size: float) -> DataFrame:
-    """Points with every segment whose nearest position is within ``km``.
+def within_km(points: DataFrame, segments: DataFrame, km: float, size: float, nearest: bool = False) -> DataFrame:
+    """Points with every segment whose nearest position is within ``km`` (J22, J23). With ``nearest`` segments may be left
+    out that are farther than the start of another one, so that what nearest_way() takes is few rows a point.
 
     points: point_id, x, y; segments: way_id, seg, x1, y1, x2, y2, at any latitude. A segment whose ends are more than 180
     degrees apart crosses 180 degrees. ``size`` is the cell size in degrees. Returns point_id, way_id, seg, pos, km.
     """
     c = F.col
     cx, cy = geo.cell(c("x"), c("y"), size)
-    p = points.select("point_id", "x", "y", cx.alias("_cx"), cy.alias("_cy"))
+    p = points.select("point_id", "x", "y")
+    if nearest:
+        starts = segments.select(c("x1").alias("px"), c("y1").alias("py"))
+        p = _reached(points, starts, 1, size, km)[0].select("point_id", "x", "y", c("_km").alias("_p_km"))
+        p = _once(p, "_p_up", F.degrees(c("_p_km") / geo.RADIUS_KM) + 1e-9)
+        farthest = F.abs(c("y")) + c("_p_up")
+        p = _once(p, "_p_across", F.when(farthest < 89.9, F.least(c("_p_up") / F.cos(F.radians(farthest)), F.lit(180.0))).otherwise(180.0))
+    p = p.withColumns({"_cx": cx, "_cy": cy})
     s = segments.withColumn("x2", c("x2") - 360.0 * F.round((c("x2") - c("x1")) / 360.0))
     across, up = geo.reach_of_km(km, F.greatest(F.abs(c("y1")), F.abs(c("y2"))))
     s = _once(_once(s, "_across", across), "_up", up)
@@ -73,6 +81,8 @@ def within_km(points: DataFrame, segments: DataFrame, km: float, size: float) ->
     box = F.least("x1", "x2") - c("_across"), F.least("y1", "y2") - c("_up"), F.greatest("x1", "x2") + c("_across"), F.greatest("y1", "y2") + c("_up")
     p, s = _dealt(p, _cells(s, *box, size), "point_id")
     near = p.join(s, ["_cx", "_cy", "_s"]).where(c("x").between(box[0], box[2]) & c("y").between(box[1], box[3]) & _own_half(c("x"), (c("x1") + c("x2")) / 2))
+    if nearest:
+        near = near.where(c("x").between(F.least("x1", "x2") - c("_p_across"), F.greatest("x1", "x2") + c("_p_across")) & c("y").between(F.least("y1", "y2") - c("_p_up"), F.greatest("y1", "y2") + c("_p_up")))
     near = _once(near, "pos", geo.project(c("x1"), c("y1"), c("x2"), c("y2"), c("x"), c("y")))
     d = geo.haversine_km(geo.lerp(c("x1"), c("x2"), c("pos")), geo.lerp(c("y1"), c("y2"), c("pos")), c("x"), c("y"))
     return _once(near, "km", d).where(c("km") <= km).select("point_id", "way_id", "seg", "pos", "km")

@@ -181,7 +181,7 @@ def grid_spatial_join(spark, d: str) -> DataFrame:
 @query(f"""WITH {_POINTS}, {_SEGS}, {_BRUTE} SELECT point_id, way_id, CAST(round(pos * 10000) AS BIGINT) AS pos_e4 FROM (
  SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, way_id) AS r FROM near WHERE km <= {NEAR_KM}) WHERE r = 1""")
 def nearest_on_segment(spark, d: str) -> DataFrame:
-    hits = spatial.nearest_way(spatial.within_km(customer_points(spark, d), supplier_segments(spark, d), NEAR_KM, 0.5))
+    hits = spatial.nearest_way(spatial.within_km(customer_points(spark, d), supplier_segments(spark, d), NEAR_KM, 0.5, nearest=True))
     return hits.select("point_id", "way_id", e4(F.col("pos")).alias("pos_e4"))
 
 
