@@ -114,7 +114,9 @@ def recomputed(pairs: DataFrame) -> DataFrame:
         parts = [clipped(points(line), part) for part in polygons.merged([points(w) for w in ways])] if line and ways else []
         return [[{"x": x, "y": y} for x, y in part] for part in parts if len(part) > 1]
 
-    slim = pairs.select(F.col("input_id").alias("pair"), F.col("line").alias("a"), "ways")
+    # few bytes, much to compute: as many tasks as the session asks for, not as the files have splits
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = pairs.select(F.col("input_id").alias("pair"), F.col("line").alias("a"), "ways").repartition(tasks, "pair")
     rows = materialise(with_program(slim, "parts", f"array<{geo.LINE}>", cut, "a", "ways").drop("ways"), "recomputed")
     single = overlay.area_between(rows.where(F.size("parts") == 1).select("pair", "a", F.col("parts")[0].alias("b"))).select("pair", "error")
     several = overlay.area_to_parts(rows.where(F.size("parts") > 1)).select("pair", "error")
