@@ -250,3 +250,27 @@ def test_nearest_way_meets_few_segments(spark):
     best = lambda hits: sorted(map(tuple, spatial.nearest_way(hits).collect()))
     assert best(few) == best(every)
     assert few.where("point_id < 60").count() < every.where("point_id < 60").count() / 4
+
+
+def test_within_km_works_out_a_pair_once(spark):
+    """One arc sine and no power in the plan; values are those of geo.haversine_km()."""
+    rng = random.Random(9)
+    p = points(spark, *((rng.uniform(140, 141), rng.uniform(-38, -37)) for _ in range(40)), (179.9, 89.0), (-60.0, 89.5))
+    rows = [(i, 0, x, y, x + 0.1, y + 0.05) for i, (x, y) in enumerate([(rng.uniform(140, 141), rng.uniform(-38, -37)) for _ in range(40)] + [(120.0, 89.7), (10.0, 89.9)])]
+    hits = spatial.within_km(p, spark.createDataFrame(rows, SEGMENTS), 200.0, 0.5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ASIN(") == 1 and "POWER(" not in plan
+    c = F.col
+    at = hits.join(p, "point_id").join(spark.createDataFrame(rows, SEGMENTS), ["way_id", "seg"])
+    x2 = c("x2") - 360.0 * F.round((c("x2") - c("x1")) / 360.0)
+    want = geo.haversine_km(geo.lerp(c("x1"), x2, c("pos")), geo.lerp(c("y1"), c("y2"), c("pos")), c("x"), c("y"))
+    got = at.select("km", want.alias("want"), "point_id").collect()
+    assert len(got) > 1600 and all(r["km"] == pytest.approx(r["want"], rel=1e-13, abs=1e-9) for r in got) and {40, 41} & {r["point_id"] for r in got}
+
+
+def test_whole_numbers_as_round_gives_them(spark):
+    from waylake.plans.spatial import whole
+
+    values = [0.0, 0.49999999999999994, 0.5, 1.5, 2.5, 2.4999999999999996, 399999.5, 399999.49999999994, 1048575.4999999999, 7.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [tuple(r) for r in df.select(whole(F.col("v")), F.round("v").cast("long")).collect() if r[0] != r[1]] == []
