@@ -268,6 +268,17 @@ def test_within_km_works_out_a_pair_once(spark):
     assert len(got) > 1600 and all(r["km"] == pytest.approx(r["want"], rel=1e-13, abs=1e-9) for r in got) and {40, 41} & {r["point_id"] for r in got}
 
 
+def test_distance_to_each_way_needs_no_sort(spark):
+    p = points(spark, (144, -37), (144.2, -37))
+    segments = spark.createDataFrame([(w, s, 144 + s / 100, -37.0 - w / 100, 144 + s / 100 + 0.005, -37.0 - w / 100) for w in range(3) for s in (0, 1, 2)], SEGMENTS)
+    best = spatial.nearest_on_way(spatial.within_km(p, segments, 40.0, 0.5))
+    plan = best.select("point_id", "way_id", "km")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    rows = best.collect()
+    assert {(r["point_id"], r["way_id"]): r["seg"] for r in rows} == {(0, 0): 0, (0, 1): 0, (0, 2): 0, (1, 0): 2, (1, 1): 2, (1, 2): 2}
+    assert sorted(r["km"] for r in rows) == sorted(r["km"] for r in best.select("km").collect())
+
+
 def test_whole_numbers_as_round_gives_them(spark):
     from waylake.plans.spatial import whole
 
