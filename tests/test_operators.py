@@ -119,6 +119,42 @@ def test_trim_and_split():
     assert splitting.pieces(3, [1]) == [(0, 1), (1, 2)]
 
 
+def test_split_all_ways_of_a_block_at_once(spark, monkeypatch):
+    """Against the program for one way: bends, repeated and far candidates, ways without length, ids of one way kept in order."""
+    rng = random.Random(3)
+    node = lambda w, k: (w * 100 + k, 144.96 + rng.choice([k * 0.001, rng.uniform(0, 0.003)]), -37.81 + rng.choice([0.0, rng.uniform(0, 0.003)]))
+    ways = [(w, [node(w, k) for k in range(rng.randint(1, 6))]) for w in range(400)] + [(900, [(1, 144.0, -37.0), (2, 144.0, -37.0)]), (901, [(3, 144.0, -37.0), (4, 144.01, -37.0)])]
+    cuts = []
+    for w, nodes in ways:
+        c = [rng.choice([(144.96 + rng.uniform(-0.001, 0.006), -37.81 + rng.uniform(-0.001, 0.003)), nodes[-1][1:], (nodes[0][1] + 1e-5, nodes[0][2])]) for _ in range(rng.randint(0, 7))]
+        cuts += [(w, k, *p) for k, p in enumerate(c + c[:2])]
+    cuts += [(901, k, 144.0 + k / 10000, -37.0001) for k in range(1, 90)]  # more points than are taken at once
+    want = []
+    for w, nodes in ways:
+        own = [{"x": c[2], "y": c[3]} for c in cuts if c[0] == w]
+        want += splitting._split(w, [dict(zip(("id", "x", "y"), n)) for n in nodes], own) if own else []
+    calls, one = [], splitting.place_cuts
+    w = spark.createDataFrame(ways, "way_id long, nodes array<struct<id:long,x:double,y:double>>")
+    found = splitting.split_ways(w, spark.createDataFrame(cuts, "way_id long, seq int, x double, y double"))
+    got = sorted(map(tuple, found.collect()), key=lambda r: r[:3])
+    want.sort(key=lambda r: r[:3])
+    assert len(got) == len(want) > 800
+    assert [(*a[:3], *a[5:]) for a in got] == [(*b[:3], *b[5:]) for b in want]
+    assert all(a[3:5] == pytest.approx(b[3:5], abs=1e-12) for a, b in zip(got, want))
+    # all ways but the long one in one go
+    table = found.sparkSession.createDataFrame(ways[:50], w.schema).toArrow().combine_chunks()
+    import pyarrow as pa
+
+    lists = pa.array([[{"x": c[2], "y": c[3]} for c in cuts if c[0] == k] for k in range(50)], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    monkeypatch.setattr(splitting, "place_cuts", lambda *a: calls.append(a) or one(*a))
+    columns = splitting._split_all(pa.record_batch([table["way_id"].chunk(0), table["nodes"].chunk(0), lists], names=["way_id", "nodes", "cuts"]))
+    assert not calls and len(columns[0]) == sum(r[0] < 50 for r in want)
+    # numbers of the same places are the same, after the given one
+    ids = {(r["way_id"], r["x"], r["y"]): r["node_id"] for r in splitting.number_new_nodes(found, 10**6).where("is_new").collect()}
+    assert sorted(ids.values()) == list(range(10**6 + 1, 10**6 + 1 + len(ids)))
+    assert [k for k, _ in sorted(ids.items(), key=lambda e: e[1])] == sorted(ids)
+
+
 FINE_LATS = [-38.0751637, -38.0752637, -38.0753637, -38.0754637, -38.0755637, -38.0752637, -38.0753637, -38.0753637, -38.0766637]
 FINE_WAYS = [(2001, [1001, 1002, 1003, 1004], False, False, "a"), (2002, [1001, 1006, 1007, 1004], False, False, "b"), (2003, [1004, 1005], False, False, "c"),
              (2004, [1008, 1007], True, False, "d"), (2005, [1006, 1008], False, True, "e"), (2006, [1008, 1009], True, False, "f")]
