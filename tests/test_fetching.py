@@ -109,3 +109,20 @@ def test_copies_have_one_value_of_a_name(spark):
     tags = spark.createDataFrame(rows, "feature_id string, s_name string, s_value string, version_start int, version_end int, changeset_id string")
     copied = loads.derived_copy(features, tags, spark.createDataFrame([], "feature_id string"), 7, "set-7")[1]
     assert sorted((r["s_name"], r["s_value"], r["version_start"]) for r in copied.collect()) == [("name", "b", 7), ("ref", None, 7)]
+
+
+def test_priorities_broadcast_no_rows_of_paths(spark):
+    """Paths are far more rows than their bytes make Spark expect, so they are shuffled."""
+    from waylake.operators import paths
+
+    p = spark.createDataFrame([(k, [k % 5, 10, 11, 12, 13, 20]) for k in range(40)] + [(90, [7, 7, 8]), (91, [10])], "path_id long, nodes array<long>")
+    rows = paths.path_steps(p).withColumn("km", F.lit(0.5))
+    centres = spark.createDataFrame([(13, 1), (20, 2), (8, 3)], "node long, intersection long")
+    moves = spark.createDataFrame([(1, 10, 12, 5), (1, 10, 13, 6), (2, 13, 20, 4), (3, 7, 8, 2)], "intersection long, in_node long, out_node long, priority int")
+    reached = paths.distances(rows, centres)
+    assert {tuple(r)[1:] for r in reached.where("path_id < 90").collect()} == {(1, 4, 2.0), (2, 5, 2.5)}
+    found = paths.priorities(p, reached, moves, centres)
+    # 5 from node 10 to 12, as 13 is a centre; too late at 13; the stop at the start isn't one
+    assert {tuple(r)[1:] for r in found.where("path_id < 90").collect()} == {(1, 5), (2, 0)} and found.where("path_id >= 90").count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3 and "BroadcastHashJoin [path_id" not in plan

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from waylake.functions.storage import materialise
 from waylake.operators.eav import surrogate_ids
 
 # fixed values: the length that stands for an intersection that a path never reaches, and the priority of a path that
@@ -69,8 +70,10 @@ def distances(path_rows: DataFrame, intersections: DataFrame) -> DataFrame:
     """
     so_far = F.sum("km").over(W.partitionBy("path_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
     at = path_rows.select("path_id", (F.col("seq") + 1).alias("node_seq"), F.col("dst").alias("node"), so_far.alias("km")).join(intersections, "node")
-    first = F.min_by(F.struct("node_seq", "km"), F.col("node_seq")).alias("f")
-    return at.groupBy("path_id", "intersection").agg(first).select("path_id", "intersection", "f.node_seq", "f.km")
+    # few bytes, and much is joined to them in the same tasks: as many as the session asks for, not merged by size
+    tasks = int(path_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = at.select("path_id", "intersection", "node_seq", "km").repartition(tasks, "path_id", "intersection")
+    return dealt.groupBy("path_id", "intersection").agg(F.min("node_seq").alias("node_seq"), F.min_by("km", "node_seq").alias("km"))
 
 
 def watched(path_rows: DataFrame, distance: DataFrame) -> DataFrame:
@@ -114,16 +117,18 @@ def priorities(paths: DataFrame, distance: DataFrame, movements: DataFrame, cent
     order = W.partitionBy("path_id").orderBy("i")
     stops = nodes.withColumn("_next", F.lead("node").over(order)).where("_next = node and i > 0")
     stops = stops.groupBy("path_id").agg(F.min("i").alias("stop"))
-    reached = distance.select("path_id", "intersection")
+    # both are read more than once; written, they also keep all these joins from standing in one task, each with memory of its own
+    # rows per path aren't broadcast either: they are far more than their bytes on disk make Spark expect
+    reached = materialise(distance.select("path_id", "intersection"), "reached").hint("merge")
     enters = movements.select("intersection", F.col("in_node").alias("node")).distinct()
-    entries = nodes.where("i < n - 1").join(enters, "node").join(reached, ["path_id", "intersection"])
+    entries = materialise(nodes.where("i < n - 1").hint("merge").join(enters, "node").join(reached, ["path_id", "intersection"]), "entries")
     exits = movements.join(centroids.select("intersection", F.col("node").alias("out_node")).distinct(), ["intersection", "out_node"], "left_anti")
-    later = nodes.select("path_id", F.col("i").alias("o"), F.col("node").alias("out_node"))
+    later = nodes.select("path_id", F.col("i").alias("o"), F.col("node").alias("out_node")).hint("merge")
     # movements lead on from an entry to few nodes; those are looked for on the path
     moves = entries.where("i < n - 3").join(exits.withColumnRenamed("in_node", "node"), ["intersection", "node"])
     left = moves.join(later, ["path_id", "out_node"]).where("o > i").groupBy("path_id", "intersection", "i").agg(F.min_by("priority", "o").alias("priority"))
     ends = entries.where("i >= n - 3").select("path_id", "intersection", "i", F.lit(0).alias("priority"))
     first = left.select("path_id", "intersection", "i", F.col("priority").cast("int")).union(ends).groupBy("path_id", "intersection").agg(F.min_by("priority", "i").alias("p"), F.min("i").alias("i"))
-    rows = reached.join(first, ["path_id", "intersection"], "left").join(stops, "path_id", "left")
+    rows = reached.join(first.hint("merge"), ["path_id", "intersection"], "left").join(stops.hint("merge"), "path_id", "left")
     p = F.when(F.col("stop").isNotNull() & (F.col("i").isNull() | (F.col("stop") <= F.col("i"))), 0).otherwise(F.coalesce("p", F.lit(UNKNOWN_PRIORITY)))
     return rows.select("path_id", "intersection", F.least(F.greatest(p, F.lit(-9)), F.lit(9)).alias("priority"))
