@@ -111,11 +111,13 @@ def test_copies_have_one_value_of_a_name(spark):
     assert sorted((r["s_name"], r["s_value"], r["version_start"]) for r in copied.collect()) == [("name", "b", 7), ("ref", None, 7)]
 
 
-def test_priorities_broadcast_no_rows_of_paths(spark):
+def test_priorities_broadcast_no_rows_of_paths(spark, tmp_path):
     """Paths are far more rows than their bytes make Spark expect, so they are shuffled."""
     from waylake.operators import paths
 
     p = spark.createDataFrame([(k, [k % 5, 10, 11, 12, 13, 20]) for k in range(40)] + [(90, [7, 7, 8]), (91, [10])], "path_id long, nodes array<long>")
+    p.write.parquet(str(tmp_path / "paths"))
+    p = spark.read.parquet(str(tmp_path / "paths"))  # of known size, a small one
     rows = paths.path_steps(p).withColumn("km", F.lit(0.5))
     centres = spark.createDataFrame([(13, 1), (20, 2), (8, 3)], "node long, intersection long")
     moves = spark.createDataFrame([(1, 10, 12, 5), (1, 10, 13, 6), (2, 13, 20, 4), (3, 7, 8, 2)], "intersection long, in_node long, out_node long, priority int")
