@@ -491,6 +491,28 @@ def test_line_query_searches_by_edits(spark, tmp_path):
     assert found == {i: want[i] for i, _ in rows}
 
 
+def test_line_keys_are_of_rare_pairs(spark):
+    """Lines that have pairs of long words of their own share no key, whatever shorter words they have in common."""
+    rnd = np.random.default_rng(8)
+    rows = [(i, " ".join([f"often{w}" for w in rnd.integers(0, 9, 25)] + [f"seldomseen{i}x{k}" for k in range(9)])) for i in range(200)]
+    lines = line_dedup.edit_lines(spark.createDataFrame(rows, "doc_id long, text string"), 0.8, 7)
+    keys = [k for r in lines.collect() for k in r["keys"]]
+    assert len(keys) == len(set(keys)) == 7 * 200
+
+
+def test_line_keys_are_shuffled_once(spark, monkeypatch):
+    plans, write = {}, line_dedup.materialise
+
+    def seen(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(line_dedup, "materialise", seen)
+    rows = near_copies(30)
+    line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), by_edits=True).collect()
+    assert "line-buckets" not in plans and plans["line-members"].count("Exchange hashpartitioning") == 1
+
+
 # 6 quality
 
 
