@@ -22,3 +22,9 @@ def test_clock_times_in_far_years(spark, tmp_path):
     found = same_as_sql(spark, tmp_path, "clock_times", orders=orders)
     # from 2^59 microseconds on doubles are 128 apart
     assert {r[0]: r[1] for r in found}[6651325] == "20237-04-27 16:53:44"
+
+
+def test_stars_with_a_nearly_horizontal_edge(spark, tmp_path):
+    # by 355 / 113, turns by 51535 + 71 n radians come close to whole tenths
+    supplier = "select unnest([51535, 51961, 52032, 52103, 52174, 156309, 260515])::bigint as s_suppkey"
+    assert len(same_as_sql(spark, tmp_path, "polygon_repair", supplier=supplier)) == 7

@@ -55,28 +55,52 @@ def ring_edges(shapes: DataFrame) -> DataFrame:
 
 
 def _crossings(edges: DataFrame) -> DataFrame:
-    """(pair, y) where two edges of a pair cross. Edges meet in bands of about two edges' height."""
+    """(pair, side, e, at, x, y): places inside an edge, the share ``at`` along it, where another one of its pair crosses or ends.
+    Both edges get the same numbers. Edges meet in bands of about two edges' height."""
     size = W.partitionBy("pair")
     low, high, n = F.min("y1").over(size), F.max("y2").over(size), F.count("*").over(size)
     banded = edges.withColumns({"_low": low, "_step": (high - low) / F.greatest(F.ceil(n / 2), F.lit(1))})
     band = lambda y: F.floor((F.col(y) - F.col("_low")) / F.col("_step")).cast("int")
     banded = banded.withColumn("band", F.explode(F.sequence(band("y1"), band("y2"))))
-    names = ["e", "x1", "y1", "x2", "y2"]
+    names = ["side", "e", "x1", "y1", "x2", "y2"]
     p = banded.select("pair", "band", *[F.col(c).alias(f"p_{c}") for c in names])
     q = banded.select("pair", "band", *[F.col(c).alias(f"q_{c}") for c in names])
     c = F.col
     dx, dy, ex, ey = c("p_x2") - c("p_x1"), c("p_y2") - c("p_y1"), c("q_x2") - c("q_x1"), c("q_y2") - c("q_y1")
     gx, gy, den = c("q_x1") - c("p_x1"), c("q_y1") - c("p_y1"), dx * ey - dy * ex
     overlap = (c("p_e") < c("q_e")) & (F.least("p_x1", "p_x2") <= F.greatest("q_x1", "q_x2")) & (F.least("q_x1", "q_x2") <= F.greatest("p_x1", "p_x2"))
-    met = p.join(q, ["pair", "band"]).where(overlap & (den != 0)).select("pair", "p_y1", dy.alias("dy"), ((gx * ey - gy * ex) / den).alias("s"), ((gx * dy - gy * dx) / den).alias("t"))
-    return met.where("s > 0 and s < 1 and t > 0 and t < 1").select("pair", (F.col("p_y1") + F.col("s") * F.col("dy")).alias("y"))
+    met = p.join(q, ["pair", "band"]).where(overlap & (den != 0))
+    met = met.select("pair", *[c(f"{r}_{k}") for r in "pq" for k in names], ((gx * ey - gy * ex) / den).alias("p_at"), ((gx * dy - gy * dx) / den).alias("q_at"))
+    met = met.where("p_at >= 0 and p_at <= 1 and q_at >= 0 and q_at <= 1 and (p_at > 0 and p_at < 1 or q_at > 0 and q_at < 1)")
+    ends = [(c(f"{r}_at") == n, c(f"{r}_x{n + 1}"), c(f"{r}_y{n + 1}")) for r in "pq" for n in (0, 1)]
+
+    def place(k: int, inside: Column) -> Column:
+        for at_end, *xy in reversed(ends):
+            inside = F.when(at_end, xy[k]).otherwise(inside)
+        return inside
+
+    x, y = place(0, c("p_x1") + c("p_at") * (c("p_x2") - c("p_x1"))), place(1, c("p_y1") + c("p_at") * (c("p_y2") - c("p_y1")))
+    both = F.array(*[F.struct(*[c(f"{r}_{k}").alias(k) for k in ("side", "e", "at")]) for r in "pq"])
+    # an edge on a border of bands meets another one twice
+    return met.select("pair", x.alias("x"), y.alias("y"), F.explode(both).alias("s")).where("s.at > 0 and s.at < 1").select("pair", "s.*", "x", "y").distinct()
+
+
+def _parted(edges: DataFrame) -> DataFrame:
+    """(pair, side, x1, y1, x2, y2): the edges in parts that meet others at their ends only, upwards. The place of a crossing is
+    kept rather than computed from a part's slope at each cut, which loses it on an edge that is nearly horizontal."""
+    end = lambda at: edges.select("pair", "side", "e", F.lit(float(at)).alias("at"), F.col(f"x{at + 1}").alias("x"), F.col(f"y{at + 1}").alias("y"))
+    places = end(0).unionByName(end(1)).unionByName(_crossings(edges))
+    along = W.partitionBy("pair", "side", "e").orderBy("at")
+    part = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))  # the lower end first
+    parts = places.select("pair", "side", F.struct("y", "x").alias("a"), F.lead(F.struct("y", "x")).over(along).alias("b")).where("a.y != b.y")
+    return parts.select("pair", "side", part.alias("s")).select("pair", "side", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
 def slabs(shapes: DataFrame) -> DataFrame:
     """(pair, lo, hi, x_lo, x_hi, n_lo, n_hi, in_a, in_b, was_a, was_b): per strip and edge, the edge, the next one to its
     right (null after the last), and whether the places right and left of the edge lie in a and b."""
-    edges = materialise(ring_edges(shapes), "overlay-edges")
-    ys = edges.select("pair", F.explode(F.array("y1", "y2")).alias("y")).union(_crossings(edges)).distinct()
+    edges = materialise(_parted(materialise(ring_edges(shapes), "overlay-edges")), "overlay-parts")
+    ys = edges.select("pair", F.explode(F.array("y1", "y2")).alias("y")).distinct()
     along = W.partitionBy("pair").orderBy("y")
     strips = materialise(ys.withColumns({"k": F.row_number().over(along), "hi": F.lead("y").over(along)}), "overlay-strips")
     at = lambda y, k: strips.select("pair", F.col("y").alias(y), F.col("k").alias(k))
