@@ -491,6 +491,15 @@ def test_line_query_searches_by_edits(spark, tmp_path):
     assert found == {i: want[i] for i, _ in rows}
 
 
+def test_long_lines_lose_no_link(spark):
+    """Twenty of a hundred words differ, the longest ones: the rarest pairs of neighbours are all among the changed ones."""
+    short = [np.base_repr(1000 + 7 * k, 36).lower() for k in range(80)]
+    line = lambda name: " ".join(w for k in range(20) for w in (f"seldomseen{name}{k}", *short[4 * k : 4 * k + 4]))
+    rows = [(1, line("x")), (2, line("y")), (3, line("z") + " more"), (4, " ".join(short[::-1]))]
+    found = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), by_edits=True).collect()
+    assert {(r["doc_id"], int(no)) for r in found for no in (r["_gone"] or [])} == brute_edits(rows) == {(2, 0)}
+
+
 def test_line_keys_are_of_rare_pairs(spark):
     """Lines that have pairs of long words of their own share no key, whatever shorter words they have in common."""
     rnd = np.random.default_rng(8)
