@@ -28,3 +28,10 @@ def test_stars_with_a_nearly_horizontal_edge(spark, tmp_path):
     # by 355 / 113, turns by 51535 + 71 n radians come close to whole tenths
     supplier = "select unnest([51535, 51961, 52032, 52103, 52174, 156309, 260515])::bigint as s_suppkey"
     assert len(same_as_sql(spark, tmp_path, "polygon_repair", supplier=supplier)) == 7
+
+
+def test_rows_made_of_cells_are_not_broadcast(spark, tmp_path):
+    spark.range(400).selectExpr("id as s_suppkey", "int(id % 25) as s_nationkey", "id / 7D as s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(600).selectExpr("id as c_custkey", "int(id % 25) as c_nationkey", "id / 9D as c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = lambda name: catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan("topk_nearest")

@@ -327,10 +327,11 @@ def nearest_numbers(asked: DataFrame, given: DataFrame, k: int) -> DataFrame:
     few = materialise(given.where("grp is not null").withColumn("_i", F.row_number().over(same)).where(c("_i") <= k).select("given_id", "grp", "v"), "numbers")
     cell = lambda v: F.floor(v / F.pow(F.lit(4.0), c("_level"))).cast("long").alias("_c")
     levels = F.explode(F.sequence(F.lit(0), F.lit(_WIDTHS))).alias("_level")
-    ranged = few.select("given_id", "grp", "v", levels).select("*", cell(c("v")))
+    # a row a level: many more than the bytes they are made of make Spark expect, so neither these nor what they meet are broadcast
+    ranged = few.select("given_id", "grp", "v", levels).select("*", cell(c("v"))).hint("merge")
     full = ranged.groupBy("grp", "_level", "_c").agg(F.count("*").alias("_n")).where(c("_n") >= k)
-    held = asked.select("asked_id", "grp", "v", levels).select("*", cell(c("v"))).join(full, ["grp", "_level", "_c"]).groupBy("asked_id").agg(F.min("_level").alias("_level"))
-    looking = asked.join(held, "asked_id", "left").withColumn("_level", F.coalesce("_level", F.lit(_WIDTHS)))
+    held = asked.select("asked_id", "grp", "v", levels).select("*", cell(c("v"))).join(full.hint("merge"), ["grp", "_level", "_c"]).groupBy("asked_id").agg(F.min("_level").alias("_level"))
+    looking = asked.join(held.hint("merge"), "asked_id", "left").withColumn("_level", F.coalesce("_level", F.lit(_WIDTHS)))
     looking = looking.select("asked_id", "grp", c("v").alias("_v"), "_level", cell(c("v"))).withColumn("_c", F.explode(F.sequence(c("_c") - 1, c("_c") + 1)))
     near = looking.join(ranged, ["grp", "_level", "_c"]).select("asked_id", "given_id", F.abs(c("_v") - c("v")).alias("d"))
     rank = W.partitionBy("asked_id").orderBy("d", "given_id")
