@@ -35,3 +35,5 @@ def test_rows_made_of_cells_are_not_broadcast(spark, tmp_path):
     spark.range(600).selectExpr("id as c_custkey", "int(id % 25) as c_nationkey", "id / 9D as c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
     plan = lambda name: catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan("topk_nearest")
+    # cells that are crowded, at most one in 100,000 points, are
+    assert plan("grid_spatial_join_north").count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan("grid_spatial_join_north")
