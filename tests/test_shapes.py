@@ -285,3 +285,29 @@ def test_whole_numbers_as_round_gives_them(spark):
     values = [0.0, 0.49999999999999994, 0.5, 1.5, 2.5, 2.4999999999999996, 399999.5, 399999.49999999994, 1048575.4999999999, 7.0, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [tuple(r) for r in df.select(whole(F.col("v")), F.round("v").cast("long")).collect() if r[0] != r[1]] == []
+
+
+def test_small_shapes_come_as_tiles(spark, monkeypatch):
+    """Both ways give the same pairs, with shapes across 180 degrees, open and closed rings and cells of several tiles; pairs of small shapes are no rows."""
+    from waylake.operators import spatial, tiles
+
+    monkeypatch.setattr(tiles, "TILE_A", 16)
+    monkeypatch.setattr(tiles, "TILE_B", 8)
+    rnd = random.Random(3)
+    kinds = ["line", "polygon", "point", "circle"]
+
+    def shapes(n):
+        rows = []
+        for k in range(n):
+            kind, x, y = kinds[k % 4], 179.2 + rnd.uniform(0, 1.6), rnd.uniform(-1, 1)
+            line = [(float(x + dx), float(y + dy)) for dx, dy in [(rnd.uniform(-0.4, 0.4), rnd.uniform(-0.4, 0.4)) for _ in range(1 if kind in ("point", "circle") else 3 + k % 3)]]
+            line = [(px - 360 if px > 180 else px, py) for px, py in line]
+            rows.append((k, kind, line + line[:1] if k % 8 == 1 else line, rnd.uniform(5, 60) if kind == "circle" else None))
+        return spark.createDataFrame(rows, f"id long, kind string, line {LINE}, km double")
+
+    a, b = shapes(90), shapes(61)
+    got = sorted(map(tuple, spatial.shapes_meet(a, b, 0.5).collect()))
+    assert got == sorted(map(tuple, spatial._shapes_meet_rows(a, b, 0.5).collect())) and len(got) > 300
+    monkeypatch.setattr(tiles, "MOST_POINTS", 4)  # others come as rows
+    assert got == sorted(map(tuple, spatial.shapes_meet(a, b, 0.5).collect()))
+    assert "FlatMapCoGroupsInArrow" in spatial.shapes_meet(a, b, 0.5)._jdf.queryExecution().executedPlan().toString()

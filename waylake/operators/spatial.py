@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from waylake.functions import geo
 from waylake.functions.storage import materialise
-from waylake.operators import cells
+from waylake.operators import cells, tiles
 
 
 #: A cell with more points than this is dealt over several tasks.
@@ -293,7 +293,17 @@ def points_inside(points: DataFrame, polygons: DataFrame, size: float) -> DataFr
 
 def shapes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a_id, b_id) of shapes that share a point: edges that touch, a centre within its radius of the other shape, or one
-    inside the other (J26). Across 180 degrees and at any latitude; edges are straight in degrees."""
+    inside the other (J26). Across 180 degrees and at any latitude; edges are straight in degrees. Small shapes come as tiles,
+    pairs with another one as rows."""
+    (small_a, more_a), (small_b, more_b) = tiles.split(a, size), tiles.split(b, size)
+    found = tiles.pairs(small_a, small_b, size, tiles.meet)
+    if not more_a.isEmpty():
+        found = found.union(_shapes_meet_rows(more_a, b, size))
+    return found if more_b.isEmpty() else found.union(_shapes_meet_rows(small_a.select(*a.columns), more_b, size))
+
+
+def _shapes_meet_rows(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """shapes_meet() with edges as rows."""
     c = F.col
     # pieces of a are dealt over as many tasks as the session asks for, a crowded cell over several; most pairs of one cell
     # aren't near each other, which their boxes tell before anything is computed
