@@ -141,3 +141,16 @@ def test_areas_in_place_as_by_rows(spark, monkeypatch):
     assert set(found) == set(range(62)) and found[61][0] == 0
     for k in range(61):
         assert found[k] == (pytest.approx(rows[k][0], rel=1e-9, abs=1e-6), pytest.approx(rows[k][1], rel=1e-9, abs=1e-9) if rows[k][1] is not None else None)
+
+
+def test_small_rings_come_as_tiles(spark):
+    """Areas of pairs are those of edges in rows, also of rings that cross themselves; pairs of small rings are no rows."""
+    rng = np.random.default_rng(11)
+    rings = lambda n: spark.createDataFrame([(k, [(float(x), float(y)) for x, y in rng.uniform(-1, 1, (3 + k % 4, 2))]) for k in range(n)], f"id long, ring {LINE}")
+    a, b = rings(9), rings(7)
+    found = overlay.areas_of_pairs(a, b, 0.5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["a_id"], r["b_id"]): tuple(r)[2:] for r in found.collect()}
+    as_line = lambda df: df.withColumnRenamed("ring", "line")
+    want = {(r["a_id"], r["b_id"]): tuple(r)[2:] for r in overlay._areas_by_rows(as_line(a), as_line(b), 0.5).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from waylake.functions import geo
 from waylake.functions.rows import with_program
 from waylake.functions.storage import materialise
-from waylake.operators import polygons
+from waylake.operators import polygons, spatial, tiles
 
 #: Whether a place in a (first) and in b (second) belongs to the result.
 OPS = {
@@ -35,6 +35,7 @@ OPS = {
     "one": lambda a, b: a != b,
     "a": lambda a, b: a,
 }
+PAIR_OPS = ("both", "only_a", "only_b")
 #: Places closer than this share of a pair's size are one place when rings are linked.
 SNAP = 1e-10
 #: Rings of at most so many points are computed where they are; larger ones as edges in rows.
@@ -239,6 +240,59 @@ def even_odd_areas(rings: np.ndarray) -> np.ndarray:
     return np.nansum(widths * (hi - lo)[..., 0], axis=1)
 
 
+def pair_areas(a: tiles.Shapes, b: tiles.Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Areas of both, only_a and only_b of pairs of rings, by the strips of the module's head: those of one pair side by side.
+    Coordinates count from a point of the pair on."""
+    x1, y1, x2, y2 = [], [], [], []
+    for x, y in ((a.x[:, i], a.y[:, i]), (b.x[:, j], b.y[:, j])):
+        x, y = (x - a.x[0, i]).T, (y - a.y[0, i]).T
+        for own, v in ((x1, x), (y1, y), (x2, np.roll(x, -1, axis=1)), (y2, np.roll(y, -1, axis=1))):
+            own.append(v)
+    x1, y1, x2, y2 = (np.concatenate(v, axis=1) for v in (x1, y1, x2, y2))
+    n, of_a = x1.shape[1], np.arange(x1.shape[1]) < len(a.x)
+    p, q = np.triu_indices(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dx, dy, ex, ey = (x2 - x1)[:, p], (y2 - y1)[:, p], (x2 - x1)[:, q], (y2 - y1)[:, q]
+        gx, gy, den = x1[:, q] - x1[:, p], y1[:, q] - y1[:, p], dx * ey - dy * ex
+        s, t = (gx * ey - gy * ex) / den, (gx * dy - gy * dx) / den
+        crossed = np.where((den != 0) & (s > 0) & (s < 1) & (t > 0) & (t < 1), y1[:, p] + s * dy, np.nan)
+        cuts = np.sort(np.concatenate([y1, crossed], axis=1), axis=1)  # not a number comes last
+        most = int((~np.isnan(cuts)).sum(axis=1).max(initial=0))
+        lo, hi = cuts[:, : max(most - 1, 0), None], cuts[:, 1:most, None]
+        u, v = y1[:, None, :], y2[:, None, :]
+        across = (np.minimum(u, v) <= lo) & (np.maximum(u, v) >= hi) & (hi > lo)
+        middle = np.where(across, x1[:, None, :] + ((lo + hi) / 2 - u) * (x2 - x1)[:, None, :] / (v - u), np.nan)
+    order = np.argsort(middle, axis=2, kind="stable")
+    middle, left = np.take_along_axis(middle, order, axis=2), of_a[order]
+    in_a, in_b = np.cumsum(left, axis=2)[..., :-1] % 2 == 1, np.cumsum(~left, axis=2)[..., :-1] % 2 == 1
+    widths = np.nan_to_num(middle[..., 1:] - middle[..., :-1])
+    heights = np.nan_to_num((hi - lo)[..., 0])
+    return np.arange(len(i)), {op: (np.where(OPS[op](in_a, in_b), widths, 0.0).sum(axis=2) * heights).sum(axis=1) for op in PAIR_OPS}
+
+
+def areas_of_pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """(a_id, b_id, both, either, only_a, only_b): areas of all pairs of rings (id, ring) whose boxes meet. Small rings come as tiles,
+    pairs with another one as edges in rows; rings across 180 degrees are unrolled."""
+    shape = lambda df: df.select("id", F.lit("polygon").alias("kind"), F.col("ring").alias("line"), F.lit(None).cast("double").alias("km"))
+    (small_a, more_a), (small_b, more_b) = tiles.split(shape(a), size), tiles.split(shape(b), size)
+    found = tiles.pairs(small_a, small_b, size, pair_areas, ", ".join(f"{op} double" for op in PAIR_OPS))
+    found = found.select("a_id", "b_id", "both", (F.col("both") + F.col("only_a") + F.col("only_b")).alias("either"), "only_a", "only_b")
+    for p, q in ((more_a, shape(b)), (small_a, more_b)):
+        if not (more_a if p is more_a else more_b).isEmpty():
+            found = found.union(_areas_by_rows(p, q, size))
+    return found
+
+
+def _areas_by_rows(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """areas_of_pairs() with edges as rows."""
+    a, b = (df.where(F.size("line") > 0).select("id", "line") for df in (a, b))
+    bound = lambda f, k: f(F.transform("line", lambda p: p[k]))
+    box = lambda df: df.select("id", *[bound(F.array_min, k).alias(f"{k}1") for k in "xy"], *[bound(F.array_max, k).alias(f"{k}2") for k in "xy"])
+    near = spatial.boxes_meet(box(a), box(b), size).withColumn("pair", F.struct("a_id", "b_id"))
+    side = lambda df, s: near.join(df.select(F.col("id").alias(f"{s}_id"), F.col("line").alias("ring")), f"{s}_id").select("pair", F.lit(s).alias("side"), "ring")
+    return areas(side(a, "a").union(side(b, "b"))).select("pair.a_id", "pair.b_id", "both", "either", "only_a", "only_b")
+
+
 def _areas_in_place(df: DataFrame, ring: str, zone: str, name: str) -> DataFrame:
     """``df`` without ``ring`` and ``zone`` and with the area of each row's ring of degrees in metres of that UTM zone, 0 for
     null and under three points. Metres count from the first point on, so that products of large northings don't lose digits."""

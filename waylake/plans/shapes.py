@@ -68,15 +68,6 @@ def box_of(df: DataFrame, ring: str = "ring") -> DataFrame:
     return df.select("id", *[bound(F.array_min, c).alias(f"{c}1") for c in "xy"], *[bound(F.array_max, c).alias(f"{c}2") for c in "xy"])
 
 
-def polygon_pairs(spark, d: str) -> DataFrame:
-    """(pair, side, ring) of triangles and pentagons whose boxes meet; pair holds both keys."""
-    a, b = triangles(spark, d), pentagons(spark, d)
-    near = spatial.boxes_meet(box_of(a), box_of(b), 0.5).withColumn("pair", F.struct("a_id", "b_id"))
-    left = near.join(a.select(F.col("id").alias("a_id"), "ring"), "a_id").select("pair", F.lit("a").alias("side"), "ring")
-    right = near.join(b.select(F.col("id").alias("b_id"), "ring"), "b_id").select("pair", F.lit("b").alias("side"), "ring")
-    return left.union(right)
-
-
 # Green's theorem: the boundary of the common part is what of each ring lies inside the other one
 def _inside_part(own: str, own_id: str, other: str, other_id: str) -> str:
     return f"""SELECT n.a_id, n.b_id, e.x1 + (e.x2 - e.x1) * t1 AS px, e.y1 + (e.y2 - e.y1) * t1 AS py, e.x1 + (e.x2 - e.x1) * t2 AS qx, e.y1 + (e.y2 - e.y1) * t2 AS qy
@@ -99,8 +90,8 @@ common AS (SELECT a_id, b_id, sum(px * qy - qx * py) / 2 AS s FROM parts GROUP B
 r AS (SELECT a_id, b_id, coalesce(s, 0) AS s, {_AREA.format(n=3, r='(0.2 + a_id % 7 * 0.05)')} AS a, {_AREA.format(n=5, r='(0.25 + b_id % 5 * 0.05)')} AS b FROM near LEFT JOIN common USING (a_id, b_id))
 SELECT a_id, b_id, CAST(round(s * 1e6) AS BIGINT) AS both_e6, CAST(round((a + b - s) * 1e6) AS BIGINT) AS either_e6, CAST(round((a - s) * 1e6) AS BIGINT) AS only_a_e6, CAST(round((b - s) * 1e6) AS BIGINT) AS only_b_e6 FROM r""")
 def polygon_overlay(spark, d: str) -> DataFrame:
-    found = overlay.areas(polygon_pairs(spark, d))
-    return found.select("pair.a_id", "pair.b_id", *[F.round(F.col(op) * 1e6).cast("long").alias(f"{op}_e6") for op in ("both", "either", "only_a", "only_b")])
+    found = overlay.areas_of_pairs(triangles(spark, d), pentagons(spark, d), 0.5)
+    return found.select("a_id", "b_id", *[F.round(F.col(op) * 1e6).cast("long").alias(f"{op}_e6") for op in ("both", "either", "only_a", "only_b")])
 
 
 # a five-pointed star inside its own ring: five tips, without the pentagon in the middle
